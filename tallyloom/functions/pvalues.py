@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 _EPS = 1e-15
 _TINY = 1e-300
@@ -75,13 +75,13 @@ def _undefined(*values) -> bool:
     return any(v is None or math.isnan(v) for v in values)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_sf(x: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([None if _undefined(v, k) or k <= 0 else gamma_upper(k / 2, v / 2)
                       for v, k in zip(x, dof)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_sf(x: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return pd.Series([None if _undefined(v, m, n) or m <= 0 or n <= 0
                       else beta_regularised(n / 2, m / 2, n / (n + m * v))

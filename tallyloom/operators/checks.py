@@ -60,9 +60,11 @@ def findings(df: DataFrame, checks: Iterable[Column], survey: str = "") -> DataF
     if not checks:
         none = F.struct(F.lit("").alias("content"), F.lit("").alias("reason"))
         checks = [F.when(F.lit(False), none)]
-    found = F.filter(F.array(*checks), lambda f: f.isNotNull())
-    return (df.select("no", "id", "wave", F.inline(found))
-            .select(F.lit(survey).alias("survey"), "no", "id", "content", "reason",
+    # the rules stay in a projection of their own: there Spark compiles any number of them
+    found = df.select("no", "id", "wave", F.array(*checks).alias("found"))
+    return (found.select("no", "id", "wave", F.explode("found").alias("f"))
+            .filter(F.col("f").isNotNull())
+            .select(F.lit(survey).alias("survey"), "no", "id", "f.content", "f.reason",
                     F.lit("").alias("reply"), "wave", F.lit("").alias("note")))
 
 

@@ -5,24 +5,22 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 * 1024 * 1024
+_ARROW = {"string": pa.string(), "double": pa.float64(), "long": pa.int64(), "integer": pa.int32()}
 
 
 def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A table written into the plan. Its exact size is known to the optimizer, which then
-    broadcasts it by itself when that is right."""
-    fields = [f.strip().rsplit(" ", 1) for f in schema.split(",")]
-    names = ", ".join(f"`{n}`" for n, _ in fields)
-    if not rows:
-        return spark.sql("SELECT " + ", ".join(f"CAST(NULL AS {t}) AS `{n}`" for n, t in fields)
-                         + " LIMIT 0")
-    marks = ", ".join("(" + ", ".join("?" for _ in fields) + ")" for _ in rows)
-    table = spark.sql(f"SELECT * FROM VALUES {marks} AS t({names})",
-                      args=[v for row in rows for v in row])
-    return table.select(*[F.col(f"`{n}`").cast(t).alias(n) for n, t in fields])
+    """A table held in the plan (a local relation). Its exact size is known to the optimizer,
+    which then broadcasts it by itself when that is right."""
+    fields = T._parse_datatype_string(schema).fields
+    columns = zip(*rows) if rows else [[] for _ in fields]
+    table = pa.table({f.name: pa.array(list(c), _ARROW[f.dataType.typeName()])
+                      for f, c in zip(fields, columns)})
+    return spark.createDataFrame(table)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS,

@@ -64,5 +64,5 @@ def read_handled_reports(spark: SparkSession, root: str, survey_code: str, handl
 
 def read_syntax_files(spark: SparkSession, folder: str, glob: str = "*.sps") -> DataFrame:
     """(file, text), one row per syntax file."""
-    return (spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(folder)
+    return (spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True)
             .select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text")))
