@@ -28,7 +28,7 @@ QUERIES = {
         resp(spark, sf), ["edugp", "opinion"]).select("id", "edugp", "opinion"),
     "select_final_weight": lambda spark, sf: select_final_weight(resp(spark, sf), "wt"),
     "find_literal": lambda spark, sf: L.find_literal(
-        table(spark, sf, "documents"), "text", "?", key="doc_id"),
+        table(spark, sf, "documents"), "text", "%", key="doc_id"),
     "multi_search": lambda spark, sf: L.multi_search(resp(spark, sf), _pairs(spark, sf)),
     "multi_search_encoded": lambda spark, sf: L.multi_search(
         resp(spark, sf), _pairs(spark, sf), encoding="ascii"),
@@ -55,7 +55,7 @@ SQL = {
     "fill_missing_code": with_resp("SELECT id, COALESCE(edugp, 99) AS edugp, "
                                    "COALESCE(opinion, 99) AS opinion FROM resp"),
     "select_final_weight": with_resp("SELECT id, wt FROM resp"),
-    "find_literal": "SELECT doc_id FROM documents WHERE contains(text, '?')",
+    "find_literal": "SELECT doc_id FROM documents WHERE contains(text, '%')",
     "multi_search": with_resp(_SEARCH),
     "multi_search_encoded": with_resp(
         f"SELECT *, regexp_replace(value, '[^\\x00-\\x7F]', '?', 'g') AS value_ascii FROM ({_SEARCH})"),

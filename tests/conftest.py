@@ -10,7 +10,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 def session() -> SparkSession:
     builder = (SparkSession.builder.master("local[8]").appName("tests")
-               .config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8")
+               .config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", "8")
                .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
