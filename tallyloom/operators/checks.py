@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.missing import is_in
 from ..functions.text import is_blank, natural_key, shown, strip
 from ..plans.appellations import APPELLATIONS
+from ..plans.small import fence
 from ..plans.rules import (bind, boolean_rule, missing_columns, names, quoted, report, rule_rows,
                            word_array)
 
@@ -62,10 +63,7 @@ def findings(df: DataFrame, checks: Iterable[Column], survey: str = "") -> DataF
         checks = [F.when(F.lit(False), none)]
     base = ["no", "id", "wave"]
     rows = df.select(*base, F.array_compact(F.array(*checks)).alias("found"))
-    # unpivot of one column changes no row; it keeps the optimizer from copying the rules into
-    # the filter it infers for explode, so every rule is evaluated once
-    fenced = rows.unpivot(base, ["found"], "part", "found")
-    return (fenced.select(*base, F.explode("found").alias("f"))
+    return (fence(rows, "found").select(*base, F.explode("found").alias("f"))
             .select(F.lit(survey).alias("survey"), "no", "id", "f.content", "f.reason",
                     F.lit("").alias("reply"), "wave", F.lit("").alias("note")))
 

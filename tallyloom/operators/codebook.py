@@ -1,12 +1,15 @@
 """Codebooks from SPSS syntax files, as one job over a folder.
 
-Each file is cut into statements, statements are mined by pattern, and the pieces of a
-variable meet in aggregations keyed by (file, variable). Nothing is held per folder.
+Each file is cut into statements and each statement is mined by pattern for pieces: a label, a
+comment, a coded label, missing codes or a format. Pieces are rows of one shape; they meet in
+two aggregations, by code and by variable. First mentions come from a plain count of words.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..plans.small import fence
+
 # The statements that carry variable information and their patterns.
 KEYWORDS = ["VARIABLE LABELS", "COMMENT TO", "VALUE LABELS", "MISSING VALUES", "FORMATS"]
 DEFAULT_FORMAT = "F8.0"
@@ -20,13 +23,15 @@ _LABEL_BLOCK = _U + r"(?=^\s*/?\s*[\p{L}_]\w*\s)"
 _LABEL_NAME = _U + r"^\s*/?\s*([\p{L}_]\w*)\s"
 _CODE_LABEL = r'(-?\d+)\s+"([^"]+)"'
 _CODE = r"^-?\d+$"
+_WORD = r"(?U)(\w+)"
 
 
 def statements(files: DataFrame) -> DataFrame:
-    """(file, pos, kind, body) from (file, text); text before the first keyword is dropped."""
+    """(file, pos, kind, statement) from (file, text); text before the first keyword is no
+    statement. Newlines are unified first."""
     text = F.regexp_replace("text", "\r\n?", "\n")
     cut = files.select("file", F.posexplode(F.split(text, _STATEMENT)).alias("pos", "statement"))
-    head = F.upper(F.trim(F.regexp_replace("statement", r"^\s+", "")))
+    head = F.upper(F.regexp_replace("statement", r"^\s+", ""))
     kind = F.coalesce(*[F.when(head.startswith(k), F.lit(k)) for k in KEYWORDS])
     return cut.withColumn("kind", kind).filter("kind IS NOT NULL")
 
@@ -35,97 +40,106 @@ def _body(kind: str) -> Column:
     return F.regexp_replace("statement", r"(?i)^\s*" + kind, "")
 
 
-def _latest(df: DataFrame, value: str) -> DataFrame:
-    """The last definition of a variable in its file wins."""
-    return df.groupBy("file", "var").agg(F.max_by(value, "pos").alias(value))
+def _groups(text: Column, pattern: str) -> Column:
+    """Array of structs (name, value) with the two groups of every match."""
+    name, value = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (1, 2))
+    return F.arrays_zip(name.alias("name"), value.alias("value"))
 
 
-def _zipped(text: Column, pattern: str) -> Column:
-    names = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    return F.arrays_zip(names.alias("name"), values.alias("value"))
+def _place(first: Column, second: Column) -> Column:
+    """Where something stands in its file, as one number: statement, then two finer steps."""
+    return (F.shiftleft(F.col("pos").cast("bigint"), 40)
+            + F.shiftleft(first.cast("bigint"), 20) + second)
 
 
-def variable_labels(st: DataFrame) -> DataFrame:
-    pairs = st.filter(F.col("kind") == KEYWORDS[0]).select(
-        "file", "pos", F.posexplode(_zipped(_body(KEYWORDS[0]), _VARIABLE_LABEL)).alias("i", "p"))
-    return _latest(pairs.select("file", F.struct("pos", "i").alias("pos"),
-                                F.col("p.name").alias("var"), F.col("p.value").alias("label")),
-                   "label")
+def _piece(what: str, var: Column, first: Column | None = None, second: Column | None = None,
+           text: Column | None = None, code: Column | None = None,
+           codes: Column | None = None) -> Column:
+    """One row of the common shape."""
+    zero = F.lit(0)
+    return F.struct(
+        F.lit(what).alias("what"), var.alias("var"),
+        _place(zero if first is None else first, zero if second is None else second).alias("place"),
+        (F.lit(None) if code is None else code).cast("int").alias("code"),
+        (F.lit(None) if text is None else text).cast("string").alias("text"),
+        (F.lit(None) if codes is None else codes).cast("array<int>").alias("codes"))
 
 
-def comments(st: DataFrame) -> DataFrame:
+def _comment_text() -> Column:
     lines = F.split(F.regexp_extract("statement", _COMMENT, 2), "\n")
-    text = F.array_join(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""), " ")
-    found = st.filter(F.col("kind") == KEYWORDS[1]).select(
-        "file", "pos", F.regexp_extract("statement", _COMMENT, 1).alias("var"),
-        text.alias("comment"))
-    return _latest(found.filter("var <> ''"), "comment")
+    return F.array_join(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""), " ")
 
 
-def value_label_pairs(st: DataFrame) -> DataFrame:
-    """(file, var, code, label): one line per code, the last label of a code wins."""
-    blocks = st.filter(F.col("kind") == KEYWORDS[2]).select(
-        "file", "pos", F.posexplode(F.split(_body(KEYWORDS[2]), _LABEL_BLOCK)).alias("b", "block"))
-    named = blocks.select("file", "pos", "b", F.regexp_extract("block", _LABEL_NAME, 1).alias("var"),
-                          F.posexplode(_zipped(F.col("block"), _CODE_LABEL)).alias("i", "p"))
-    return (named.filter("var <> ''")
-            .select("file", "var", F.col("p.name").try_cast("int").alias("code"),
-                    F.struct("pos", "b", "i").alias("pos"), F.col("p.value").alias("label"))
-            .filter("code IS NOT NULL").groupBy("file", "var", "code")
-            .agg(F.max_by("label", "pos").alias("label")))
+def _coded_labels() -> Column:
+    blocks = F.split(_body("VALUE LABELS"), _LABEL_BLOCK)
 
+    def of_block(block: Column, b: Column) -> Column:
+        var = F.regexp_extract(block, _LABEL_NAME, 1)
+        return F.transform(_groups(block, _CODE_LABEL), lambda p, i: _piece(
+            "value", var, b, i, p["value"], p["name"].try_cast("int")))
 
-def value_labels(st: DataFrame) -> DataFrame:
-    entries = F.sort_array(F.collect_list(F.struct("code", "label")))
-    return value_label_pairs(st).groupBy("file", "var").agg(
-        F.map_from_entries(entries).alias("value_labels"))
+    return F.flatten(F.transform(blocks, of_block))
 
 
-def missing_codes(st: DataFrame) -> DataFrame:
+def _missing_codes() -> Column:
     def expand(part: Column) -> Column:
         ends = F.split(F.trim(F.lower(part)), "thru")
         lo, hi = (F.trim(F.get(ends, F.lit(i))) for i in (0, 1))
         a, b = lo.try_cast("int"), hi.try_cast("int")
-        none = F.array().cast("array<int>")
         span = F.when(lo.rlike(_CODE) & hi.rlike(_CODE) & (a <= b), F.sequence(a, b))
         single = F.when(lo.rlike(_CODE) & a.isNotNull(), F.array(a))
-        return F.coalesce(F.when(F.size(ends) > 1, span).otherwise(single), none)
+        return F.coalesce(F.when(F.size(ends) > 1, span).otherwise(single),
+                          F.array().cast("array<int>"))
 
     parts = F.split(F.regexp_extract("statement", _MISSING, 2), ",")
-    found = st.filter(F.col("kind") == KEYWORDS[3]).select(
-        "file", "pos", F.regexp_extract("statement", _MISSING, 1).alias("var"),
-        F.flatten(F.transform(parts, expand)).alias("missing"))
-    return _latest(found.filter("var <> ''"), "missing")
-
-
-def formats(st: DataFrame) -> DataFrame:
-    found = st.filter(F.col("kind") == KEYWORDS[4]).select(
-        "file", "pos", F.regexp_extract("statement", _FORMAT, 1).alias("var"),
-        F.regexp_extract("statement", _FORMAT, 2).alias("format"))
-    return _latest(found.filter("var <> ''"), "format")
-
-
-def first_mentions(st: DataFrame) -> DataFrame:
-    """(file, var, seen): where each word first occurs."""
-    words = F.array_distinct(F.regexp_extract_all("statement", F.lit(r"(?U)(\w+)"), F.lit(1)))
-    return (st.select("file", "pos", F.posexplode(words).alias("i", "var"))
-            .groupBy("file", "var").agg(F.min(F.struct("pos", "i")).alias("seen")))
+    return F.flatten(F.transform(parts, expand))
+
+
+def pieces(files: DataFrame) -> DataFrame:
+    """(file, what, var, place, code, text, codes) of everything the files define."""
+    kind = F.col("kind")
+    mined = (F.when(kind == "VARIABLE LABELS",
+                    F.transform(_groups(_body("VARIABLE LABELS"), _VARIABLE_LABEL),
+                                lambda p, i: _piece("label", p["name"], i, text=p["value"])))
+             .when(kind == "COMMENT TO", F.array(_piece(
+                 "comment", F.regexp_extract("statement", _COMMENT, 1), text=_comment_text())))
+             .when(kind == "VALUE LABELS", _coded_labels())
+             .when(kind == "MISSING VALUES", F.array(_piece(
+                 "missing", F.regexp_extract("statement", _MISSING, 1), codes=_missing_codes())))
+             .when(kind == "FORMATS", F.array(_piece(
+                 "format", F.regexp_extract("statement", _FORMAT, 1),
+                 text=F.regexp_extract("statement", _FORMAT, 2)))))
+    return (fence(statements(files).select("file", mined.alias("pieces")), "pieces")
+            .select("file", F.inline("pieces"))
+            .filter("var <> '' AND (what <> 'value' OR code IS NOT NULL)"))
+
+
+def mentions(files: DataFrame) -> DataFrame:
+    """(file, var, place) of the first mention of every word."""
+    words = F.array_distinct(F.regexp_extract_all("statement", F.lit(_WORD), F.lit(1)))
+    cut = fence(statements(files).select("file", "pos", words.alias("words")), "words")
+    return (cut.select("file", "pos", F.posexplode("words").alias("i", "var"))
+            .groupBy("file", "var").agg(F.min(_place(F.col("i"), F.lit(0))).alias("place")))
 
 
 def codebook(files: DataFrame) -> DataFrame:
     """One row per file and variable (label, comment, value_labels, missing, format), in order
-    of first mention."""
-    st = statements(files)
-    parts = [variable_labels(st), comments(st), value_labels(st), missing_codes(st), formats(st)]
-    table = parts[0]
-    for p in parts[1:]:
-        table = table.join(p, ["file", "var"], "full")
-    empty = {"label": F.lit(""), "comment": F.lit(""), "format": F.lit(DEFAULT_FORMAT),
-             "value_labels": F.create_map().cast("map<int,string>"),
-             "missing": F.array().cast("array<int>")}
-    return (table.join(first_mentions(st), ["file", "var"], "left")
-            .select("file", "var", *[F.coalesce(c, empty[c]).alias(c) for c in
-                                     ("label", "comment", "value_labels", "missing", "format")],
-                    "seen")
-            .orderBy("file", "seen").drop("seen"))
+    of first mention. The last definition in a file wins, for value labels code by code."""
+    last = pieces(files).groupBy("file", "var", "what", "code").agg(
+        F.max_by("text", "place").alias("text"), F.max_by("codes", "place").alias("codes"))
+    both = last.unionByName(mentions(files).withColumn("what", F.lit("mention")),
+                            allowMissingColumns=True)
+    what = F.col("what")
+
+    def text(name: str, default: str) -> Column:
+        return F.coalesce(F.max(F.when(what == name, F.col("text"))), F.lit(default)).alias(name)
+
+    labels = F.collect_list(F.when(what == "value", F.struct("code", "text")))
+    return (both.groupBy("file", "var").agg(
+        text("label", ""), text("comment", ""),
+        F.map_from_entries(F.sort_array(labels)).alias("value_labels"),
+        F.coalesce(F.first(F.when(what == "missing", F.col("codes")), ignorenulls=True),
+                   F.array().cast("array<int>")).alias("missing"),
+        text("format", DEFAULT_FORMAT), F.min("place").alias("seen"),
+        F.bool_or(what != "mention").alias("defined"))
+        .filter("defined").drop("defined").orderBy("file", "seen").drop("seen"))

@@ -14,6 +14,7 @@ from ..functions.missing import is_in, not_equal
 from ..functions.numeric import safe_int
 from ..functions.text import strip
 from ..plans.ordered import UNMAPPED, code_map, first_match
+from ..plans.small import literal_table
 from ..plans.recode_tables import (COUNTRIES, DESIGN_WEIGHTS, EDUCATION_SIMPLE, EDUCATION_STAGED,
                                    ONLY, REGIONS, SELECTION, UNDEFINED)
 
@@ -308,9 +309,11 @@ def household_design_weight(df: DataFrame) -> DataFrame:
                     for op, n, asked in tests]
             who.append((rule == r, default))
         df = df.withColumn("result_txt", first_match(who, UNDEFINED))
-    weights = [((hh == size) & (F.col("result_txt") == who), n / 48)
-               for size, table in DESIGN_WEIGHTS.items() for who, n in table.items()]
-    return df.withColumn("DWEIGHT_HH", first_match(weights, F.lit(None).cast("double")))
+    weights = [(size, who, n / 48) for size, table in DESIGN_WEIGHTS.items()
+               for who, n in table.items()]
+    lookup = literal_table(df.sparkSession, weights, "__size int, __who string, DWEIGHT_HH double")
+    return df.join(F.broadcast(lookup), (hh == F.col("__size")) & (F.col("result_txt") == F.col("__who")),
+                   "left").drop("__size", "__who")
 
 
 def unmatched_design_weight(df: DataFrame) -> DataFrame:

@@ -58,3 +58,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = run_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fence(df: DataFrame, col: str) -> DataFrame:
+    """The same rows, for a costly array column that is about to be exploded. Explode makes the
+    optimizer infer a filter on the array and copy the array's expression into it; an unpivot of
+    one column stops that copy, so the expression runs once per row."""
+    return df.unpivot([c for c in df.columns if c != col], [col], "__part", col).drop("__part")
