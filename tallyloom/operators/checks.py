@@ -384,7 +384,8 @@ def remove_handled(now: DataFrame, handled: DataFrame, drop_all_copies: bool = F
         kept = (now.groupBy(*KEY)
                 .agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*rest)).alias("rest"))
                 .filter("copies = 1").select(*KEY, "rest.*").select(*now.columns))
-    return kept.join(past, same, "left_anti").orderBy("content")
+    # the keys after content only break ties, so that one frequent content is not one sort task
+    return kept.join(past, same, "left_anti").orderBy("content", "id", "no", "reason")
 
 
 def drop_duplicate_findings(df: DataFrame) -> DataFrame:

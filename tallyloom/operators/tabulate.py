@@ -15,6 +15,7 @@ from ..functions.numeric import is_numeric, level_label, n_round
 from ..plans.presets import crosstab_variables, rolling_variables
 
 FILL_CODE = "99"
+MAX_CATEGORIES = 5000  # columns of a wide table; crosstab_long has no such limit
 _ROW_ORDER = {"valid": 0, "valid_total": 1, "missing": 2, "system_missing": 3, "total": 4}
 
 
@@ -50,13 +51,14 @@ def freq_table(df: DataFrame, col: str, weights: Sequence[str] = (), w_round: bo
           for m in measures],
         *[F.coalesce(F.sum(F.when(absent, F.col(m))), F.lit(0)).alias(f"{m}_absent")
           for m in measures]).alias("t"))
-    total = totals.scalar()  # a one-row subquery: reuses the exchange below it
 
     def share(part: Column, whole: Column) -> Column:
         return F.try_divide(part.cast("double"), whole.cast("double")) * F.lit(float(scale))
 
-    def line(kind: Column, label: Column, key: Column, measure, t: Column,
-             valid_share: Column, weighted_valid_share) -> list[Column]:
+    t = F.col("t")
+
+    def line(kind: Column, label: Column, key: Column, measure, valid_share: Column,
+             weighted_valid_share) -> list[Column]:
         out = [label.alias("value"), kind.alias("row_kind"), key.alias("sort_value"),
                measure("frequency").alias("frequency"),
                share(measure("frequency"), t["frequency"]).alias("percentage"),
@@ -68,19 +70,19 @@ def freq_table(df: DataFrame, col: str, weights: Sequence[str] = (), w_round: bo
         return out
 
     kind = F.col("row_kind")
-    body = counts.filter(~absent).select(*line(
-        kind, F.col("value").cast("string"), F.col("value"), F.col, total,
-        F.when(valid, share(F.col("frequency"), total["frequency_valid"])),
-        lambda m: F.when(valid, share(F.col(m), total[f"{m}_valid"])).otherwise(F.lit(0.0))))
+    # the totals come as a one-row subquery, which reuses the exchange of the counts
+    body = counts.filter(~absent).withColumn("t", totals.scalar()).select(*line(
+        kind, F.col("value").cast("string"), F.col("value"), F.col,
+        F.when(valid, share(F.col("frequency"), t["frequency_valid"])),
+        lambda m: F.when(valid, share(F.col(m), t[f"{m}_valid"])).otherwise(F.lit(0.0))))
 
-    t = F.col("t")
     value_type = df.schema[col].dataType
     full, empty = F.lit(float(scale)), F.lit(None).cast("double")
     has_split = F.lit(bool(missing)) | (t["frequency_absent"] > 0)
 
     def summary(name: str, label: str, suffix: str, valid_share: Column) -> Column:
         return F.struct(*line(F.lit(name), F.lit(label), F.lit(None).cast(value_type),
-                              lambda m: t[m + suffix], t, valid_share, lambda m: valid_share))
+                              lambda m: t[m + suffix], valid_share, lambda m: valid_share))
 
     rows = F.array(
         F.when(has_split, summary("valid_total", "Valid Total", "_valid", full)),
@@ -118,11 +120,11 @@ def multi_freq(df: DataFrame, variables: Sequence[str]) -> DataFrame:
     totals = counts.agg(F.struct(*[of(v).alias(f"v{i}") for i, v in enumerate(variables)])
                         .alias("t")).scalar()
     wide = counts.groupBy("value").agg(*[F.coalesce(of(v), F.lit(0)).alias(f"{v}_frequency")
-                                         for v in variables])
+                                         for v in variables]).withColumn("t", totals)
     columns = [F.col("value")]
     for i, v in enumerate(variables):
         n = F.col(f"`{v}_frequency`")
-        columns += [n, F.coalesce(F.try_divide(n.cast("double"), totals[f"v{i}"]) * 100,
+        columns += [n, F.coalesce(F.try_divide(n.cast("double"), F.col("t")[f"v{i}"]) * 100,
                                   F.lit(0.0)).alias(f"{v}_percentage")]
     return wide.select(*columns).orderBy(_number(F.col("value")), "value")
 
@@ -182,7 +184,9 @@ def _categories(df: DataFrame, column: str, colmissing: Sequence, given) -> list
     data_type = df.schema[column].dataType
     label = F.coalesce(level_label(F.col(f"`{column}`"), data_type), F.lit(FILL_CODE))
     labels = [r[0] for r in exclude_codes(df, column, colmissing)
-              .select(label.alias("c")).distinct().collect()]
+              .select(label.alias("c")).distinct().limit(MAX_CATEGORIES + 1).collect()]
+    if len(labels) > MAX_CATEGORIES:
+        raise ValueError(f"{column!r} has too many categories for a wide table; use crosstab_long")
     if is_numeric(data_type):
         return sorted(labels, key=float)
     return sorted(labels)

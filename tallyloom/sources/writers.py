@@ -8,8 +8,9 @@ from ..operators.checks import answer_times, time_gap_report
 
 def write_findings(found: DataFrame, path: str, survey_code: str, fmt: str = "parquet",
                    mode: str = "append") -> None:
-    """Findings, partitioned by survey and wave."""
-    (found.withColumn("survey_code", F.lit(survey_code))
+    """Findings, partitioned by survey and wave. Rebalancing keeps the files few and splits a
+    wave that holds most of the findings."""
+    (found.withColumn("survey_code", F.lit(survey_code)).hint("rebalance", F.col("wave"))
      .write.mode(mode).partitionBy("survey_code", "wave").format(fmt).save(path))
 
 
