@@ -73,8 +73,9 @@ def _handled_reports(spark, sf):
 
 def _write_findings(spark, sf):
     path = run_folder(spark, "findings")
-    writers.write_findings(K._found(spark, sf), path, "panel01")
-    return spark.read.parquet(path)
+    found = K._found(spark, sf).withColumn("wave", F.substring("wave", 2, 2))
+    writers.write_findings(found, path, "panel01")
+    return readers.read_findings(spark, path)
 
 
 def _write_gaps(spark, sf):
@@ -128,7 +129,8 @@ SQL = {
     "read_handled_reports": with_resp(
         "SELECT no, CAST(id AS VARCHAR) AS id, content || chr(10) || 'second line' AS content, reason, reply FROM found",
         K._FOUND),
-    "write_findings": with_resp("SELECT *, 'panel01' AS survey_code FROM found", K._FOUND),
+    "write_findings": with_resp("SELECT * REPLACE (SUBSTR(wave, 2, 2) AS wave), 'panel01' AS survey_code "
+                                "FROM found", K._FOUND),
     "write_gap_tables": with_resp(f"SELECT g.*, r.t2_ansTime FROM ({K.GAP_BODY}) g "
                                   "JOIN resp r ON r.id = g.id"),
     "write_weight_tables": KW.SQL["weight_tables"],

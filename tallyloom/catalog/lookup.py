@@ -1,7 +1,7 @@
 """Projections, filters and lookups."""
 from pyspark.sql import functions as F
 
-from ..functions import drop_missing, exclude_codes, fill_missing_code, sum_columns
+from ..functions import drop_missing, exclude_codes, fill_missing_code, n_round, sum_columns
 from ..functions.transcode import transcode_lossy
 from ..operators import lookup as L
 from ..operators.weighting import select_final_weight
@@ -17,6 +17,8 @@ def _pairs(spark, sf):
 
 
 QUERIES = {
+    "n_round": lambda spark, sf: table(spark, sf, "customer").select(
+        "c_custkey", n_round(F.col("c_acctbal") / 2).alias("rounded")),
     "query": lambda spark, sf: L.query(resp(spark, sf), 3, ["id", "area"], col="agegp"),
     "sum_columns": lambda spark, sf: sum_columns(
         resp(spark, sf), "m_sum", ["m01", "m02", "m03"]).select("id", "m_sum"),
@@ -45,6 +47,8 @@ FROM (SELECT CASE WHEN area = 6 THEN -id ELSE id END AS id,
 LEFT JOIN resp r ON r.id = p.id"""
 
 SQL = {
+    "n_round": "SELECT c_custkey, CASE WHEN c_acctbal / 2 - FLOOR(c_acctbal / 2) < 0.5 THEN FLOOR(c_acctbal / 2) "
+               "ELSE CEIL(c_acctbal / 2) END AS rounded FROM customer",
     "query": with_resp("SELECT id, area FROM resp WHERE agegp = 3"),
     "sum_columns": with_resp("SELECT id, CAST(COALESCE(m01,0) + COALESCE(m02,0) + COALESCE(m03,0) "
                              "AS INT) AS m_sum FROM resp"),

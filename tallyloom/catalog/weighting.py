@@ -16,6 +16,8 @@ def _raked(spark, sf):
 
 
 QUERIES = {
+    "init_weight": lambda spark, sf: W.init_weight(
+        W.init_weight(resp(spark, sf), "wt"), 1, "unit").select("id", "wt0", "unit"),
     "rake_once": lambda spark, sf: rounded(W.rake_once(resp(spark, sf), TARGETS, "wt").select(
         "id", "wt0", "wt1", "wt2", "wt3")),
     "rake": lambda spark, sf: rounded(_raked(spark, sf).select("id", "final_weight")),
@@ -97,6 +99,7 @@ def _trim_sql() -> str:
 
 
 SQL = {
+    "init_weight": with_resp("SELECT id, wt AS wt0, CAST(1 AS DOUBLE) AS unit FROM resp"),
     "rake_once": _rake_sql(1, "ROUND(w0, 6) AS wt0, ROUND(w1, 6) AS wt1, ROUND(w2, 6) AS wt2, ROUND(w3, 6) AS wt3"),
     "rake": _rake_sql(_PASSES, "ROUND(w{k} * (SELECT COUNT(*) / SUM(w{k}) FROM {last}), 6) AS final_weight"),
     "trim_weights": _trim_sql(),

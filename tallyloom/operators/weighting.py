@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import level_label
 from ..functions.pvalues import chi2_sf
+from ..plans.rules import text_literal
 from ..plans.small import literal_table, materialize
 from ..plans.targets import target_lists, target_table
 from .stats import CHI_ROW, chi_terms, weighting_loss
@@ -47,12 +48,12 @@ def _cells(df: DataFrame, variables: Sequence[str], weight: str) -> DataFrame:
     return materialize(cells, "raking-cells")
 
 
-def _lookup(col: Column, factors: Factors) -> Column:
+def _lookup(col: str, factors: Factors) -> Column:
     """Factor of a category; 1 for a category without one, NULL included."""
     if not factors:
         return F.lit(1.0)
-    table = F.create_map(*[F.lit(x) for item in factors.items() for x in item])
-    return F.coalesce(F.try_element_at(table, F.coalesce(col, F.lit("\0"))), F.lit(1.0))
+    table = ", ".join(f"{text_literal(c)}, {f!r}D" for c, f in factors.items())
+    return F.expr(f"coalesce(try_element_at(map({table}), {col}), 1D)")
 
 
 def _fit(cells: DataFrame, targets: dict[str, dict[str, float]], passes: int,
@@ -69,7 +70,7 @@ def _fit(cells: DataFrame, targets: dict[str, dict[str, float]], passes: int,
     def margins(i: int) -> tuple[dict[str, float], float]:
         w = F.col("w")
         for j, v in enumerate(variables):
-            w = w * _lookup(F.col(f"c{j}"), running[v])
+            w = w * _lookup(f"c{j}", running[v])
         listed = list(targets[variables[i]])
         c = F.col(f"c{i}")
         sums = (cells.groupBy(F.when(c.isin(listed), c).alias("c"))

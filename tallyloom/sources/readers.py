@@ -21,6 +21,8 @@ RULE_SCHEMAS = {
     "logic": "check_no string, var_list string, check_rule string, TorF string, "
              "description string, out_var string",
 }
+FINDINGS_SCHEMA = ("survey string, no string, id long, content string, reason string, "
+                   "reply string, note string, survey_code string, wave string")
 REPORT_SCHEMA = "no string, id string, content string, reason string, reply string"
 
 
@@ -66,3 +68,8 @@ def read_syntax_files(spark: SparkSession, folder: str, glob: str = "*.sps") ->
     """(file, text), one row per syntax file."""
     return (spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True)
             .select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text")))
+
+
+def read_findings(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """What ``write_findings`` wrote. The schema keeps a wave such as ``01`` a text."""
+    return spark.read.schema(FINDINGS_SCHEMA).format(fmt).load(path)
