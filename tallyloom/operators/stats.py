@@ -51,7 +51,7 @@ def chi_square_table(df: DataFrame, var: str, shares, input_col: Sequence[str] =
     groups = df.groupBy(label.alias("category")).agg(
         *[F.sum(F.col(f"`{c}`")).alias(c) for c in input_col],
         F.count(F.lit(1)).alias("counts"))
-    n = groups.agg(F.sum("counts")).scalar()
+    n = df.agg(F.count(F.lit(1))).scalar()  # reads no column
     expected = n_round(n.cast("double") * F.col("share"))
     return (groups.filter("category IS NOT NULL").join(shares, "category", "left")
             .select("category", *[F.col(f"`{c}`") for c in input_col], "counts",
@@ -75,8 +75,8 @@ def gof_chi_square(df: DataFrame, var: str, weight: str, targets) -> DataFrame:
     aims = target_table(df.sparkSession, [(var, c, p) for c, p in lists[var].items()])
     label = level_label(F.col(f"`{var}`"), df.schema[var].dataType)
     groups = df.groupBy(label.alias("category")).agg(
-        F.sum(F.col(f"`{weight}`").cast("double")).alias("w"), F.count(F.lit(1)).alias("rows"))
-    n = groups.agg(F.sum("rows")).scalar()
+        F.sum(F.col(f"`{weight}`").cast("double")).alias("w"))
+    n = df.agg(F.count(F.lit(1))).scalar()  # reads no column
     table = aims.join(groups, "category", "left").select(
         "variable", "category",
         F.coalesce(F.bround("w").cast("bigint"), F.lit(0).cast("bigint")).alias("observed"),
@@ -97,10 +97,12 @@ def oneway_anova(df: DataFrame, iv: str, dv: str, iv_missing: Sequence = (),
     groups = kept.groupBy(F.col(f"`{iv}`").alias("g")).agg(
         F.count(x).cast("double").alias("n"), F.avg(x).alias("m"),
         F.coalesce(F.var_samp(x), F.lit(0.0)).alias("s2"))
-    grand = groups.agg((F.sum(F.col("n") * F.col("m")) / F.sum("n"))).scalar()
+    within = F.sum((F.col("n") - 1) * F.col("s2")).alias("ssw")
+    # the subquery uses every column of the groups, so that both share one exchange
+    grand = groups.agg(F.struct(F.try_divide(F.sum(F.col("n") * F.col("m")), F.sum("n")).alias("m"),
+                                within).alias("t")).scalar()["m"]
     gap = F.col("m") - grand
-    sums = groups.agg(F.sum(F.col("n") * gap * gap).alias("ssb"),
-                      F.sum((F.col("n") - 1) * F.col("s2")).alias("ssw"),
+    sums = groups.agg(F.sum(F.col("n") * gap * gap).alias("ssb"), within,
                       (F.count(F.lit(1)) - 1).cast("double").alias("df1"),
                       (F.sum("n") - F.count(F.lit(1))).cast("double").alias("df2"))
     sums = sums.withColumn("f", F.try_divide(F.try_divide("ssb", "df1"),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.missing import exclude_codes, is_in
 from ..functions.numeric import is_numeric, level_label, n_round
 from ..plans.presets import crosstab_variables, rolling_variables
+from ..plans.small import materialize
 
 FILL_CODE = "99"
 MAX_CATEGORIES = 5000  # columns of a wide table; crosstab_long has no such limit
@@ -168,7 +169,7 @@ def crosstab_cells(df: DataFrame, row_vars: Sequence[str], column: str,
 def crosstab_long(df: DataFrame, row_vars: Sequence[str], column: str,
                   weight: str | None = None, colmissing: Sequence = ()) -> DataFrame:
     """Cells with their row and column shares, one line per cell that occurs."""
-    cells = crosstab_cells(df, row_vars, column, weight, colmissing)
+    cells = materialize(crosstab_cells(df, row_vars, column, weight, colmissing), "crosstab-cells")
     rows = cells.groupBy("variable", "level").agg(F.sum("value").alias("row_total"))
     cols = cells.groupBy("variable", "category").agg(F.sum("value").alias("col_total"))
     return (cells.join(rows, ["variable", "level"]).join(cols, ["variable", "category"])
@@ -207,6 +208,8 @@ def _wide(cells: DataFrame, row_vars: Sequence[str], categories: list[str],
           sum_col: Mapping[str, Sequence], colpercent: bool) -> tuple[DataFrame, list[str]]:
     """Level rows plus one total row per variable: n_<c>, n, row_pct_<c>, col_pct_<c>."""
     zero = F.lit(0)
+    if colpercent:  # read twice below; the cells are written so that the data is read once
+        cells = materialize(cells, "crosstab-cells")
     rows = cells.groupingSets(
         [[F.col("variable"), F.col("level")], [F.col("variable")]], "variable", "level",
     ).agg(*[F.coalesce(F.sum(F.when(F.col("category") == c, F.col("value"))), zero)
@@ -222,12 +225,15 @@ def _wide(cells: DataFrame, row_vars: Sequence[str], categories: list[str],
                                                           F.col("n").cast("double"))
                              for c in order})
     if colpercent:
-        # one row per row variable, so the broadcast has a bound fixed by the call itself
-        bases = rows.filter("is_total = 1").select(
-            F.col("variable"), *[F.col(f"`n_{c}`").alias(f"base_{c}") for c in order])
-        rows = rows.join(F.broadcast(bases), "variable").withColumns(
+        # the total row of each row variable as one map
+        entry = F.struct(F.col("variable"), F.struct(*[F.col(f"`n_{c}`").alias(f"b{i}")
+                                                       for i, c in enumerate(order)]))
+        bases = rows.filter("is_total = 1").agg(
+            F.map_from_entries(F.collect_list(entry)).alias("bases")).scalar()
+        rows = rows.withColumn("base", F.try_element_at(bases, F.col("variable"))).withColumns(
             {f"col_pct_{c}": F.try_divide(F.col(f"`n_{c}`").cast("double"),
-                                          F.col(f"`base_{c}`").cast("double")) for c in order})
+                                          F.col("base")[f"b{i}"].cast("double"))
+             for i, c in enumerate(order)})
     rows = rows.withColumns({
         "row_kind": F.when(F.col("is_total") == 1, "total").otherwise("level"),
         "level": F.when(F.col("is_total") == 1, F.concat("variable", F.lit("_Total")))

@@ -210,6 +210,7 @@ def weight_tables(df: DataFrame, targets, weight: str) -> DataFrame:
               .filter("category IS NOT NULL").groupBy("variable", "category")
               .agg(F.count(F.lit(1)).cast("double").alias("unweighted"),
                    F.coalesce(F.sum("__w"), F.lit(0.0)).alias("weighted")))
+    counts = materialize(counts, "margins")  # read several times below, the data once
     zero = F.lit(0.0)
     both = counts.join(aims, ["variable", "category"], "full").select(
         "variable", "category", F.coalesce("proportion", zero).alias("share"),

@@ -1,7 +1,7 @@
 """Streaming notes.
 
 Every survey operator consumes a complete table, so there is no stream-only operator.
-The row-local ones (:mod:`tallyloom.operators.checks` C1-C12 and
+The row-local ones (the checks of :mod:`tallyloom.operators.checks` and
 :mod:`tallyloom.operators.recode`) build plain projections and work unchanged on a
 ``readStream`` DataFrame; ``tests/test_streaming.py`` shows it.
 """
