@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyloom.llm import quality, urls
+from tallyloom.llm import personal, quality, urls
 from tallyloom.plans.small import literal_table
 
 #: The rules of the URL query.
@@ -51,7 +51,23 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept")
 
 
-QUERIES = {"op2_redirect_blocks": op2_redirect_blocks, "op8_line_quality": op8_line_quality}
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and a digest of the base spans, and all spans."""
+    found = personal.find_personal(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        "doc_id", *[count(kind) for kind in personal.BASE],
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+QUERIES = {"op2_redirect_blocks": op2_redirect_blocks, "op4_personal_data": op4_personal_data, "op8_line_quality": op8_line_quality}
 SQL = {"op2_redirect_blocks": SQL_OP2}
 
 
