@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyloom.llm import personal, quality, urls
+from tallyloom.llm import personal, quality, toxicity, urls
 from tallyloom.plans.small import literal_table
 
 #: The rules of the URL query.
@@ -44,6 +44,14 @@ FROM f WHERE k = 1
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from the labelled rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     judged = quality.judge_quality(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -67,7 +75,8 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op2_redirect_blocks": op2_redirect_blocks, "op4_personal_data": op4_personal_data, "op8_line_quality": op8_line_quality}
+QUERIES = {"op2_redirect_blocks": op2_redirect_blocks, "op4_personal_data": op4_personal_data, "op7_toxicity": op7_toxicity,
+           "op8_line_quality": op8_line_quality}
 SQL = {"op2_redirect_blocks": SQL_OP2}
 
 
