@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyloom.llm import personal, quality, toxicity, urls
+from tallyloom.llm import decontaminate, personal, quality, toxicity, urls
 from tallyloom.plans.small import literal_table
 
 #: The rules of the URL query.
@@ -59,6 +59,13 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept")
 
 
+def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every benchmark item that a document holds."""
+    found = decontaminate.find_leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                     _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("l")).select("doc_id", "l.item_id", "l.distance")
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: counts and a digest of the base spans, and all spans."""
     found = personal.find_personal(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -75,7 +82,8 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op2_redirect_blocks": op2_redirect_blocks, "op4_personal_data": op4_personal_data, "op7_toxicity": op7_toxicity,
+QUERIES = {"op2_redirect_blocks": op2_redirect_blocks, "op3_benchmark_leaks": op3_benchmark_leaks,
+           "op4_personal_data": op4_personal_data, "op7_toxicity": op7_toxicity,
            "op8_line_quality": op8_line_quality}
 SQL = {"op2_redirect_blocks": SQL_OP2}
 
