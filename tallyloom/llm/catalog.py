@@ -3,8 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyloom.llm import decontaminate, personal, quality, toxicity, urls
-from tallyloom.plans.small import literal_table
+from tallyloom.llm import decontaminate, personal, quality, toxicity, urls, warc
+from tallyloom.plans.small import literal_table, run_folder
 
 #: The rules of the URL query.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -44,6 +44,13 @@ FROM f WHERE k = 1
 """
 
 
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write a record per page, read the archives back."""
+    path = run_folder(spark, "warc")
+    warc.write_warc(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    return warc.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learned from the labelled rows that are not held out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -83,7 +90,8 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_redirect_blocks": op2_redirect_blocks, "op3_benchmark_leaks": op3_benchmark_leaks,
-           "op4_personal_data": op4_personal_data, "op7_toxicity": op7_toxicity,
+           "op4_personal_data": op4_personal_data, "op5_warc_round_trip": op5_warc_round_trip,
+           "op7_toxicity": op7_toxicity,
            "op8_line_quality": op8_line_quality}
 SQL = {"op2_redirect_blocks": SQL_OP2}
 
