@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyloom.llm import decontaminate, personal, quality, toxicity, urls, warc
+from tallyloom.llm import decontaminate, personal, quality, templates, toxicity, urls, warc
 from tallyloom.plans.small import literal_table, run_folder
 
 #: The rules of the URL query.
@@ -89,10 +89,16 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op9_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return templates.extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES = {"op2_redirect_blocks": op2_redirect_blocks, "op3_benchmark_leaks": op3_benchmark_leaks,
            "op4_personal_data": op4_personal_data, "op5_warc_round_trip": op5_warc_round_trip,
            "op7_toxicity": op7_toxicity,
-           "op8_line_quality": op8_line_quality}
+           "op8_line_quality": op8_line_quality,
+           "op9_template_removal": op9_template_removal}
 SQL = {"op2_redirect_blocks": SQL_OP2}
 
 
