@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyloom.llm import decontaminate, personal, quality, templates, toxicity, urls, warc
+from tallyloom.llm import decontaminate, lines, personal, quality, templates, toxicity, urls, warc
 from tallyloom.plans.small import literal_table, run_folder
 
 #: The rules of the URL query.
@@ -51,6 +51,12 @@ def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines every document has and which of them stand earlier in the corpus."""
+    cleaned = lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", "removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learned from the labelled rows that are not held out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -96,6 +102,7 @@ def op9_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op2_redirect_blocks": op2_redirect_blocks, "op3_benchmark_leaks": op3_benchmark_leaks,
            "op4_personal_data": op4_personal_data, "op5_warc_round_trip": op5_warc_round_trip,
+           "op6_line_dedup": op6_line_dedup,
            "op7_toxicity": op7_toxicity,
            "op8_line_quality": op8_line_quality,
            "op9_template_removal": op9_template_removal}
