@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyloom.llm import decontaminate, lines, personal, quality, templates, toxicity, urls, warc
+from tallyloom.llm import decontaminate, jaccard, lines, personal, quality, templates, toxicity, urls, warc
 from tallyloom.plans.small import literal_table, run_folder
 
 #: The rules of the URL query.
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document."""
+    return jaccard.near_copies(_table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("doc", "doc_id")
+
+
 def op2_redirect_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on every url of ``pages``."""
     rules = literal_table(spark, URL_RULES, "host string, path string, verdict string")
@@ -100,7 +105,7 @@ def op9_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
-QUERIES = {"op2_redirect_blocks": op2_redirect_blocks, "op3_benchmark_leaks": op3_benchmark_leaks,
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_redirect_blocks": op2_redirect_blocks, "op3_benchmark_leaks": op3_benchmark_leaks,
            "op4_personal_data": op4_personal_data, "op5_warc_round_trip": op5_warc_round_trip,
            "op6_line_dedup": op6_line_dedup,
            "op7_toxicity": op7_toxicity,
