@@ -3,9 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyloom.llm import decontaminate, jaccard, lines, personal, quality, templates, toxicity, urls, warc
+from tallyloom.llm import decontaminate, jaccard, lines, personal, pieces, quality, templates, toxicity, urls, warc
 from tallyloom.plans.small import literal_table, run_folder
 
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 #: The rules of the URL query.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
              ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -105,12 +107,20 @@ def op9_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op10_piece_lattice(spark: SparkSession, sf_dir: str, model_file: str = PIECE_MODEL) -> DataFrame:
+    """The piece ids of every document, and a digest of the text that they decode to."""
+    model = pieces.load_model(model_file)
+    encoded = pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return pieces.decode(encoded, model).select(
+        F.col("doc").alias("doc_id"), F.size("ids").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_redirect_blocks": op2_redirect_blocks, "op3_benchmark_leaks": op3_benchmark_leaks,
            "op4_personal_data": op4_personal_data, "op5_warc_round_trip": op5_warc_round_trip,
            "op6_line_dedup": op6_line_dedup,
            "op7_toxicity": op7_toxicity,
            "op8_line_quality": op8_line_quality,
-           "op9_template_removal": op9_template_removal}
+           "op9_template_removal": op9_template_removal, "op10_piece_lattice": op10_piece_lattice}
 SQL = {"op2_redirect_blocks": SQL_OP2}
 
 
