@@ -1,17 +1,21 @@
-"""SentencePiece encoding and decoding: a relational lattice over distinct words, folded by Viterbi.
+"""SentencePiece encoding and decoding: a relational lattice over distinct words, folded by higher-order functions.
 
 Texts are cut where no piece can reach across: before runs of the space mark, at line breaks, and between a letter and
 a punctuation mark that follows a letter in no piece. Every task names its distinct words; the distinct words of the
 corpus are exploded to all substrings of at most the longest piece's length, joined by equality to the piece table and
-grouped by word again; a higher-order ``aggregate`` over a word's edges, sorted by end and start, keeps the best score of
-each end and its edge, and a second one walks back. A character without a piece has an edge of its own and is
-encoded as bytes. The words' ids return to the blocks of documents that asked for them, and each block is put together.
+grouped by word again, and a higher-order ``aggregate`` folds the edges of a word. A character without a piece has an edge
+of its own and is encoded as bytes. The words' ids return to the blocks of documents that asked for them, and each
+block is put together.
 
-The best path is the one with the highest sum of piece scores, of equal ones the one whose last piece starts first. This is
-how a unigram model encodes. The scores of a merge model are its ranks; its merging may choose other pieces.
+A unigram model is folded by Viterbi: over the edges by end and start the fold keeps the best score of each end and its
+edge, and a second fold walks back; of equal sums the path whose last piece starts first wins. The scores of a merge
+model (BPE) are ranks, whose sums mean nothing, so Viterbi would not give the model's ids. There the edges come by rank and
+place, and the fold's state is the set of the word's current boundaries, as bits: an edge with boundaries at both ends and
+one inside removes that one. Where a merge makes a piece that a better ranked piece could take up, the fold of that
+word is repeated edge by edge from the best rank after every merge, which is the definition of merging.
 
 What is broadcast is the piece table, whose size the model file fixes. Words of more than ``LONG`` characters are folded
-where they stand.
+where they stand, by the same rules.
 
 Edge cases: a null text counts as empty, and an empty text has no ids; the space mark itself decodes to a space, every other
 text comes back exactly; repeated rows come out alike; null ids are kept; an empty table gives an empty result;
@@ -19,6 +23,7 @@ other columns are not looked at.
 """
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,9 +38,10 @@ from tallyloom.llm.arrow import small_batches
 from tallyloom.plans.small import literal_table
 
 SPACE = "▁"
-LONG = 64
+LONG = 60                     # boundaries of a word and a flag fit a bigint
 UNKNOWN_PENALTY = 10.0
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6  # kinds of pieces in a model file
+UNIGRAM_MODEL, MERGE_MODEL = 1, 2
 MAX_PIECES = 1_000_000
 WORDS_HELD = 200_000
 
@@ -45,6 +51,7 @@ class PieceModel:
     """The pieces of a model file and what its normalizer does."""
     pieces: tuple[tuple[str, float, int], ...]  # text, score, kind; the position is the id
     add_dummy_prefix: bool = True
+    merges: bool = False  # a merge model (BPE), not a unigram model
 
     @cached_property
     def table(self) -> dict[str, tuple[int, float]]:
@@ -94,8 +101,41 @@ class PieceModel:
     def unknown(self, char: str) -> list[int]:
         return [self.unknown_id] if self.byte_ids is None else [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")]
 
+    @cached_property
+    def taken_up(self) -> frozenset[str]:
+        """Pieces that are a half of a piece of better rank."""
+        halves = ((h, s) for t, (_, s) in self.table.items() for k in range(1, len(t)) for h in (t[:k], t[k:])
+                  if t[:k] in self.table and t[k:] in self.table)
+        return frozenset(h for h, s in halves if s > self.table[h][1])
+
     def fold(self, word: str) -> list[int]:
-        """Viterbi in place, for words that are too long to be worth a row per substring."""
+        """The ids of one word, for words that are too long to be worth a row per substring."""
+        cuts = self._merged(word) if self.merges else self._viterbi(word)
+        ids = [self.table.get(word[a:b]) for a, b in zip(cuts, cuts[1:])]
+        return [i for (a, b), known in zip(zip(cuts, cuts[1:]), ids) for i in ([known[0]] if known else self.unknown(word[a:b]))]
+
+    def _merged(self, word: str) -> list[int]:
+        """Boundaries after merging the best ranked neighbours, leftmost first, as long as there are any."""
+        after = list(range(1, len(word) + 1)) + [-1]
+        before = [-1] + list(range(len(word)))
+        queue: list[tuple[float, int, int, int]] = []
+
+        def offer(a: int) -> None:
+            if a >= 0 and (m := after[a]) != -1 and (b := after[m]) != -1 and (piece := self.table.get(word[a:b])):
+                heapq.heappush(queue, (-piece[1], a, m, b))
+
+        for a in range(len(word)):
+            offer(a)
+        gone = bytearray(len(word) + 1)
+        while queue:
+            _, a, m, b = heapq.heappop(queue)
+            if not gone[a] and after[a] == m and after[m] == b:
+                gone[m], after[a], before[b] = 1, b, a
+                offer(before[a])
+                offer(a)
+        return [k for k in range(len(word) + 1) if not gone[k]]
+
+    def _viterbi(self, word: str) -> list[int]:
         best: list[tuple[float, int, int]] = [(0.0, 0, -1)]
         for end in range(1, len(word) + 1):
             found = None
@@ -104,12 +144,10 @@ class PieceModel:
                 if piece and (found is None or best[start][0] + piece[1] > found[0]):
                     found = (best[start][0] + piece[1], start, piece[0])
             best.append(found)
-        path, end = [], len(word)
-        while end:
-            _, start, i = best[end]
-            path.append([i] if i >= 0 else self.unknown(word[start:end]))
-            end = start
-        return [i for ids in reversed(path) for i in ids]
+        cuts = [len(word)]
+        while cuts[-1]:
+            cuts.append(best[cuts[-1]][1])
+        return cuts[::-1]
 
     def decode(self, ids: list[int]) -> str:
         out, held = [], bytearray()
@@ -140,22 +178,28 @@ def load_model(path: str) -> PieceModel:
     rules = model.normalizer_spec
     if rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.escape_whitespaces:
         raise ValueError("only the identity normalizer is supported")
+    if model.trainer_spec.model_type not in (UNIGRAM_MODEL, MERGE_MODEL):
+        raise ValueError("only unigram and merge models are supported")
     if len(model.pieces) > MAX_PIECES:
         raise ValueError(f"more than {MAX_PIECES} pieces")
-    return PieceModel(tuple((p.piece, p.score, p.type) for p in model.pieces), rules.add_dummy_prefix)
+    return PieceModel(tuple((p.piece, p.score, p.type) for p in model.pieces), rules.add_dummy_prefix,
+                      model.trainer_spec.model_type == MERGE_MODEL)
 
 
 def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
-    """``word``, ``first``, ``last``, ``id``, ``score``: the edges of every word; id -1 for a character without a piece."""
-    table = F.broadcast(literal_table(words.sparkSession, [(t, i, float(s)) for t, (i, s) in model.table.items()],
-                                      "piece string, id integer, score double"))
+    """``word``, ``first``, ``last``, ``id``, ``score``: the edges of every word; id -1 for a character without a piece.
+    ``taken_up`` is 1 for a half of a better ranked piece."""
+    up = model.taken_up if model.merges else frozenset()
+    table = F.broadcast(literal_table(words.sparkSession, [(t, i, float(s), int(t in up)) for t, (i, s) in model.table.items()],
+                                      "piece string, id integer, score double, taken_up integer"))
     starts = words.select("word", F.posexplode(F.sequence(F.lit(1), F.length("word"))).alias("first", "at"))
     tails = starts.select("word", "first", F.substring(F.col("word"), F.col("at"), F.lit(model.longest)).alias("tail"))
     parts = tails.select("word", "first", "tail", F.explode(F.sequence(F.lit(1), F.length("tail"))).alias("n"))
     parts = parts.select("word", "first", "n", F.substring(F.col("tail"), F.lit(1), F.col("n")).alias("piece"))
     return (parts.join(table, "piece", "left").where("id is not null or n = 1")
             .select("word", "first", (F.col("first") + F.col("n")).alias("last"), F.coalesce("id", F.lit(-1)).alias("id"),
-                    F.coalesce("score", F.lit(model.unknown_score)).alias("score")))
+                    F.coalesce("score", F.lit(model.unknown_score)).alias("score"),
+                    F.coalesce("taken_up", F.lit(0)).alias("taken_up")))
 
 
 def best_paths(edges: DataFrame) -> DataFrame:
@@ -185,9 +229,40 @@ def best_paths(edges: DataFrame) -> DataFrame:
     return best.select("word", walk.alias("path"))
 
 
+def merged_paths(edges: DataFrame) -> DataFrame:
+    """``word`` and ``path`` of a merge model. Boundary k of a word is bit k of the state; bit 63 marks a word in which
+    a piece came up that a better ranked one could take up."""
+    bit = "shiftleft(1L, {})".format
+    with_bits = edges.select(
+        "word", F.struct((-F.col("score")).alias("order"), "first", "id", "taken_up",
+                         F.expr(f"{bit('first')} | {bit('last')}").alias("ends"),
+                         F.expr(f"{bit('last')} - {bit('first + 1')}").alias("inner")).alias("e"))
+    words = with_bits.groupBy("word").agg(F.sort_array(F.collect_list("e")).alias("edges"))
+    start = F.expr("shiftleft(1L, length(word) + 1) - 1")
+
+    def applies(m: Column, e: Column) -> Column:
+        return (m.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(m.bitwiseAND(e["inner"])) == 1)
+
+    def without(m: Column, e: Column) -> Column:
+        return m.bitwiseAND(F.bitwise_not(e["inner"]))
+
+    once = F.aggregate("edges", start, lambda m, e: F.when(applies(m, e), F.when(
+        e["taken_up"] == 1, without(m, e).bitwiseOR(F.lit(-1 << 63))).otherwise(without(m, e))).otherwise(m))
+
+    def best(m: Column) -> Column:
+        return F.get(F.filter("edges", lambda e: applies(m, e)), F.lit(0))
+
+    again = F.aggregate(F.sequence(F.lit(1), F.length("word")), start, lambda m, _: F.coalesce(without(m, best(m)), m))
+    cut = words.select("word", "edges", once.alias("m")).withColumn("m", F.when(F.col("m") < 0, again).otherwise(F.col("m")))
+    kept = F.filter("edges", lambda e: (F.col("m").bitwiseAND(e["ends"]) == e["ends"]) &
+                    (F.col("m").bitwiseAND(e["inner"]) == 0))
+    return cut.select("word", F.sort_array(F.transform(kept, lambda e: F.struct(e["first"], e["id"]))).alias("path"))
+
+
 def encode_words(words: DataFrame, model: PieceModel) -> DataFrame:
     """``word`` and ``path`` of distinct words of at most LONG characters."""
-    return best_paths(lattice(words.where("word <> ''"), model))
+    edges = lattice(words.where("word <> ''"), model)
+    return merged_paths(edges) if model.merges else best_paths(edges)
 
 
 def _requests(model: PieceModel):
