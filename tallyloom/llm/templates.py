@@ -6,8 +6,8 @@ their purpose (nav, footer, forms, classes such as ``ad`` or ``comments``) go as
 a small host come out clean too. Inside ``article`` or ``main`` only containers can be template: a paragraph that many
 articles quote stays. The text is that of the articles if there are any, else of ``main``, else of the body.
 
-A page is known by its host and the hash of its html, so equal pages count once and hot hosts or pages
-only make one key of a partial aggregate or of a join that adaptive execution splits.
+A page is known by its host and the hash of its html, so equal pages count once, and a hot host is one key of a partial
+aggregate. Pages themselves are not shuffled.
 
 Edge cases: a null or empty html has the empty text; a null url, or one without a host, belongs to the empty host;
 repeated rows come out alike; an empty table gives an empty result; unclosed elements end with the page; input
@@ -23,10 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tallyloom.llm.arrow import small_batches
+from tallyloom.llm.common import broadcast_below
 from tallyloom.llm.urls import url_host
+from tallyloom.plans.small import materialize
 
 MIN_PAGES = 8
 MIN_SHARE = 0.3
+MAX_HOSTS = 20_000  # hosts whose templates are broadcast
 
 #: Kinds of elements of HTML, and words of class, id and role that name page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -156,29 +159,30 @@ def _texts(htmls: pa.Array, templates: pa.Array) -> pa.Array:
     return pa.array([Page(h.as_py() or "", frozenset(t.as_py() or ())).text() for h, t in zip(htmls, templates)], pa.string())
 
 
-def template_subtrees(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES,
-                      min_share: float = MIN_SHARE) -> DataFrame:
-    """``host``, ``page`` (hash of the html) and ``template``: the hashes of the page's subtrees that stand on at least
-    ``min_pages`` different pages of the host and on at least the share ``min_share`` of them."""
+def host_templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES,
+                   min_share: float = MIN_SHARE) -> DataFrame:
+    """``host`` and ``template``: the hashes of the subtrees that stand on at least ``min_pages`` different pages of the host
+    and on at least the share ``min_share`` of them. So a host has at most 1 / ``min_share`` times as many of them as its
+    pages have elements, however many pages it has."""
     small_batches(pages.sparkSession)
     own = (pages.select(url_host(F.col(url)).alias("host"), F.xxhash64(html).alias("page"), F.col(html).alias("html"))
            .select("host", "page", F.arrow_udf(_subtrees, "array<bigint>")("html").alias("subtrees"))
            .groupBy("host", "page").agg(F.any_value("subtrees").alias("subtrees")))
-    trees = own.select("host", "page", F.explode("subtrees").alias("subtree"))
+    trees = own.select("host", F.explode("subtrees").alias("subtree"))
     sizes = own.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
     common = (trees.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min_pages)
-              .join(sizes, "host").where(F.col("c") >= F.lit(min_share) * F.col("n")).select("host", "subtree"))
-    return (trees.join(common, ["host", "subtree"]).groupBy("host", "page")
-            .agg(F.collect_list("subtree").alias("template")))
+              .join(sizes, "host").where(F.col("c") >= F.lit(min_share) * F.col("n")))
+    return common.groupBy("host").agg(F.collect_list("subtree").alias("template"))
 
 
 def extract_text(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES,
                  min_share: float = MIN_SHARE) -> DataFrame:
-    """``pages`` without ``html``, with ``text`` (blocks in page order, one per line) and ``n_chars``."""
-    found = template_subtrees(pages, url, html, min_pages, min_share).select(
-        F.col("host").alias("__host"), F.col("page").alias("__page"), F.col("template").alias("__template"))
+    """``pages`` without ``html``, with ``text`` (blocks in page order, one per line) and ``n_chars``. The templates, a row per
+    host, are written once and broadcast if they are few; else the pages are joined to them by host."""
+    found = materialize(host_templates(pages, url, html, min_pages, min_share), "host-templates").select(
+        F.col("host").alias("__host"), F.col("template").alias("__template"))
     rest = [c for c in pages.columns if c not in (html, "text", "n_chars")]
-    rows = pages.select(*rest, F.col(html).alias("__html"), url_host(F.col(url)).alias("__h"), F.xxhash64(html).alias("__p"))
-    joined = rows.join(found, (F.col("__h") == F.col("__host")) & (F.col("__p") == F.col("__page")), "left")
+    rows = pages.select(*rest, F.col(html).alias("__html"), url_host(F.col(url)).alias("__h"))
+    joined = rows.join(broadcast_below(found, MAX_HOSTS), F.col("__h") == F.col("__host"), "left")
     return (joined.withColumn("text", F.arrow_udf(_texts, "string")("__html", "__template"))
             .select(*rest, "text").withColumn("n_chars", F.length("text").cast("long")))
