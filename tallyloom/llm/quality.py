@@ -8,11 +8,18 @@ alike; an empty table gives an empty result; input columns whose names the repor
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyloom.plans.small import fence
+
 SPACES = " \t\n\x0b\x0c\r"          # the white space that separates words
 WORD_GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
+MORE_SYMBOLS = "{}[]=_~^\\"
+BARS = "|»›•"
+MARKS = r"[#*$%&|<>{}\[\]=_~^\\»›•]"  # any of the three
 WINDOW = 5
 
 #: Phrases of menus, notices and page furniture, matched in the lower-case line.
@@ -30,34 +37,43 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, WORD_GAP), lambda w: w != "")
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _repeat_words(words: Column) -> Column:
-    """Words inside windows of five words that occur twice or more. Window hashes that are all
-    distinct prove that there are none; only then are the windows themselves compared."""
+    """Words inside windows of five words that occur twice or more, windows told by a 64-bit hash. Windows that are all
+    distinct need no sorting."""
     starts = F.sequence(F.lit(0), F.size(words) - WINDOW)
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
 
-    def window_hash(h: Column) -> Column:
-        return F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
+    def covered(h: Column) -> Column:
+        """The windows sorted by hash; those equal to a neighbour, by place; the sum of what each adds."""
+        def repeated(s: Column) -> Column:
+            same = F.filter(starts, lambda j: (F.get(s, j)["h"] == F.get(s, j - 1)["h"]) |
+                            F.coalesce(F.get(s, j)["h"] == F.get(s, j + 1)["h"], F.lit(False)))
+            return F.sort_array(F.transform(same, lambda j: F.get(s, j)["i"]))
 
-    # two nested transforms keep every intermediate array a variable, evaluated once
-    unique = F.element_at(F.transform(F.array(hashed), lambda h: F.element_at(F.transform(
-        F.array(window_hash(h)), lambda x: F.size(F.array_distinct(x)) == F.size(x)), 1)), 1)
-    windows = F.transform(starts, lambda i: F.struct(
-        F.array_join(F.slice(words, i + 1, F.lit(WINDOW)), " ").alias("w"), i.alias("i")))
+        def count(p: Column) -> Column:
+            before = F.transform(p, lambda i, k: F.when(k == 0, WINDOW).otherwise(F.least(i - F.get(p, k - 1), F.lit(WINDOW))))
+            return F.aggregate(before, F.lit(0), lambda a, x: a + x)
 
-    def repeated(s: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(s) - 1)
-        same = F.filter(at, lambda j: (F.get(s, j)["w"] == F.get(s, j - 1)["w"]) |
-                        F.coalesce(F.get(s, j)["w"] == F.get(s, j + 1)["w"], F.lit(False)))
-        return F.sort_array(F.transform(same, lambda j: F.get(s, j)["i"]))
+        windows = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+        return _once(_once(F.sort_array(windows), repeated), count)
 
-    def covered(p: Column) -> Column:
-        return F.aggregate(p, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
-                           lambda a, i: F.struct((a["n"] + i + WINDOW - F.greatest(a["end"], i)).alias("n"),
-                                                 (i + WINDOW).alias("end")), lambda a: a["n"])
+    counted = _once(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(h)))
+    return F.when(F.size(words) <= WINDOW, 0).otherwise(counted).cast("long")
 
-    counted = F.element_at(F.transform(F.array(F.sort_array(windows)), lambda s: covered(repeated(s))), 1)
-    return F.when(F.size(words) <= WINDOW, 0).when(unique, 0).otherwise(counted).cast("long")
+
+def _has_phrase(text: Column) -> Column:
+    def any_of(low: Column) -> Column:
+        found = F.lit(False)
+        for p in BOILERPLATE:
+            found = found | low.contains(p)
+        return found
+
+    return F.exists(F.array(F.lower(text)), any_of)
 
 
 def line_failure(line: Column, max_symbol_share: float = 0.3, max_pipes_per_word: float = 0.3) -> Column:
@@ -66,21 +82,19 @@ def line_failure(line: Column, max_symbol_share: float = 0.3, max_pipes_per_word
     never fail: they are separators."""
     body = _without(line, SPACES)
     n = F.length(body)
-    items = n - F.length(_without(body, "|»›•"))
     words = F.size(_words(line))
-    low = F.lower(line)
-    phrase = F.lit(False)
-    for p in BOILERPLATE:
-        phrase = phrase | low.contains(p)
-    return (F.when(n == 0, None)
-            .when(n - F.length(_without(body, SYMBOLS + "{}[]=_~^\\")) > max_symbol_share * n, "symbols")
-            .when((words >= 6) & (items > max_pipes_per_word * words), "navigation")
-            .when((words <= 25) & phrase, "boilerplate"))
+    symbols = n - F.length(_without(body, SYMBOLS + MORE_SYMBOLS)) > max_symbol_share * n
+    navigation = (words >= 6) & (n - F.length(_without(body, BARS)) > max_pipes_per_word * words)
+    marked = line.rlike(MARKS)
+    return (F.when(marked & symbols, "symbols").when(marked & line.rlike(f"[{BARS}]") & navigation, "navigation")
+            .when(_has_phrase(line) & (words <= 25), "boilerplate"))
 
 
 def clean_lines(text: Column) -> Column:
-    """The text without failing lines."""
-    return F.array_join(F.filter(F.split(text, "\n"), lambda x: line_failure(x).isNull()), "\n")
+    """The text without failing lines. A line fails by a mark or by a phrase, so a text that has neither stays as it is
+    without a look at its lines."""
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x: line_failure(x).isNull()), "\n")
+    return F.when(text.rlike(MARKS) | _has_phrase(text), kept).otherwise(text)
 
 
 def judge_quality(docs: DataFrame, text: str = "text", min_words: int = 10, max_repeat_percent: int = 20,
@@ -92,20 +106,27 @@ def judge_quality(docs: DataFrame, text: str = "text", min_words: int = 10, max_
     in repeated windows. ``kept``: not failed and ``lost`` at most ``max_lost``."""
     body = F.coalesce(F.col(text), F.lit(""))
     words = F.col("__words")
-    lines = F.filter(F.split(body, "\n"), lambda x: F.length(_without(x, SPACES)) > 0)
+    lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_text", "lost",
              "kept")
     base = docs.select(*[c for c in docs.columns if c not in added], _words(body).alias("__words"),
                        lines.alias("__lines"), clean_lines(body).alias("clean_text"))
-    word_chars = F.length(_without(body, SPACES))
+    word_chars = F.length(F.array_join(words, ""))
+    symbols = F.when(body.rlike(f"[{SYMBOLS}]"), F.length(body) - F.length(_without(body, SYMBOLS))).otherwise(0)
     counted = base.select(
         "*", F.size(words).cast("long").alias("n_words"), word_chars.cast("long").alias("word_chars"),
-        (F.length(body) - F.length(_without(body, SYMBOLS))).cast("long").alias("n_symbols"),
+        symbols.cast("long").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         _repeat_words(words).alias("n_repeat_words")).drop("__words", "__lines")
     failed = ((F.col("n_words") < min_words) |
               (F.lit(100) * F.col("n_repeat_words") > F.lit(max_repeat_percent) * F.col("n_words")))
     left = F.length(_without(F.col("clean_text"), SPACES))
+    untouched = (F.col("word_chars") == 0) | (F.col("clean_text") == body)
     return (counted.withColumn("base_failed", failed)
-            .withColumn("lost", F.when(F.col("word_chars") == 0, 0.0).otherwise(1.0 - left / F.col("word_chars")))
+            .withColumn("lost", F.when(untouched, 0.0).otherwise(1.0 - left / F.col("word_chars")))
             .withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= max_lost)))
+
+
+def keep_clean(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The kept rows of ``judge_quality``. The fence keeps the optimizer from copying the whole judgement into the filter."""
+    return fence(judge_quality(docs, text), "kept").withColumnRenamed("value", "kept").where("kept")
