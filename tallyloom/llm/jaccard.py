@@ -155,7 +155,7 @@ def _matrix(sketches: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), np.uint32).reshape(len(sketches), WIDTH)
 
 
-def _nodes(last: bool):
+def _nodes(last: bool, most: int):
     """Sorts nodes out: ``side`` 2 for a node to be compared with itself, 0 and 1 for the blocks of a pair, 3 for a node
     to be split further."""
     def sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,10 +164,10 @@ def _nodes(last: bool):
             own = np.unique(own)
             if len(own) < 2:
                 continue
-            if len(own) <= BLOCK or not last:
-                members = [(int(path[0]), own, 2 if len(own) <= BLOCK else 3)]
+            if len(own) <= most or not last:
+                members = [(int(path[0]), own, 2 if len(own) <= most else 3)]
             else:
-                blocks = [own[s:s + BLOCK] for s in range(0, len(own), BLOCK)]
+                blocks = [own[s:s + most] for s in range(0, len(own), most)]
                 members = []
                 for i, a in enumerate(blocks):
                     for j in range(i, len(blocks)):
@@ -255,7 +255,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", recall
 
     def sorted_out(nodes: DataFrame, level: int) -> DataFrame:
         return materialize(nodes.repartition(parts, "path").sortWithinPartitions("path")
-                           .mapInArrow(_nodes(level == DEPTH), "path bigint, sid bigint, side tinyint"), f"nodes-{level}")
+                           .mapInArrow(_nodes(level == DEPTH, BLOCK), "path bigint, sid bigint, side tinyint"), f"nodes-{level}")
 
     level = sorted_out(sketches.mapInArrow(_roots(runs_for(recall)), "path bigint, sid bigint"), 1)
     leaves = level.where("side < 3")

@@ -186,32 +186,38 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut-off ends of ranges (seq -1, at the next range's start) and leading parts of ranges."""
+    """Cut-off ends of ranges (seq -1, at the end of the range), leading parts of ranges (seq 0 and up) and, as seq -2, the
+    starts of ranges that hold a member."""
     for now, packed, last in _ranges(batches):
         if not last:
             continue
-        found = [(now.file, now.start, k, x, now.end, now.parts is None) for k, x in enumerate(now.leading)]
+        found = [(now.file, now.start, k, x) for k, x in enumerate(now.leading)]
+        if now.parts is not None:
+            found.append((now.file, now.start, -2, b""))
         if packed is not None and _unpack(packed) is None:
-            found.append((now.file, now.end, -1, packed, now.end, False))
+            found.append((now.file, now.end, -1, packed))
         if found:
-            yield pa.record_batch([pa.array(x) for x in zip(*found)], ["file", "at", "seq", "part", "next", "all_parts"])
+            yield pa.record_batch([pa.array(x) for x in zip(*found)], ["file", "at", "seq", "part"])
 
 
 def _glue(parts: pd.DataFrame) -> pd.DataFrame:
-    """The records of one file whose parts lie in several ranges."""
-    parts = parts.sort_values(["at", "seq"])
-    by_start = {at: g for at, g in parts[parts.seq >= 0].groupby("at")}
+    """The records of one file whose parts lie in several ranges: the cut-off end of one, the parts that lead the next
+    ones, up to a range that holds a member. Ranges without a row lie inside a part."""
     rows = []
-    for at, packed in parts.loc[parts.seq < 0, ["at", "part"]].itertuples(index=False):
-        while at in by_start:  # on through ranges that hold nothing but parts of this record
-            more = by_start[at]
-            packed += b"".join(more["part"])
-            data = _unpack(packed)
+    open_part = None
+    # a cut-off end stands before what begins at the same place
+    for _, seq, part in parts.assign(k=parts.seq.replace({-1: -3, -2: 1 << 40})).sort_values(["at", "k"])[
+            ["at", "seq", "part"]].itertuples(index=False):
+        if seq == -1:
+            open_part = part
+        elif seq == -2:
+            open_part = None
+        elif open_part is not None:
+            open_part += part
+            data = _unpack(open_part)
             if data is not None:
                 rows.append(parse_record(data))
-            if data is not None or not more["all_parts"].iloc[0]:
-                break
-            at = more["next"].iloc[0]
+                open_part = None
     return pd.DataFrame(rows, columns=[f.split()[0] for f in RECORD.split(", ")])
 
 
@@ -222,5 +228,5 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     pieces = (spark.read.option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).text(path)
               .select(F.col("value").cast("binary").alias("piece"), "_metadata.file_path", "_metadata.file_block_start",
                       "_metadata.file_block_length"))
-    cut = pieces.mapInArrow(_fragments, "file string, at bigint, seq bigint, part binary, next bigint, all_parts boolean")
+    cut = pieces.mapInArrow(_fragments, "file string, at bigint, seq bigint, part binary")
     return pieces.mapInArrow(_read, RECORD).unionByName(cut.groupBy("file").applyInPandas(_glue, RECORD))
