@@ -24,7 +24,7 @@ def _with_text(docs: DataFrame, changed: DataFrame, text: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line-first rules keep, without the lines that fail."""
-    return _with_text(docs, quality.judge_quality(docs).where("kept"), "clean_text")
+    return _with_text(docs, quality.keep_clean(docs), "clean_text")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
