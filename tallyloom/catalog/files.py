@@ -10,7 +10,7 @@ from ..plans.small import run_folder
 from ..sources import readers, writers
 from . import checks as K
 from . import weighting as KW
-from .base import resp, rounded, table, with_resp
+from .base import resp, table, with_resp
 
 # the syntax of one survey, made of a row of customer
 _SYNTAX = """CONCAT(
@@ -87,8 +87,8 @@ def _write_gaps(spark, sf):
 
 def _write_tables(spark, sf):
     path = run_folder(spark, "weights")
-    writers.write_weight_tables(W.weight_tables(resp(spark, sf), KW._TABLE_TARGETS, "wt"), path)
-    return rounded(spark.read.parquet(path))
+    writers.write_weight_tables(W.weight_tables(resp(spark, sf), KW.TARGETS, "wt"), path)
+    return KW.tables_shown(spark.read.parquet(path))
 
 
 def _write_codebook(spark, sf):

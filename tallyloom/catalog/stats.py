@@ -1,4 +1,4 @@
-"""Statistics."""
+"""Means, tests and summaries."""
 from pyspark.sql import functions as F
 
 from ..operators import stats as S
@@ -30,6 +30,8 @@ QUERIES = {
     "oneway_anova_missing": lambda spark, sf: rounded(S.oneway_anova(
         resp(spark, sf), "opinion", "score", iv_missing=[4], dv_missing=[100]), 4),
     "weight_description": lambda spark, sf: rounded(S.weight_description(resp(spark, sf), "wt")),
+    "describe_continuous": lambda spark, sf: rounded(S.describe(
+        table(spark, sf, "lineitem"), ["l_extendedprice", "l_quantity", "l_orderkey"]), 4),
     "describe": lambda spark, sf: rounded(S.describe(
         resp(spark, sf), ["score", "a2y", "a2m", "edugp"])),
 }
@@ -62,14 +64,14 @@ def _anova_sql(source, iv, dv):
             "SELECT 'Residual', ROUND(ssw, 4), df2, NULL, NULL FROM f")
 
 
-def _describe_sql(cols):
+def _describe_sql(cols, source="resp", digits=6):
     measures = {"count": "CAST(COUNT({c}) AS DOUBLE)", "mean": "AVG({c})", "std": "STDDEV_SAMP({c})",
                 "min": "CAST(MIN({c}) AS DOUBLE)", "25%": "QUANTILE_CONT(CAST({c} AS DOUBLE), 0.25)",
                 "50%": "QUANTILE_CONT(CAST({c} AS DOUBLE), 0.5)",
                 "75%": "QUANTILE_CONT(CAST({c} AS DOUBLE), 0.75)", "max": "CAST(MAX({c}) AS DOUBLE)"}
     return with_resp(" UNION ALL ".join(
         f"SELECT '{name}' AS statistic, "
-        + ", ".join(f"ROUND({m.format(c=c)}, 6) AS {c}" for c in cols) + " FROM resp"
+        + ", ".join(f"ROUND({m.format(c=c)}, {digits}) AS {c}" for c in cols) + f" FROM {source}"
         for name, m in measures.items()))
 
 
@@ -94,5 +96,6 @@ SQL = {
     "weight_description": with_resp(
         "SELECT COUNT(*) AS n, MAX(wt) AS max, MIN(wt) AS min, MEDIAN(wt) AS median, ROUND(AVG(wt), 6) AS mean, "
         "ROUND(VAR_SAMP(wt), 6) AS variance, ROUND(STDDEV_SAMP(wt), 6) AS sd FROM resp"),
+    "describe_continuous": _describe_sql(["l_extendedprice", "l_quantity", "l_orderkey"], "lineitem", 4),
     "describe": _describe_sql(["score", "a2y", "a2m", "edugp"]),
 }

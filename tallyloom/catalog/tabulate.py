@@ -27,6 +27,10 @@ QUERIES = {
     "value_counts_with_null": lambda spark, sf: T.value_counts_with_null(resp(spark, sf), "edugp"),
     "crosstab": lambda spark, sf: rounded(T.crosstab(
         table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus", categories=["F", "O"])),
+    "crosstab_categories": lambda spark, sf: rounded(T.crosstab(
+        resp(spark, sf), "agegp", "opinion", weight="wt", colpercent=True, categories=[3, 1])),
+    "freq_table_text": lambda spark, sf: rounded(T.freq_table(
+        table(spark, sf, "customer"), "c_mktsegment", missing=[95, "BUILDING"])),
     "crosstab_weighted": lambda spark, sf: rounded(T.crosstab(
         resp(spark, sf), "edugp", "supporting_party", weight="wt", colmissing=[95],
         colpercent=True)),
@@ -105,7 +109,8 @@ def _multi_sql(variables):
 
 
 def _xtab_sql(source, variables, column, cats, weight=None, missing=(), nets=None,
-              colpercent=False, rolling=None):
+              colpercent=False, rolling=None, listed=False):
+    """``listed``: the categories are a given list, all others count as ``other``."""
     nets, kind = nets or {}, "DOUBLE" if weight else "BIGINT"
     where = f"WHERE {column} IS NULL OR {column} NOT IN ({', '.join(map(str, missing))})" if missing else ""
     w = f"COALESCE({weight}, 0)" if weight else "1"
@@ -115,15 +120,21 @@ def _xtab_sql(source, variables, column, cats, weight=None, missing=(), nets=Non
         f"FROM src {where} GROUP BY 3, 4" for i, v in enumerate(variables))
     members = {str(c): [str(c)] for c in cats} | {k: [str(m) for m in ms] for k, ms in nets.items()}
 
+    if listed:
+        members["other"] = None
+
     def n(c):
+        if members[c] is None:
+            known = ", ".join(f"'{m}'" for m in cats)
+            return f"COALESCE(SUM(value) FILTER (WHERE cat NOT IN ({known})), 0)"
         inside = ", ".join(f"'{m}'" for m in members[c])
         return f"COALESCE(SUM(value) FILTER (WHERE cat IN ({inside})), 0)"
 
     cols = [f"CAST({n(c)} AS {kind}) AS \"n_{c}\"" for c in members]
-    pcts = [f"ROUND(CAST(\"n_{c}\" AS DOUBLE) / n, 6) AS \"row_pct_{c}\"" for c in members]
+    pcts = [f"ROUND(CAST(\"n_{c}\" AS DOUBLE) / NULLIF(n, 0), 6) AS \"row_pct_{c}\"" for c in members]
     if colpercent:
-        pcts += [f"ROUND(CAST(\"n_{c}\" AS DOUBLE) / MAX(CASE WHEN row_kind = 'total' THEN \"n_{c}\" END) "
-                 f"OVER (PARTITION BY variable), 6) AS \"col_pct_{c}\"" for c in members]
+        pcts += [f"ROUND(CAST(\"n_{c}\" AS DOUBLE) / NULLIF(MAX(CASE WHEN row_kind = 'total' THEN \"n_{c}\" END) "
+                 f"OVER (PARTITION BY variable), 0), 6) AS \"col_pct_{c}\"" for c in members]
     extra = []
     if rolling:
         name, op, c1, c2 = rolling
@@ -138,6 +149,7 @@ def _xtab_sql(source, variables, column, cats, weight=None, missing=(), nets=Non
 
 SQL = {
     "freq_table": _freq("lineitem", "l_returnflag", ["l_quantity"], [], 100.0, "DOUBLE"),
+    "freq_table_text": _freq("customer", "c_mktsegment", [], ["'BUILDING'"], 100.0, "DOUBLE"),
     "freq_table_missing": _freq("resp", "supporting_party", ["wt", "score"], [95, 98], 100.0,
                                 "DOUBLE", w_round=True),
     "freq_table_fraction": _freq("resp", "edugp", ["wt"], [], 1.0, "DOUBLE"),
@@ -146,11 +158,12 @@ SQL = {
     "col_content": with_resp("SELECT DISTINCT supporting_party FROM resp"),
     "value_counts_with_null": with_resp(
         "SELECT edugp AS value, COUNT(*) AS count FROM resp GROUP BY edugp"),
-    "crosstab": _xtab_sql("SELECT * FROM lineitem", ["l_returnflag"], "l_linestatus", ["F", "O"]),
+    "crosstab": _xtab_sql("SELECT * FROM lineitem", ["l_returnflag"], "l_linestatus", ["F", "O"], listed=True),
+    "crosstab_categories": _xtab_sql("SELECT * FROM resp", ["agegp"], "opinion", ["3", "1"], "wt", colpercent=True, listed=True),
     "crosstab_weighted": _xtab_sql("SELECT * FROM resp", ["edugp"], "supporting_party",
                                    [c for c in _PARTY if c != 95], "wt", [95], colpercent=True),
     "crosstab_sum_col": _xtab_sql("SELECT * FROM resp", ["agegp"], "opinion", _OPINION,
-                                  nets={"agree": [1, 2], "against": [3, 4]}, colpercent=True),
+                                  nets={"agree": [1, 2], "against": [3, 4]}, colpercent=True, listed=True),
     "crosstab_multi_sort": _xtab_sql("SELECT * FROM resp", ["area"], "m01", ["1", "0"]),
     "crosstab_long": with_resp(
         "SELECT variable, level, category, value, ROUND(value / SUM(value) OVER (PARTITION BY variable, level), 6) AS row_pct, "
@@ -166,5 +179,5 @@ SQL = {
                                   "wt", [3], colpercent=True, rolling=("add", "+", 1, 2)),
     "main_crosstab_rolling": _xtab_sql(
         _ROLLING, ["gender", "agegp2", "edugp", "edugpr", "area", "arear", "supporting_party"],
-        "opinion", _OPINION, rolling=("minus", "-", 1, 2)),
+        "opinion", _OPINION, rolling=("minus", "-", 1, 2), listed=True),
 }

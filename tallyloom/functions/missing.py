@@ -14,6 +14,12 @@ def clean_nan(df: DataFrame) -> DataFrame:
                        else F.col(f"`{c}`") for c in df.columns])
 
 
+def typed_codes(data_type: T.DataType, codes: Iterable) -> list:
+    """The codes that can equal a value of the type: a number never equals a text, as in a data frame."""
+    text = isinstance(data_type, T.StringType)
+    return [c for c in codes if c is not None and isinstance(c, str) == text]
+
+
 def is_in(col: Column, codes: Iterable) -> Column:
     """Membership that is FALSE, not NULL, for a NULL value."""
     codes = list(codes)
@@ -27,16 +33,14 @@ def not_equal(col: Column, value) -> Column:
 
 def exclude_codes(df: DataFrame, col: str, codes: Sequence) -> DataFrame:
     """Drop the listed codes but keep NULL."""
-    if not codes:
-        return df
-    c = F.col(f"`{col}`")
-    return df.filter(c.isNull() | ~c.isin(list(codes)))
+    codes, c = typed_codes(df.schema[col].dataType, codes), F.col(f"`{col}`")
+    return df.filter(c.isNull() | ~c.isin(codes)) if codes else df
 
 
 def drop_missing(df: DataFrame, col: str, codes: Sequence = ()) -> DataFrame:
     """Drop the listed codes and NULL."""
     c = F.col(f"`{col}`")
-    return df.filter(c.isNotNull() & ~is_in(c, codes))
+    return df.filter(c.isNotNull() & ~is_in(c, typed_codes(df.schema[col].dataType, codes)))
 
 
 def fill_missing_code(df: DataFrame, cols: Sequence[str], code: int = 99) -> DataFrame:

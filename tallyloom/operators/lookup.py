@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.transcode import transcode_lossy
-from ..plans.small import broadcast_if_small
 
 
 def query(df: DataFrame, idn, item: str | Sequence[str], col: str = "id") -> DataFrame:
@@ -23,23 +22,18 @@ def find_literal(df: DataFrame, col: str, literal: str = "?", key: str = "id") -
 def multi_search(df: DataFrame, pairs: DataFrame, encoding: str | None = None) -> DataFrame:
     """The value, as text, of each (id, item) pair; NULL where there is none, one row per match.
 
-    ``df`` is scanned for the asked columns only and reduced to the asked ids before anything
-    else; the pairs are broadcast only if their measured size allows it.
+    ``df`` is scanned for the asked columns only; which they are is at most one line per column of ``df``. One join
+    by id, whose sides adaptive execution sizes, finds the rows, and the item picks the column.
     """
-    known = [c for c in df.columns if c != "id"]
-    asked = pairs.select(F.col("id"), F.col("item")).distinct()
-    items = [r["item"] for r in  # at most one line per column of df
-             asked.filter(F.col("item").isin([*known, "id"])).select("item").distinct().collect()]
+    asked = pairs.filter(F.col("item").isin(df.columns)).select("item").distinct()
+    items = [r["item"] for r in asked.collect()]
     if not items:
         out = pairs.withColumn("value", F.lit(None).cast("string"))
     else:
-        value = F.coalesce(*[F.when(F.col("item") == i, F.col(f"`v{n}`"))
-                             for n, i in enumerate(items)])
-        hits = (df.select("id", *[F.col(f"`{i}`").cast("string").alias(f"v{n}")
-                                  for n, i in enumerate(items)])
-                .join(broadcast_if_small(asked.filter(F.col("item").isin(items))), "id")
-                .select("id", "item", value.alias("value")))
-        out = pairs.join(hits, ["id", "item"], "left")
+        rows = df.select(F.col("id").alias("__id"), *[F.col(f"`{i}`").cast("string").alias(f"__v{n}") for n, i in enumerate(items)])
+        value = F.coalesce(*[F.when(F.col("item") == i, F.col(f"__v{n}")) for n, i in enumerate(items)])
+        out = (pairs.join(rows, (F.col("id") == F.col("__id")) & F.col("item").isin(items), "left")
+               .select(*pairs.columns, value.alias("value")))
     if encoding is not None:
         out = out.withColumn(f"value_{encoding}", transcode_lossy(F.col("value"), encoding))
     return out

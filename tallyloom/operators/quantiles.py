@@ -1,71 +1,92 @@
-"""Exact quantiles whose memory does not grow with the number of distinct values.
+"""Exact quantiles of any number of columns in a few shared passes.
 
-Columns with a modest number of distinct values go through one value-count aggregation.
-A column beyond ``max_distinct`` is narrowed instead: an approximate sketch brackets the
-wanted rank, exact counts say which side it is on, and only the bracket is looked at again.
+A wanted rank lies in an interval of values. One pass sketches every open interval of all columns at once and brackets
+its ranks, the next one counts what lies below and inside each bracket; the brackets become the intervals. A bracket holds
+about four ten-thousandths of its interval, so intervals shrink to a few distinct values after one or two rounds, however
+long the column. Those few are counted exactly in a last pass. Neither the number of columns nor of quantiles adds passes.
 """
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-MAX_DISTINCT = 200_000
-_ACCURACY = 10_000
+ACCURACY = 10_000
+FEW = 10_000  # distinct values of an interval that are counted one by one
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    max_distinct: int = MAX_DISTINCT) -> dict[str, list[float | None]]:
+@dataclass
+class _Target:
+    """The values at the 0-based ranks ``low`` and ``high`` among the ``n`` values of a column inside [first, last]."""
+    column: str
+    part: float
+    low: int
+    high: int
+    n: int
+    first: float | None = None
+    last: float | None = None
+    slack: float = 2.0 / ACCURACY
+    few: bool = False
+
+    def inside(self) -> Column:
+        v = F.col(f"`{self.column}`")
+        return v.isNotNull() if self.first is None else v.between(self.first, self.last)
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
     """Linear-interpolation quantiles per column; NULL is left out."""
     narrow = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
-    long = narrow.unpivot([], list(cols), "name", "value").filter("value IS NOT NULL")
-    sizes = {r["name"]: (r["d"], r["n"]) for r in
-             long.groupBy("name").agg(F.approx_count_distinct("value").alias("d"),
-                                      F.count(F.lit(1)).alias("n")).collect()}
-    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
-    small = [c for c, (d, _) in sizes.items() if d <= max_distinct]
-    if small:
-        counts = long.filter(F.col("name").isin(small)).groupBy("name", "value").count()
-        exact = counts.groupBy("name").agg(
-            F.percentile("value", [float(p) for p in probs], F.col("count")).alias("q"))
-        out.update({r["name"]: list(r["q"]) for r in exact.collect()})
-    for c in sizes.keys() - set(small):
-        values = narrow.select(F.col(f"`{c}`").alias("value")).filter("value IS NOT NULL")
-        out[c] = [_interpolated(values, p, sizes[c][1], max_distinct) for p in probs]
-    return out
+    sizes = narrow.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    targets = {}
+    for i, c in enumerate(cols):
+        for p in probs if sizes[i] else ():
+            place = p * (sizes[i] - 1)
+            targets[c, p] = _Target(c, place - math.floor(place), math.floor(place), math.ceil(place), sizes[i])
+    while active := [t for t in targets.values() if not t.few]:
+        _narrow(narrow, active)
+    found = _values(narrow, list(targets.values()))
+    return {c: [found.get(id(targets[c, p])) if (c, p) in targets else None for p in probs] for c in cols}
+
 
+def _narrow(narrow: DataFrame, targets: list[_Target]) -> None:
+    """One round: two passes over all targets."""
+    def wanted(t: _Target) -> list[float]:
+        return [max((t.low + 0.5) / t.n - t.slack, 0.0), min((t.high + 0.5) / t.n + t.slack, 1.0)]
 
-def _interpolated(values: DataFrame, p: float, n: int, max_distinct: int) -> float:
-    pos = p * (n - 1)
-    low = _order_statistic(values, math.floor(pos), n, max_distinct)
-    if pos == math.floor(pos):
-        return low
-    high = _order_statistic(values, math.ceil(pos), n, max_distinct)
-    return low + (pos - math.floor(pos)) * (high - low)
+    brackets = narrow.agg(*[F.percentile_approx(F.when(t.inside(), F.col(f"`{t.column}`")), wanted(t), ACCURACY).alias(f"b{i}")
+                            for i, t in enumerate(targets)]).first()
+    measures = []
+    for i, t in enumerate(targets):
+        v, (a, b) = F.col(f"`{t.column}`"), brackets[i]
+        within = t.inside() & v.between(a, b)
+        measures += [F.count_if(t.inside() & (v < a)), F.count_if(within), F.approx_count_distinct(F.when(within, v))]
+    counts = narrow.agg(*[m.alias(f"m{k}") for k, m in enumerate(measures)]).first()
+    for i, t in enumerate(targets):
+        below, within, distinct = counts[3 * i:3 * i + 3]
+        if below <= t.low and t.high < below + within:
+            t.few = distinct <= FEW or within == t.n  # a bracket that cuts nothing off holds few values or ties
+            t.low, t.high, t.n, (t.first, t.last) = t.low - below, t.high - below, within, brackets[i]
+            t.slack = 2.0 / ACCURACY
+        else:  # the sketch was off; a wider bracket holds the ranks for certain in the end
+            t.slack *= 4
 
 
-def _order_statistic(values: DataFrame, rank: int, n: int, max_distinct: int) -> float:
-    """The value at 0-based ``rank`` of the sorted column."""
-    v = F.col("value")
-    while True:
-        p, slack = (rank + 0.5) / n, 2.0 / _ACCURACY
-        a, b = values.agg(F.percentile_approx(
-            v, [max(p - slack, 0.0), min(p + slack, 1.0)], _ACCURACY)).first()[0]
-        inside = v.between(a, b)
-        below, within, distinct = values.agg(
-            F.count_if(v < a), F.count_if(inside),
-            F.approx_count_distinct(F.when(inside, v))).first()
-        if rank < below:
-            values, n = values.filter(v < a), below
-        elif rank >= below + within:
-            values, rank, n = values.filter(v > b), rank - below - within, n - below - within
-        elif a == b:
-            return a
-        else:
-            values, rank, n = values.filter(inside), rank - below, within
-            if distinct <= max_distinct:  # few enough values for one running sum
-                counts = values.groupBy("value").count()
-                upto = F.sum("count").over(Window.orderBy("value"))
-                return (counts.withColumn("upto", upto).filter(F.col("upto") > rank)
-                        .agg(F.min("value")).first()[0])
+def _values(narrow: DataFrame, targets: list[_Target]) -> dict[int, float]:
+    """The interpolated value of each target from the counts of the few values in its interval."""
+    if not targets:
+        return {}
+    hits = F.array_compact(F.array(*[F.when(t.inside(), F.struct(F.lit(i).alias("i"), F.col(f"`{t.column}`").alias("v")))
+                                     for i, t in enumerate(targets)]))
+    rows = (narrow.select(F.explode(hits).alias("h")).groupBy("h.i", "h.v").count().collect())
+    out = {}
+    for i, t in enumerate(targets):
+        seen, ends = 0, {}
+        for r in sorted((r for r in rows if r["i"] == i), key=lambda r: r["v"]):
+            for rank in {t.low, t.high}:
+                if seen <= rank < seen + r["count"]:
+                    ends[rank] = r["v"]
+            seen += r["count"]
+        out[id(t)] = ends[t.low] + t.part * (ends[t.high] - ends[t.low])
+    return out

@@ -8,15 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.missing import exclude_codes, is_in
+from ..functions.missing import exclude_codes, is_in, typed_codes
 from ..functions.numeric import is_numeric, level_label, n_round
 from ..plans.presets import crosstab_variables, rolling_variables
-from ..plans.small import materialize
 
 FILL_CODE = "99"
-MAX_CATEGORIES = 5000  # columns of a wide table; crosstab_long has no such limit
+OTHER = "other"  # the column of the categories that a given list leaves out
 _ROW_ORDER = {"valid": 0, "valid_total": 1, "missing": 2, "system_missing": 3, "total": 4}
 
 
@@ -41,7 +40,7 @@ def freq_table(df: DataFrame, col: str, weights: Sequence[str] = (), w_round: bo
           for i, w in enumerate(weights)])
     counts = counts.withColumn(
         "row_kind", F.when(F.col("value").isNull(), "system_missing")
-        .when(is_in(F.col("value"), missing), "missing").otherwise("valid"))
+        .when(is_in(F.col("value"), typed_codes(df.schema[col].dataType, missing)), "missing").otherwise("valid"))
 
     measures = ["frequency"] + [f"w{i}" for i in range(len(weights))]
     valid = F.col("row_kind") == "valid"
@@ -169,7 +168,7 @@ def crosstab_cells(df: DataFrame, row_vars: Sequence[str], column: str,
 def crosstab_long(df: DataFrame, row_vars: Sequence[str], column: str,
                   weight: str | None = None, colmissing: Sequence = ()) -> DataFrame:
     """Cells with their row and column shares, one line per cell that occurs."""
-    cells = materialize(crosstab_cells(df, row_vars, column, weight, colmissing), "crosstab-cells")
+    cells = crosstab_cells(df, row_vars, column, weight, colmissing)  # read three times, shuffled once
     rows = cells.groupBy("variable", "level").agg(F.sum("value").alias("row_total"))
     cols = cells.groupBy("variable", "category").agg(F.sum("value").alias("col_total"))
     return (cells.join(rows, ["variable", "level"]).join(cols, ["variable", "category"])
@@ -178,19 +177,11 @@ def crosstab_long(df: DataFrame, row_vars: Sequence[str], column: str,
                     F.try_divide(F.col("value").cast("double"), F.col("col_total")).alias("col_pct")))
 
 
-def _categories(df: DataFrame, column: str, colmissing: Sequence, given) -> list[str]:
-    """Category labels in value order; they become columns, so they are plan metadata."""
-    if given is not None:
-        return [str(c) for c in given]
-    data_type = df.schema[column].dataType
-    label = F.coalesce(level_label(F.col(f"`{column}`"), data_type), F.lit(FILL_CODE))
-    labels = [r[0] for r in exclude_codes(df, column, colmissing)
-              .select(label.alias("c")).distinct().limit(MAX_CATEGORIES + 1).collect()]
-    if len(labels) > MAX_CATEGORIES:
-        raise ValueError(f"{column!r} has too many categories for a wide table; use crosstab_long")
-    if is_numeric(data_type):
-        return sorted(labels, key=float)
-    return sorted(labels)
+def _categories(df: DataFrame, column: str, cells: DataFrame) -> list[str]:
+    """Category labels in value order. They become columns, so they are read from the aggregated cells to the plan; a
+    table with more categories than a plan can hold is one for ``crosstab_long``."""
+    labels = [r[0] for r in cells.select("category").distinct().collect()]
+    return sorted(labels, key=float) if is_numeric(df.schema[column].dataType) else sorted(labels)
 
 
 def _with_nets(categories: list[str], sum_col: Mapping[str, Sequence]) -> list[str]:
@@ -207,16 +198,20 @@ def _with_nets(categories: list[str], sum_col: Mapping[str, Sequence]) -> list[s
 def _wide(cells: DataFrame, row_vars: Sequence[str], categories: list[str],
           sum_col: Mapping[str, Sequence], colpercent: bool) -> tuple[DataFrame, list[str]]:
     """Level rows plus one total row per variable: n_<c>, n, row_pct_<c>, col_pct_<c>."""
-    zero = F.lit(0)
-    if colpercent:  # read twice below; the cells are written so that the data is read once
-        cells = materialize(cells, "crosstab-cells")
-    rows = cells.groupingSets(
+    levels = cells.groupBy("variable", "level")
+    wide = (levels.pivot("category", categories).agg(F.sum("value")) if categories
+            else levels.agg(F.sum("value").alias("n")))
+    rows = wide.groupingSets(
         [[F.col("variable"), F.col("level")], [F.col("variable")]], "variable", "level",
-    ).agg(*[F.coalesce(F.sum(F.when(F.col("category") == c, F.col("value"))), zero)
-            .alias(f"n_{c}") for c in categories],
-          F.sum("value").alias("n"), F.grouping("level").alias("is_total"))
+    ).agg(*[F.coalesce(F.sum(F.col(f"`{c}`")), F.lit(0)).alias(f"n_{c}") for c in categories],
+          *([] if categories else [F.sum("n").alias("n")]), F.grouping("level").alias("is_total"))
+    if categories:  # every cell stands in one of the columns
+        n = F.lit(0)
+        for c in categories:
+            n = n + F.col(f"`n_{c}`")
+        rows = rows.withColumn("n", n)
     for name, members in sum_col.items():
-        net = zero
+        net = F.lit(0)
         for m in members:
             net = net + F.col(f"`n_{m}`")
         rows = rows.withColumn(f"n_{name}", net)
@@ -224,16 +219,11 @@ def _wide(cells: DataFrame, row_vars: Sequence[str], categories: list[str],
     rows = rows.withColumns({f"row_pct_{c}": F.try_divide(F.col(f"`n_{c}`").cast("double"),
                                                           F.col("n").cast("double"))
                              for c in order})
-    if colpercent:
-        # the total row of each row variable as one map
-        entry = F.struct(F.col("variable"), F.struct(*[F.col(f"`n_{c}`").alias(f"b{i}")
-                                                       for i, c in enumerate(order)]))
-        bases = rows.filter("is_total = 1").agg(
-            F.map_from_entries(F.collect_list(entry)).alias("bases")).scalar()
-        rows = rows.withColumn("base", F.try_element_at(bases, F.col("variable"))).withColumns(
-            {f"col_pct_{c}": F.try_divide(F.col(f"`n_{c}`").cast("double"),
-                                          F.col("base")[f"b{i}"].cast("double"))
-             for i, c in enumerate(order)})
+    if colpercent:  # over the finished lines of a variable, its total among them
+        lines = Window.partitionBy("variable")
+        rows = rows.withColumns({f"col_pct_{c}": F.try_divide(
+            F.col(f"`n_{c}`").cast("double"),
+            F.max(F.when(F.col("is_total") == 1, F.col(f"`n_{c}`"))).over(lines).cast("double")) for c in order})
     rows = rows.withColumns({
         "row_kind": F.when(F.col("is_total") == 1, "total").otherwise("level"),
         "level": F.when(F.col("is_total") == 1, F.concat("variable", F.lit("_Total")))
@@ -242,13 +232,25 @@ def _wide(cells: DataFrame, row_vars: Sequence[str], categories: list[str],
                         "is_total", _number(F.col("level")), "level"), order
 
 
+def _counted(df, row_vars, column, weight, colmissing, categories) -> tuple[DataFrame, list[str]]:
+    """Cells and the categories that become columns. With a given list all other categories share the column
+    ``other``, so the columns always sum to ``n``."""
+    cells = crosstab_cells(df, row_vars, column, weight, colmissing)
+    if categories is None:
+        return cells, _categories(df, column, cells)
+    listed = [str(c) for c in categories]
+    if OTHER in listed:
+        raise ValueError(f"{OTHER!r} names the column of the categories that are not listed")
+    category = F.when(F.col("category").isin(listed), F.col("category")).otherwise(OTHER)
+    return cells.withColumn("category", category), [*listed, OTHER]
+
+
 def _stacked_crosstab(df, row_vars, column, weight, colmissing, colpercent, sum_col,
                       column_sort, categories) -> DataFrame:
-    cats = _categories(df, column, colmissing, categories)
+    cells, cats = _counted(df, row_vars, column, weight, colmissing, categories)
     if column_sort == "descending_multi" and "0" in cats and "1" in cats:
         i, j = cats.index("0"), cats.index("1")
         cats[i], cats[j] = cats[j], cats[i]
-    cells = crosstab_cells(df, row_vars, column, weight, colmissing)
     rows, order = _wide(cells, row_vars, cats, sum_col or {}, colpercent)
     names = ["variable", "level", "row_kind", *[f"n_{c}" for c in order],
              *[f"row_pct_{c}" for c in order],
@@ -264,7 +266,7 @@ def crosstab(df: DataFrame, index: str, column: str, weight: str | None = None,
 
     ``sum_col`` adds nets such as ``{"agree": [1, 2]}``; ``column_sort="descending_multi"``
     puts the 1 column of a multi-response item before the 0 column. ``categories`` fixes the
-    columns and saves the query that looks them up.
+    columns and saves the query that looks them up; what it does not list is counted as ``other``.
     """
     return _stacked_crosstab(df, [index], column, weight, colmissing, colpercent, sum_col,
                              column_sort, categories)
@@ -282,8 +284,7 @@ def main_crosstab(df: DataFrame, column: str, weight: str | None = None, party_t
 
 def _stacked_rolling(df, row_vars, column, weight, calculate, col1, col2, colmissing,
                      colpercent, categories) -> DataFrame:
-    cats = _categories(df, column, colmissing, categories)
-    cells = crosstab_cells(df, row_vars, column, weight, colmissing)
+    cells, cats = _counted(df, row_vars, column, weight, colmissing, categories)
     rows, _ = _wide(cells, row_vars, cats, {}, colpercent)
     score = []
     if calculate is not None:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.numeric import level_label
 from ..functions.pvalues import chi2_sf
 from ..plans.rules import text_literal
-from ..plans.small import literal_table, materialize
+from ..plans.small import literal_table, scratch
 from ..plans.targets import target_lists, target_table
 from .stats import CHI_ROW, chi_terms, weighting_loss
 
@@ -41,11 +41,12 @@ def _label(df: DataFrame, var: str) -> Column:
     return level_label(F.col(f"`{var}`"), df.schema[var].dataType)
 
 
-def _cells(df: DataFrame, variables: Sequence[str], weight: str) -> DataFrame:
-    """Sum of weights per combination of categories; a NULL category is a combination too."""
-    cells = df.groupBy(*[_label(df, v).alias(f"c{i}") for i, v in enumerate(variables)]).agg(
+def _cells(df: DataFrame, targets: dict[str, dict[str, float]], weight: str) -> DataFrame:
+    """Sum of weights per combination of target categories. All codes without a target have the factor 1 and count
+    as one, like NULL, so the targets bound the number of cells."""
+    labels = [(_label(df, v), list(t)) for v, t in targets.items()]
+    return df.groupBy(*[F.when(c.isin(listed), c).alias(f"c{i}") for i, (c, listed) in enumerate(labels)]).agg(
         F.sum(F.col(f"`{weight}`").cast("double")).alias("w"), F.count(F.lit(1)).alias("n"))
-    return materialize(cells, "raking-cells")
 
 
 def _lookup(col: str, factors: Factors) -> Column:
@@ -71,11 +72,10 @@ def _fit(cells: DataFrame, targets: dict[str, dict[str, float]], passes: int,
         w = F.col("w")
         for j, v in enumerate(variables):
             w = w * _lookup(f"c{j}", running[v])
-        listed = list(targets[variables[i]])
-        c = F.col(f"c{i}")
-        sums = (cells.groupBy(F.when(c.isin(listed), c).alias("c"))
-                .agg(F.sum(w).alias("s")).collect())
+        sums = cells.groupBy(F.col(f"c{i}").alias("c")).agg(F.sum(w).alias("s"), F.sum("n").alias("n")).collect()
         by = {r["c"]: r["s"] for r in sums if r["s"] is not None}
+        if sums and not any(r["c"] is not None for r in sums):
+            raise ValueError(f"no target category of {variables[i]!r} occurs in the data: {list(targets[variables[i]])}")
         return by, sum(by.values())
 
     for _ in range(passes):
@@ -108,7 +108,8 @@ def rake_once(df: DataFrame, targets, weight: str | int = 1) -> DataFrame:
     """One pass over the variables. Adds ``wt0`` and one ``wtK`` per variable step."""
     lists = target_lists(targets)
     start = init_weight(df, weight)
-    steps, _ = _fit(_cells(start, list(lists), "wt0"), lists, 1, None)
+    with scratch(_cells(start, lists, "wt0"), "raking-cells") as cells:
+        steps, _ = _fit(cells, lists, 1, None)
     out = _attach(start, {s.variable: {c: [f] for c, f in s.factors.items()} for s in steps}, 1)
     for k in range(len(steps)):
         out = out.withColumn(f"wt{k + 1}", F.col(f"wt{k}") * F.coalesce(f"f{k}_0", F.lit(1.0)))
@@ -123,8 +124,9 @@ def rake(df: DataFrame, targets, passes: int = 10, tol: float | None = 1e-9,
     """
     lists = target_lists(targets)
     start = init_weight(df, weight, "__wt0")
-    cells = _cells(start, list(lists), "__wt0")
-    steps, total = _fit(cells, lists, passes, tol)
+    with scratch(_cells(start, lists, "__wt0"), "raking-cells") as cells:
+        steps, total = _fit(cells, lists, passes, tol)
+        n = cells.agg(F.sum("n")).first()[0]
     product: dict[str, dict[str, list[float]]] = {v: {} for v in lists}
     for s in steps:
         for c, f in s.factors.items():
@@ -133,7 +135,6 @@ def rake(df: DataFrame, targets, passes: int = 10, tol: float | None = 1e-9,
     w = F.col("__wt0")
     for i in range(len(product)):
         w = w * F.coalesce(f"f{i}_0", F.lit(1.0))
-    n = cells.agg(F.sum("n")).first()[0]
     scale = n / total if total else float("nan")
     return (out.withColumn(final_name, w * F.lit(scale))
             .drop("__wt0", *[f"f{i}_0" for i in range(len(product))]))
@@ -155,9 +156,13 @@ def _trimmed(w: Column, min_w: float, max_w: float, gains: Sequence[float]) -> C
 
 def _trim_gains(df: DataFrame, weight: str, min_w: float, max_w: float) -> list[float]:
     """What every weight below the cap gains in each round, until no weight exceeds it."""
-    base = df.groupBy(F.col(f"`{weight}`").cast("double").alias("w")).agg(
-        F.count(F.lit(1)).cast("double").alias("n"))
-    base = materialize(base.filter("w IS NOT NULL"), "trim-weights")
+    counts = df.groupBy(F.col(f"`{weight}`").cast("double").alias("w")).agg(
+        F.count(F.lit(1)).cast("double").alias("n")).filter("w IS NOT NULL")
+    with scratch(counts, "trim-weights") as base:
+        return _gains(base, min_w, max_w)
+
+
+def _gains(base: DataFrame, min_w: float, max_w: float) -> list[float]:
     gains: list[float] = []
     while True:
         state = base.select(_trimmed(F.col("w"), min_w, max_w, gains).alias("w"), "n")
@@ -210,7 +215,6 @@ def weight_tables(df: DataFrame, targets, weight: str) -> DataFrame:
               .filter("category IS NOT NULL").groupBy("variable", "category")
               .agg(F.count(F.lit(1)).cast("double").alias("unweighted"),
                    F.coalesce(F.sum("__w"), F.lit(0.0)).alias("weighted")))
-    counts = materialize(counts, "margins")  # read several times below, the data once
     zero = F.lit(0.0)
     both = counts.join(aims, ["variable", "category"], "full").select(
         "variable", "category", F.coalesce("proportion", zero).alias("share"),
@@ -232,5 +236,43 @@ def weight_tables(df: DataFrame, targets, weight: str) -> DataFrame:
     return lines.unionByName(result, allowMissingColumns=True)
 
 
+def rake_fit(df: DataFrame, targets, passes: int = 1, weight: str | int = 1) -> DataFrame:
+    """How well the margins fit after every raking step: ``step`` (0 is the start), ``raked`` (the variable of the step)
+    and, for every target variable, ``chi2`` and ``p_value`` of its weighted margin against the targets. Computed from the
+    cells of the raking, so the respondents are read once."""
+    lists = target_lists(targets)
+    with scratch(_cells(init_weight(df, weight, "__wt0"), lists, "__wt0"), "raking-cells") as cells:
+        steps, _ = _fit(cells, lists, passes, None)
+        running: dict[str, Factors] = {v: {} for v in lists}
+        rows = []
+        for k, step in enumerate([None, *steps]):
+            if step is not None:
+                for c, f in step.factors.items():
+                    running[step.variable][c] = running[step.variable].get(c, 1.0) * f
+            w = F.col("w")
+            for j, v in enumerate(lists):
+                w = w * _lookup(f"c{j}", running[v])
+            sums = cells.agg(*[F.coalesce(F.sum(F.when(F.col(f"c{j}") == c, w)), F.lit(0.0)).alias(f"s{j}_{m}")
+                               for j, v in enumerate(lists) for m, c in enumerate(lists[v])]).first()
+            for j, (v, shares) in enumerate(lists.items()):
+                margin = [sums[f"s{j}_{m}"] for m in range(len(shares))]
+                rows += [(k, step.variable if step else None, v, c, s, sum(margin) * p)
+                         for (c, p), s in zip(shares.items(), margin)]
+    table = literal_table(df.sparkSession, rows, "step long, raked string, variable string, category string, observed double, expected double")
+    return (table.groupBy("step", "raked", "variable").agg(
+        F.sum(chi_terms(F.col("observed"), F.col("expected"))).alias("chi2"), F.count(F.lit(1)).cast("double").alias("k"))
+        .withColumn("p_value", chi2_sf("chi2", F.col("k") - 1)).drop("k"))
+
+
+def trim_report(df: DataFrame, weight: str, min_w: float, max_w: float) -> DataFrame:
+    """The weighting loss, the sum and the extremes of a weight ``before`` and ``after`` trimming."""
+    both = trim_weights(df, weight, min_w, max_w, "__after").select(
+        F.col(f"`{weight}`").cast("double").alias("before"), F.col("__after").alias("after"))
+    stages = both.unpivot([], ["before", "after"], "stage", "w").filter("w IS NOT NULL")
+    return stages.groupBy("stage").agg(
+        F.try_divide(F.var_samp("w"), F.pow(F.avg("w"), F.lit(2))).alias("loss"), F.sum("w").alias("sum"),
+        F.min("w").alias("min"), F.max("w").alias("max"))
+
+
 def select_final_weight(df: DataFrame, weight: str = "final_weight") -> DataFrame:
     return df.select("id", F.col(f"`{weight}`"))

@@ -1,15 +1,13 @@
-"""Small tables, size-checked broadcast and lineage cuts."""
+"""Small tables and lineage cuts."""
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 32 * 1024 * 1024
 _ARROW = {"string": pa.string(), "double": pa.float64(), "long": pa.int64(), "integer": pa.int32()}
 
 
@@ -23,28 +21,11 @@ def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Da
     return spark.createDataFrame(table)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS,
-                       max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast hint only after the row count and size were measured; beyond the bound the
-    frame is returned as is and joins by shuffle."""
-    n, size = (df.limit(max_rows + 1)
-               .select(F.length(F.to_json(F.struct("*"))).alias("len"))
-               .agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first())
-    return F.broadcast(df) if n <= max_rows and size <= max_bytes else df
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``). Only a local session that
-    names none gets a folder of its own."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None)
-              or spark.sparkContext.getCheckpointDir())
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="tallyloom-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    """The folder that all executors reach: ``spark.checkpoint.dir``, the checkpoint folder of the session, or
+    the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+            or spark.conf.get("spark.sql.warehouse.dir"))
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
@@ -54,12 +35,25 @@ def run_folder(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends in files, so a
-    lost executor costs a re-read and not a recomputation."""
+    lost executor costs a re-read and not a recomputation. The files stay, as the result may be read any time."""
     path = run_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """Like :func:`materialize`, for a frame that only the caller's block reads: its files go with the block."""
+    spark = df.sparkSession
+    path = run_folder(spark, name)
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def fence(df: DataFrame, col: str) -> DataFrame:
     """The same rows, for a costly array column that is about to be exploded. Explode makes the
     optimizer infer a filter on the array and copy the array's expression into it; an unpivot of

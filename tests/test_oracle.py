@@ -2,6 +2,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from tallyloom import catalog
 from oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -12,7 +13,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, con, name):
     assert name in entry.oracle_sql()
     diff, _, _ = compare(spark, con, name, SF)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.pvalues import beta_regularised, gamma_upper
 from tallyloom.operators import stats as S
+from tallyloom.operators import quantiles
 from tallyloom.operators.quantiles import exact_quantiles
 
 
@@ -19,14 +20,16 @@ def test_tail_probabilities():
                             rel_tol=1e-10)
 
 
-def test_quantiles_match_numpy_on_both_ways(spark):
+def test_quantiles_match_numpy(spark, monkeypatch):
     rng = random.Random(3)
     rows = [(rng.gauss(0, 5), rng.randint(0, 4) * 1.0) for _ in range(5000)] + [(None, None)]
     rows += [(1.25, 2.0)] * 2500  # one value holds a third of the rows
     df = spark.createDataFrame(rows, "x double, k double").repartition(4)
     probs = [0.0, 0.25, 0.5, 0.731, 1.0]
-    for limit in (200_000, 50, 1):
-        got = exact_quantiles(df, ["x", "k"], probs, max_distinct=limit)
+    for limit, accuracy in ((10_000, 10_000), (50, 100), (5, 30)):
+        monkeypatch.setattr(quantiles, "FEW", limit)
+        monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+        got = exact_quantiles(df, ["x", "k"], probs)
         for i, c in enumerate(("x", "k")):
             want = np.quantile([r[i] for r in rows if r[i] is not None], probs)
             assert np.allclose(got[c], want, rtol=1e-12), (limit, c)
