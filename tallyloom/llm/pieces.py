@@ -31,6 +31,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -43,7 +44,9 @@ UNKNOWN_PENALTY = 10.0
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6  # kinds of pieces in a model file
 UNIGRAM_MODEL, MERGE_MODEL = 1, 2
 MAX_PIECES = 1_000_000
-WORDS_HELD = 200_000
+WORDS_HELD = 200_000          # words a task collects before it asks for them
+ANSWERS_HELD = 300_000
+ROWS_AT_ONCE = 256            # documents that a task puts together at a time
 
 
 @dataclass(frozen=True)
@@ -103,10 +106,10 @@ class PieceModel:
 
     @cached_property
     def taken_up(self) -> frozenset[str]:
-        """Pieces that are a half of a piece of better rank."""
+        """Pieces that are a half of a piece of better or equal rank."""
         halves = ((h, s) for t, (_, s) in self.table.items() for k in range(1, len(t)) for h in (t[:k], t[k:])
                   if t[:k] in self.table and t[k:] in self.table)
-        return frozenset(h for h, s in halves if s > self.table[h][1])
+        return frozenset(h for h, s in halves if s >= self.table[h][1])
 
     def fold(self, word: str) -> list[int]:
         """The ids of one word, for words that are too long to be worth a row per substring."""
@@ -149,23 +152,12 @@ class PieceModel:
             cuts.append(best[cuts[-1]][1])
         return cuts[::-1]
 
-    def decode(self, ids: list[int]) -> str:
-        out, held = [], bytearray()
-        for i in ids:
-            text, _, kind = self.pieces[i]
-            if kind == BYTE:
-                held.append(int(text[3:5], 16))
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held.clear()
-            if kind in (NORMAL, USER):
-                out.append(text)
-            elif kind == UNKNOWN:
-                out.append(" ⁇ ")
-        out.append(held.decode("utf-8", "replace"))
-        text = "".join(out)
-        return (text.removeprefix(SPACE) if self.add_dummy_prefix else text).replace(SPACE, " ")
+    def bytes_of(self, i: int) -> bytes:
+        """What an id stands for, with spaces for space marks."""
+        text, _, kind = self.pieces[i]
+        if kind == BYTE:
+            return bytes([int(text[3:5], 16)])
+        return {NORMAL: text.replace(SPACE, " "), USER: text.replace(SPACE, " "), UNKNOWN: " ⁇ "}.get(kind, "").encode()
 
 
 def load_model(path: str) -> PieceModel:
@@ -269,55 +261,113 @@ def _requests(model: PieceModel):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, seen = TaskContext.get().partitionId(), set()
 
-        def out() -> pa.RecordBatch:
-            parts = sorted({p for w in seen for p in model.parts(w) if len(p) <= LONG})
-            return pa.record_batch([pa.array([block] * len(parts), pa.int32()), pa.array(parts, pa.string())], ["block", "word"])
+        def out() -> Iterator[pa.RecordBatch]:
+            parts = list({p for w in seen for p in model.parts(w) if len(p) <= LONG})
+            seen.clear()
+            for s in range(0, len(parts), 20_000):
+                part = pa.array(parts[s:s + 20_000], pa.string())
+                yield pa.record_batch([pa.array(np.full(len(part), block, np.int32)), part], ["block", "word"])
 
         for batch in batches:
             for text in batch.column(0):
                 seen.update(model.words(text.as_py() or ""))
             if len(seen) > WORDS_HELD:
-                yield out()
-                seen.clear()
-        yield out()
+                yield from out()
+        yield from out()
     return ask
 
 
+def _packed(table: pa.Table | pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as writer:
+        writer.write(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(payload: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(payload.as_buffer()).read_all()
+
+
 def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The documents of a batch as one compressed value."""
     block = TaskContext.get().partitionId()
     for batch in batches:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-            writer.write_batch(batch)
-        yield pa.record_batch([pa.array([block], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
-                              ["block", "payload"])
+        yield pa.record_batch([pa.array([block], pa.int32()), pa.array([_packed(batch)], pa.binary())], ["block", "payload"])
 
 
-def _assemble(model: PieceModel):
-    def put_together(blocks: pa.Table, known: pa.Table) -> pa.Table:
-        words = known.column("word").to_pylist()
-        ids = known.column("ids").combine_chunks()
-        flat, ends = np.asarray(ids.flatten(), np.int32), np.asarray(ids.offsets)
-        parts = {w: flat[ends[k]:ends[k + 1]].tobytes() for k, w in enumerate(words)}
-        del words
-        held: dict[str, bytes] = {}
-
-        def ids_of(word: str) -> bytes:
-            out = b"".join(parts[p] if p in parts else np.array(model.fold(p), np.int32).tobytes() for p in model.parts(word))
-            if len(held) > WORDS_HELD:
-                held.clear()
-            held[word] = out
-            return out
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers sorted out by block, each block's as one compressed value."""
+    held, rows = [], 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        blocks = table.column(0).to_numpy()
+        order = np.argsort(blocks, kind="stable")
+        cuts = np.flatnonzero(np.diff(blocks[order])) + 1
+        for own in np.split(order, cuts):
+            part = table.select([1, 2]).take(pa.array(own)).combine_chunks()
+            yield pa.record_batch([pa.array([blocks[own[0]]], pa.int32()), pa.array([_packed(part)], pa.binary())],
+                                  ["block", "payload"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows > ANSWERS_HELD:
+            yield from out()
+            held, rows = [], 0
+    if held:
+        yield from out()
+
+
+def _gather(flat: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists ``rows`` of a list column, one after the other, and their sizes."""
+    sizes = offsets[rows + 1] - offsets[rows]
+    ends = np.cumsum(sizes)
+    at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes) + np.repeat(offsets[rows], sizes)
+    return flat[at], sizes
+
 
+def _concat(lists: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of list columns as one."""
+    flat = [np.asarray(x.flatten(), np.int32) for x in lists]
+    sizes = [np.diff(np.asarray(x.offsets)) for x in lists]
+    return (np.concatenate([np.zeros(0, np.int32), *flat]),
+            np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))]).astype(np.int64))
+
+
+def _assemble(model: PieceModel):
+    """Encode the documents of a block: the distinct words of each batch are looked up in the block's answers."""
+    def put_together(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        known = [_unpacked(p).combine_chunks() for p in answers.column("payload")]
+        words = pa.chunked_array([c for t in known for c in t.column("word").chunks], pa.string()).combine_chunks()
+        flat, offsets = _concat([c for t in known for c in t.column("ids").chunks])
+        del known
         tables = []
-        for payload in blocks.column("payload"):
-            batch = pa.ipc.open_stream(payload.as_buffer()).read_all()
-            packed = [b"".join([held.get(w) or ids_of(w) for w in model.words(t.as_py() or "")]) for t in batch.column(1)]
-            sizes = np.array([len(p) // 4 for p in packed], np.int64)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(packed), np.int32))
-            tables.append(pa.table([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc", "ids"]))
+        for batch in (b for p in blocks.column("payload") for b in _unpacked(p).to_batches(max_chunksize=ROWS_AT_ONCE)):
+            texts = [model.words(t.as_py() or "") for t in batch.column(1)]
+            counts = np.array([len(t) for t in texts], np.int64)
+            coded = pa.array([w for t in texts for w in t], pa.string()).dictionary_encode()
+            del texts
+            parts = [model.parts(w) for w in coded.dictionary.to_pylist()]
+            part_words = pa.array([p for ps in parts for p in ps], pa.string())
+            where = pc.index_in(part_words, value_set=words)
+            part_rows = where.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            own_flat, own_offsets = flat, offsets
+            if where.null_count:  # long words, and those of a partition that was cut differently
+                missing = np.flatnonzero(where.is_null().to_numpy(zero_copy_only=False))
+                folded = [model.fold(part_words[int(k)].as_py()) for k in missing]
+                own_flat = np.concatenate([flat, *[np.array(f, np.int32) for f in folded]])
+                own_offsets = np.concatenate([offsets, offsets[-1] + np.cumsum([len(f) for f in folded])]).astype(np.int64)
+                part_rows[missing] = len(offsets) - 1 + np.arange(len(missing))
+            word_ids, part_sizes = _gather(own_flat, own_offsets, part_rows)
+            part_ends = np.concatenate([[0], np.cumsum(part_sizes)])
+            word_offsets = part_ends[np.concatenate([[0], np.cumsum([len(ps) for ps in parts])]).astype(np.int64)]
+            ids, sizes = _gather(word_ids, word_offsets, coded.indices.to_numpy().astype(np.int64))
+            word_ends = np.concatenate([[0], np.cumsum(sizes)])
+            doc_offsets = word_ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)].astype(np.int32)
+            column = pa.ListArray.from_arrays(pa.array(doc_offsets), pa.array(ids))
+            tables.append(pa.table([pa.chunked_array([batch.column(0)]), pa.chunked_array([column])], ["doc", "ids"]))
         return pa.concat_tables(tables)
     return put_together
 
@@ -328,15 +378,19 @@ def encode(docs: DataFrame, model: PieceModel, key: str = "doc_id", text: str =
     readings, the words it did not ask for are folded in place."""
     spark = docs.sparkSession
     small_batches(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
     kind = texts.schema["doc"].dataType.simpleString()
-    asked = texts.select("text").mapInArrow(_requests(model), "block int, word string")
-    paths = encode_words(asked.select("word").distinct(), model)
+    # one exchange by word serves the distinct words, their lattice and the join of the answers
+    asked = texts.select("text").mapInArrow(_requests(model), "block int, word string").repartition(parts, "word")
+    words = asked.groupBy("word").agg(F.min("block").alias("one")).where("one >= 0")
+    paths = encode_words(words, model)
     plain = F.transform("path", lambda e: e["id"])
     with_bytes = F.flatten(F.transform("path", lambda e: F.when(e["id"] >= 0, F.array(e["id"])).otherwise(
         unknown_bytes(F.substring(F.col("word"), e["first"] + 1, F.lit(1)), model))))
     known = paths.select("word", F.when(F.exists("path", lambda e: e["id"] < 0), with_bytes).otherwise(plain).alias("ids"))
-    answers = asked.join(known, "word").select("block", "word", "ids")
+    answers = (asked.join(known.hint("shuffle_hash"), "word").select("block", "word", "ids")
+               .mapInArrow(_answers, "block int, payload binary"))
     blocks = texts.mapInArrow(_payload, "block int, payload binary")
     return (blocks.groupBy("block").cogroup(answers.groupBy("block"))
             .applyInArrow(_assemble(model), f"doc {kind}, ids array<int>"))
@@ -353,10 +407,17 @@ def unknown_bytes(char: Column, model: PieceModel) -> Column:
 
 
 def decode(encoded: DataFrame, model: PieceModel, ids: str = "ids") -> DataFrame:
-    """``encoded`` with ``decoded``, the texts of the ids; null ids give a null text."""
+    """``encoded`` with ``decoded``, the texts of the ids; null ids give a null text, an id that the model does not have
+    nothing. Characters that are spread over byte pieces come together; what is no UTF-8 is replaced."""
     small_batches(encoded.sparkSession)
+    stands_for = [model.bytes_of(i) for i in range(len(model.pieces))]
+    skip = 1 if model.add_dummy_prefix else 0
 
     def texts(values: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else model.decode(v) for v in values.to_pylist()], pa.string())
+        out = []
+        for v in values:
+            data = b"".join([stands_for[i] for i in np.asarray(v.values).tolist() if 0 <= i < len(stands_for)]) if v.is_valid else None
+            out.append(None if data is None else data[skip * data.startswith(b" "):].decode("utf-8", "replace"))
+        return pa.array(out, pa.string())
 
     return encoded.withColumn("decoded", F.arrow_udf(texts, "string")(F.col(ids)))
