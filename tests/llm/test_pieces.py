@@ -52,9 +52,17 @@ def test_documents_equal_the_library(spark, model):
 
 def test_unigram_model_equals_the_library(spark, model):
     unigram, other = P.PieceModel(model.pieces, model.add_dummy_prefix, merges=False), library(unigram=True)
-    rows = [(k, t) for k, t in enumerate(texts(200, 25)) if "  " not in t]  # sums beyond 2**24 are inexact there
+    # the library sums in single precision, where scores beyond 2**24 (unknown characters, runs of spaces) hide the others
+    rows = [(k, t) for k, t in enumerate(texts(600, 25)) if "  " not in f" {t}" and all(c in model.table for c in t if c != " ")]
+    assert len(rows) > 50
     got = encoded(spark, rows, unigram)
-    assert all(got[k][0] == other.encode(t) for k, t in rows)
+
+    def score(ids):
+        return sum(model.pieces[i][1] for i in ids)
+
+    for k, t in rows:  # its single precision sometimes misses the best sum
+        assert got[k][1] == t.replace("▁", " ") and score(got[k][0]) >= score(other.encode(t)), repr(t)
+    assert sum(got[k][0] == other.encode(t) for k, t in rows) > 0.9 * len(rows)
 
 
 def test_folds_agree_with_those_in_place(spark, model):
