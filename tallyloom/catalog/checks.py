@@ -76,6 +76,17 @@ QUERIES = {
     "remove_handled": lambda spark, sf: C.remove_handled(_found(spark, sf), _handled(spark, sf)),
     "remove_handled_all_copies": lambda spark, sf: C.remove_handled(
         _found(spark, sf), _handled(spark, sf), drop_all_copies=True),
+    "time_gap_slashes": lambda spark, sf: _flat(C.time_gap_report(resp(spark, sf).withColumns(
+        {c: F.replace(c, F.lit("2024-01-01"), F.lit("2024/1/1")) for c in ("t1_ansTime", "t2_ansTime", "t10_ansTime")}))),
+    "check_range_open_bounds": lambda spark, sf: C.check_range(resp(spark, sf), [
+        {"var": "score", "min": float("nan"), "max": 90.0, "special_code": "95@99"},
+        {"var": "c1", "min": 1.0, "max": None, "special_code": "-8@-7"}], SURVEY),
+    "check_single_note_number": lambda spark, sf: C.check_single_note(
+        more(spark, sf).withColumn("s2", F.try_to_number("s2", F.lit("S99")).cast("double")),
+        [r for r in NOTE_RULES if r["note_item"] == "s2"], SURVEY),
+    "findings_report_text_ids": lambda spark, sf: C.findings_report(
+        _found(spark, sf), _handled(spark, sf).withColumn("id", F.col("id").cast("string")).unionByName(
+            _handled(spark, sf).withColumn("id", F.lit("A12"))), wave="02"),
     "findings_report": lambda spark, sf: C.findings_report(
         _found(spark, sf), _handled(spark, sf), wave="02"),
     "findings_report_initial": lambda spark, sf: C.findings_report(
@@ -164,7 +175,8 @@ GAP_BODY = (
     "CONCAT_WS('|', CASE WHEN g1 > 10 THEN 't1_ansTime = ' || strftime(t1, '%Y/%m/%d %H:%M:%S') || "
     "'，t2_ansTime = ' || strftime(t2, '%Y/%m/%d %H:%M:%S') END, "
     "CASE WHEN g2 > 10 THEN 't2_ansTime = ' || strftime(t2, '%Y/%m/%d %H:%M:%S') || "
-    "'，t10_ansTime = ' || strftime(t3, '%Y/%m/%d %H:%M:%S') END) AS details FROM ("
+    "'，t10_ansTime = ' || strftime(t3, '%Y/%m/%d %H:%M:%S') END) AS details, "
+    "CAST((TRIM(t2_ansTime) <> '' AND t2 IS NULL) AS INT) AS unreadable FROM ("
     "SELECT *, epoch(t2) / 60 - epoch(t1) / 60 AS g1, epoch(t3) / 60 - epoch(t2) / 60 AS g2 FROM ("
     "SELECT *, TRY_CAST(t1_ansTime AS TIMESTAMP) AS t1, TRY_CAST(t2_ansTime AS TIMESTAMP) AS t2, "
     "TRY_CAST(t10_ansTime AS TIMESTAMP) AS t3 FROM resp WHERE status = '完訪: 100'))")
@@ -196,6 +208,14 @@ SQL = {
     "remove_handled": with_resp(f"SELECT * FROM found WHERE {_KEPT}", _FOUND),
     "remove_handled_all_copies": with_resp(
         f"SELECT * FROM found WHERE {_KEPT} AND reason <> 'score_數值不合理'", _FOUND),
+    "time_gap_slashes": with_resp(GAP_BODY),
+    "check_range_open_bounds": with_resp(_union([
+        _select("resp", "score > 90 AND score NOT IN (95, 99)", _content(["score"]), "score_數值不合理"),
+        _select("resp", "c1 < 1 AND c1 NOT IN (-8, -7)", _content(["c1"]), "c1_數值不合理")])),
+    "check_single_note_number": with_resp(_union([
+        _select("more", "x3c1 = 1", "'x3c1=' || COALESCE(CAST(x3c1 AS VARCHAR), 'nan') || '，s2=' || "
+                "CASE WHEN s2 = '-6' THEN '-6.0' ELSE 'nan' END", "x3c1_開放題未填")])),
+    "findings_report_text_ids": with_resp(f"SELECT DISTINCT * FROM found WHERE {_KEPT}", _FOUND),
     "findings_report": with_resp(f"SELECT DISTINCT * FROM found WHERE {_KEPT}", _FOUND),
     "findings_report_initial": with_resp("SELECT DISTINCT * FROM found", _FOUND),
 }

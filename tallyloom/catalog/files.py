@@ -36,19 +36,25 @@ def _flat(book):
 
 
 def _syntax_files(spark, sf):
-    """Written as many files of limited size, then read back whole."""
+    """One file per survey, read back whole; a survey is known by its own variable."""
     path = run_folder(spark, "syntax")
-    _syntax(spark, sf).select("text").write.option("maxRecordsPerFile", 200).text(path)
-    return _flat(B.codebook(readers.read_syntax_files(spark, path, "*.txt"))).drop("file") \
-        .filter("var <> 'seg' AND var <> 'late'")
+    _syntax(spark, sf).select("text").write.option("maxRecordsPerFile", 1).text(path)
+    book = B.codebook(readers.read_syntax_files(spark, path, "*.txt"))
+    own = book.groupBy("file").agg(F.max(F.when(F.col("var").rlike("^c[0-9]+$"), F.concat(
+        F.lit("s"), F.substring("var", 2, 20), F.lit(".sps")))).alias("named"))
+    return _flat(book.join(own, "file").drop("file").withColumnRenamed("named", "file"))
 
 
 def _rules(spark, sf):
+    """Columns in another order, one more than asked for; half as CSV, half as JSON."""
     path = run_folder(spark, "rules")
-    (table(spark, sf, "part").selectExpr(
-        "CONCAT('v', p_partkey) AS var", "CAST(p_size AS DOUBLE) AS min", "p_retailprice AS max",
-        "CONCAT('-8@', p_size) AS special_code").write.option("header", True).csv(path))
-    return readers.read_rules(spark, {"range": path})["range"]
+    rules = table(spark, sf, "part").selectExpr(
+        "p_name AS remark", "CONCAT('-8@', p_size) AS special_code", "CAST(p_size AS DOUBLE) AS min",
+        "CONCAT('v', p_partkey) AS var", "p_retailprice AS max", "p_partkey % 2 AS half")
+    rules.filter("half = 0").drop("half").write.option("header", True).csv(f"{path}/csv")
+    rules.filter("half = 1").drop("half").write.json(f"{path}/json")
+    return (readers.read_rules(spark, {"range": f"{path}/csv"})["range"].unionByName(
+        readers.read_rules(spark, {"range": f"{path}/json"}, fmt="json")["range"]))
 
 
 def _lookup_list(spark, sf):
@@ -59,29 +65,35 @@ def _lookup_list(spark, sf):
 
 
 def _handled_reports(spark, sf):
-    """Reports of two weeks, of which one file belongs to another handler."""
+    """Reports of eight columns of two weeks, one in a folder with a suffix, in CSV and in JSON; one belongs to another handler."""
     root = run_folder(spark, "reports")
     found = K._found(spark, sf).select(
-        "no", F.col("id").cast("string").alias("id"),
-        F.concat("content", F.lit("\r\r\nsecond line")).alias("content"), "reason", "reply")
-    for week, handler, wanted in (("w00", "lee", "reason LIKE 'score%'"), ("w01", "lee_done", "reason LIKE 'c1%'"),
+        F.lit("panel").alias("survey"), F.col("id").cast("string").alias("id"),
+        F.concat("content", F.lit("\r\r\nsecond line")).alias("content"), "reason", "no", "reply", "wave", "note")
+    for week, handler, wanted in (("w00", "lee", "reason LIKE 'score%'"), ("w01_done", "lee_done", "reason LIKE 'c1%'"),
                                   ("w01", "kim", "true")):
-        (found.filter(wanted).write
-         .json(f"{root}/{week}_檢誤報表/panel_問卷檢誤_{week}_20240101_{handler}.json"))
-    return readers.read_handled_reports(spark, root, "panel", "lee", fmt="json")
+        folder = f"{root}/{week[:3]}_檢誤報表{week[3:]}/panel_問卷檢誤_{week[:3]}_20240101_{handler}"
+        found.filter(f"id % 2 = 0 AND {wanted}").write.json(f"{folder}.json")
+        found.filter(f"id % 2 = 1 AND {wanted}").write.options(header=True, escape='"').csv(f"{folder}.csv")
+    nothing = readers.read_handled_reports(spark, root, "other", "lee")
+    return nothing.unionByName(readers.read_handled_reports(spark, root, "panel", "lee", fmt="json")).unionByName(
+        readers.read_handled_reports(spark, root, "panel", "lee", fmt="csv"))
 
 
 def _write_findings(spark, sf):
     path = run_folder(spark, "findings")
     found = K._found(spark, sf).withColumn("wave", F.substring("wave", 2, 2))
-    writers.write_findings(found, path, "panel01")
+    for _ in range(2):  # a second run replaces the first
+        writers.write_findings(found, path, "panel01")
     return readers.read_findings(spark, path)
 
 
 def _write_gaps(spark, sf):
     path = run_folder(spark, "gaps")
-    writers.write_gap_tables(resp(spark, sf), path)
-    check, data = (spark.read.parquet(f"{path}/{name}") for name in ("ansTime_check", "ansTime_data"))
+    writers.write_gap_tables(resp(spark, sf).limit(0), path, "panel01", "02")  # another wave stays apart
+    for _ in range(2):
+        writers.write_gap_tables(resp(spark, sf), path, "panel01", "01")
+    check, data = (spark.read.parquet(f"{path}/{name}").drop("survey_code", "wave") for name in ("ansTime_check", "ansTime_data"))
     return K._flat(check.join(data.select("id", "t2_ansTime"), "id"))
 
 
@@ -121,7 +133,7 @@ _BOOK = ("SELECT 's' || c_custkey || '.sps' AS file, " + _VAR + " FROM customer
 SQL = {
     "codebook": _BOOK,
     "write_codebook": _BOOK,
-    "read_syntax_files": f"SELECT {_VAR} FROM customer",
+    "read_syntax_files": _BOOK,
     "read_rules": "SELECT 'v' || p_partkey AS var, CAST(p_size AS DOUBLE) AS min, p_retailprice AS max, "
                   "'-8@' || p_size AS special_code FROM part",
     "read_lookup_list": with_resp("SELECT id, CASE gender WHEN 1 THEN 'cell1' ELSE 'phone1' END AS item, "

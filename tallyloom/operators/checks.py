@@ -6,7 +6,7 @@ scan and without a shuffle, so all checks of a survey can share one pass over th
 """
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -22,6 +22,8 @@ KEY = ["no", "id", "content", "reason"]
 SKIPPED = -6
 COMPLETED = "完訪: 100"
 GAP_TIME_FORMAT = "yyyy/MM/dd HH:mm:ss"
+# the forms of an answer time besides ISO, tried in this order
+TIME_FORMATS = ("yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "yyyy/M/d", "yyyyMMddHHmmss")
 
 Checks = list[Column]
 
@@ -88,7 +90,7 @@ def single_note_checks(df: DataFrame, rules, errors: list[str] | None = None) ->
         content = _pairs([item, note, *extra])
         blank = is_blank(_col(note))
         if item.startswith("x3c"):
-            blank = blank | F.coalesce(_col(note).cast("string") == str(SKIPPED), F.lit(False))
+            blank = blank | F.coalesce(_measure(df, note) == SKIPPED, F.lit(False))
         out.append(F.coalesce(
             _finding(is_in(_col(item), _codes(df, item, [r["value"]])) & blank, content,
                      f"{item}_開放題未填"),
@@ -148,18 +150,30 @@ def phone_checks(df: DataFrame, errors: list[str] | None = None) -> Checks:
     for v in PHONES:
         unreachable = unreachable & shown(_col(v)).isin("0", "-8")
     out = [_finding(unreachable, _pairs(PHONES), "完全沒有連絡電話或全拒答")]
-    for v in PHONES:
-        raw = strip(shown(_col(v)))
-        digits, given = _phone_digits(raw), ~raw.isin("0", "-8", "")
-        content = F.concat(F.lit(f"{v}="), raw)
-        malformed = F.struct(content.alias("content"), F.lit(f"{v}_號碼格式有誤，請確認").alias("reason"))
-        if v.startswith("phone"):
-            out.append(F.when(given & ~digits.rlike(r"\A\p{Nd}+\z"), malformed))
-        else:  # one test lets every good number pass
-            short = F.struct(content.alias("content"), F.lit(f"{v}_號碼少於10碼").alias("reason"))
-            out.append(F.when(given & ~digits.rlike(r"\A09\p{Nd}{8,}\z"),
-                              F.when(F.length(digits) < 10, short).otherwise(malformed)))
-    return out
+    return out + [_phone_check(v) for v in PHONES]
+
+
+def _phone_check(v: str) -> Column:
+    def finding(raw: Column, reason: str) -> Column:
+        return F.struct(F.concat(F.lit(f"{v}="), raw).alias("content"), F.lit(f"{v}_{reason}").alias("reason"))
+
+    def judged(raw: Column) -> Column:
+        def of_digits(digits: Column) -> Column:
+            malformed = finding(raw, "號碼格式有誤，請確認")
+            if v.startswith("phone"):
+                return F.when(~digits.rlike(r"\A\p{Nd}+\z"), malformed)
+            # one test lets every good number pass
+            return F.when(~digits.rlike(r"\A09\p{Nd}{8,}\z"),
+                          F.when(F.length(digits) < 10, finding(raw, "號碼少於10碼")).otherwise(malformed))
+
+        return F.when(~raw.isin("0", "-8", ""), _once(_phone_digits(raw), of_digits))
+
+    return _once(strip(shown(_col(v))), judged)
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def filled_note_checks(df: DataFrame, rules, multi_rules, wave: str | None,
@@ -340,18 +354,27 @@ def answer_times(df: DataFrame) -> DataFrame:
             .select(*base, *[_col(c) for c in answer_time_columns(df)]))
 
 
+def _time(col: Column) -> Column:
+    """An answer time in any of the known forms, NULL if it has none of them."""
+    text = strip(col.cast("string"))
+    return F.coalesce(text.try_cast("timestamp_ntz"),
+                      *[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in TIME_FORMATS])
+
+
 def time_gap_report(df: DataFrame, threshold_minutes: float = 10) -> DataFrame:
     """One row per completed interview: does any pair of neighbouring answer times lie more
     than the threshold apart, and which pairs.
 
     The times of one interview stand in one row, so neighbours are compared there: no
-    unpivot, window or shuffle. An unreadable time breaks the pairs on both sides.
+    unpivot, window or shuffle. An unreadable time breaks the pairs on both sides and is counted in ``unreadable``.
     """
     cols = answer_time_columns(df)
     done = answer_times(df)
     base = [c for c in done.columns if c not in cols]
-    parsed = done.select(*base, F.array(*[_col(c).try_cast("timestamp_ntz") for c in cols])
-                         .alias("times"))
+    given = F.array(*[~is_blank(_col(c)) for c in cols]) if cols else F.array().cast("array<boolean>")
+    times = F.array(*[_time(_col(c)) for c in cols]) if cols else F.array().cast("array<timestamp_ntz>")
+    parsed = done.select(*base, times.alias("times"), given.alias("given"))
+    unreadable = F.size(F.filter(F.arrays_zip("times", "given"), lambda x: x["given"] & x["times"].isNull()))
     gaps = []
     for i, (left, right) in enumerate(zip(cols, cols[1:])):
         t1, t2 = F.col("times")[i], F.col("times")[i + 1]
@@ -361,8 +384,8 @@ def time_gap_report(df: DataFrame, threshold_minutes: float = 10) -> DataFrame:
             F.lit(f"{SEPARATOR}{right} = "), F.date_format(t2, GAP_TIME_FORMAT))))
     details = (F.filter(F.array(*gaps), lambda g: g.isNotNull()) if gaps
                else F.array().cast("array<string>"))
-    return (parsed.select(*base, details.alias("details"))
-            .select(*base, (F.size("details") > 0).alias("flag"), "details"))
+    return (parsed.select(*base, details.alias("details"), unreadable.alias("unreadable"))
+            .select(*base, (F.size("details") > 0).alias("flag"), "details", "unreadable"))
 
 
 # ------------------------------------------------------------------------ reports
@@ -398,23 +421,24 @@ def drop_duplicate_findings(df: DataFrame) -> DataFrame:
 def findings_report(found: DataFrame, handled: DataFrame | None = None, wave: str | None = None,
                     init_waves: Sequence[str] = ("00", "01"),
                     drop_all_copies: bool = False) -> DataFrame:
-    """The report of a wave: distinct findings, minus the handled ones unless the wave is an
-    initial one.
+    """The report of a wave, ordered by content: distinct findings, minus the handled ones unless the wave is an
+    initial one. Keys are compared as text, so a handled id need not be a number.
 
     Copies and handled keys meet in one aggregation, partial before the exchange, so neither
     a finding repeated a billion times nor a key handled every week makes a hot task.
     """
+    order = ["content", "id", "no", "reason"]
     if handled is None or wave in init_waves:
-        return drop_duplicate_findings(found)
+        return drop_duplicate_findings(found).orderBy(*order)
+    text = {k: f"__{k}" for k in KEY}
     rest = [c for c in found.columns if c not in KEY]
-    types = dict(found.dtypes)
-    current = found.select(*KEY, F.struct(*rest).alias("rest"), F.lit(0).alias("past"))
-    past = handled.select(*[F.col(k).cast(types[k]).alias(k) for k in KEY]).withColumns(
-        {"rest": F.lit(None).cast(current.schema["rest"].dataType), "past": F.lit(1)})
-    merged = current.unionByName(past).groupBy(*KEY).agg(
-        F.max("past").alias("past"), F.count(F.lit(1)).alias("copies"),
-        F.min("rest").alias("rest"))
+    current = found.select(*[F.col(k).cast("string").alias(t) for k, t in text.items()],
+                           F.struct(*KEY, *rest).alias("row"), F.lit(0).alias("past"))
+    past = handled.select(*[F.col(k).cast("string").alias(t) for k, t in text.items()]).withColumns(
+        {"row": F.lit(None).cast(current.schema["row"].dataType), "past": F.lit(1)})
+    merged = current.unionByName(past).groupBy(*text.values()).agg(
+        F.max("past").alias("past"), F.count(F.lit(1)).alias("copies"), F.min("row").alias("row"))
     keep = F.col("past") == 0
     if drop_all_copies:
         keep = keep & (F.col("copies") == 1)
-    return merged.filter(keep).select(*KEY, "rest.*").select(*found.columns)
+    return merged.filter(keep).select("row.*").select(*found.columns).orderBy(*order)

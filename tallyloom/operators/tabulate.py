@@ -206,10 +206,8 @@ def _wide(cells: DataFrame, row_vars: Sequence[str], categories: list[str],
     ).agg(*[F.coalesce(F.sum(F.col(f"`{c}`")), F.lit(0)).alias(f"n_{c}") for c in categories],
           *([] if categories else [F.sum("n").alias("n")]), F.grouping("level").alias("is_total"))
     if categories:  # every cell stands in one of the columns
-        n = F.lit(0)
-        for c in categories:
-            n = n + F.col(f"`n_{c}`")
-        rows = rows.withColumn("n", n)
+        zero = F.lit(0).cast(rows.schema[f"n_{categories[0]}"].dataType)
+        rows = rows.withColumn("n", F.aggregate(F.array(*[F.col(f"`n_{c}`") for c in categories]), zero, lambda a, x: a + x))
     for name, members in sum_col.items():
         net = F.lit(0)
         for m in members:

@@ -1,6 +1,7 @@
 """Rule tables as plan metadata: reading them into lists and binding rule text to columns."""
 from __future__ import annotations
 
+import math
 import re
 import warnings
 from collections.abc import Iterable, Mapping, Sequence
@@ -13,10 +14,12 @@ _TOKEN = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|\b[A-Za-
 
 def rule_rows(rules) -> list[dict]:
     """Rules as dictionaries. A rule becomes an expression of the plan, so the rule table is
-    as small as a plan must be; it is the only thing read to the driver here."""
+    as small as a plan must be; it is the only thing read to the driver here. NaN, which a data frame has for an empty
+    cell, counts as missing. Where the order of rules matters, a frame needs a column ``position``."""
     if isinstance(rules, DataFrame):
-        return [r.asDict() for r in rules.collect()]
-    return [dict(r) for r in rules]
+        ordered = rules.orderBy("position") if "position" in rules.columns else rules
+        rules = [r.asDict() for r in ordered.collect()]
+    return [{k: None if isinstance(v, float) and math.isnan(v) else v for k, v in dict(r).items()} for r in rules]
 
 
 def names(text) -> list[str]:

@@ -3,8 +3,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import normalise_line_breaks
 
@@ -26,12 +27,43 @@ FINDINGS_SCHEMA = ("survey string, no string, id long, content string, reason st
 REPORT_SCHEMA = "no string, id string, content string, reason string, reply string"
 
 
-def _read(spark: SparkSession, path, schema: str, fmt: str, **options) -> DataFrame:
-    reader = spark.read.schema(schema).options(**options)
-    if fmt == "csv":
-        # an empty field is an empty text only when it is quoted
-        reader = reader.options(header=True, multiLine=True, escape='"')
-    return reader.format(fmt).load(path)
+def _typed(df: DataFrame, schema: str, where) -> DataFrame:
+    """The columns of ``schema`` by name, in any order; further ones are left out. A cell that does not fit its type is an
+    error, not a NULL."""
+    fields = T._parse_datatype_string(schema).fields
+    absent = [f.name for f in fields if f.name not in df.columns]
+    if absent:
+        raise ValueError(f"{where}: no column {absent}, only {df.columns}")
+
+    def fitting(name: str, kind: T.DataType) -> Column:
+        c = F.col(f"`{name}`")
+        if df.schema[name].dataType == kind:
+            return c
+        value, text = c.try_cast(kind), F.trim(c.cast("string"))
+        message = F.concat(F.lit(f"{where}: {name} is no {kind.simpleString()}: "), text)
+        return F.when(c.isNotNull() & (text != "") & value.isNull(), F.raise_error(message).cast(kind)).otherwise(value)
+
+    return df.select(*[fitting(f.name, f.dataType).alias(f.name) for f in fields])
+
+
+_EMPTY = "\x01"  # stands for a quoted empty field while a CSV file is read; an unquoted one is NULL
+_CSV = {"header": True, "escape": '"', "mode": "FAILFAST", "enforceSchema": False, "emptyValue": _EMPTY}
+
+
+def _quoted_empty(df: DataFrame) -> DataFrame:
+    return df.select(*[F.when(F.col(f"`{f.name}`") != _EMPTY, F.col(f"`{f.name}`")).when(F.col(f"`{f.name}`") == _EMPTY, "").alias(f.name)
+                       if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema])
+
+
+def _read(spark: SparkSession, path: str, schema: str, fmt: str, line_breaks: bool = True) -> DataFrame:
+    """A table by its column names. ``line_breaks``: CSV cells may hold some, so a file is not split."""
+    if fmt == "csv":  # every file must have the same header
+        df = _quoted_empty(spark.read.options(**_CSV, multiLine=line_breaks).csv(path))
+    elif fmt == "json":
+        df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    else:
+        df = spark.read.format(fmt).load(path)
+    return _typed(df, schema, path)
 
 
 def read_rules(spark: SparkSession, paths: Mapping[str, str], fmt: str = "csv") -> dict[str, DataFrame]:
@@ -43,25 +75,37 @@ def read_rules(spark: SparkSession, paths: Mapping[str, str], fmt: str = "csv")
 
 
 def read_lookup_list(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """(id, item) pairs for ``multi_search``."""
-    return _read(spark, path, "id long, item string", fmt)
+    """(id, item) pairs for ``multi_search``; their files are split, as they grow with the questions asked."""
+    return _read(spark, path, "id long, item string", fmt, line_breaks=False)
+
+
+def _literal(text: str) -> str:
+    """The text as a part of a path pattern."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", text)
+
+
+def _matching(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that match, in order, on any file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().toString() for f in found or [])
 
 
 def read_handled_reports(spark: SparkSession, root: str, survey_code: str, handler: str,
                          fmt: str = "csv") -> DataFrame:
-    """Handled reports of all weeks of one survey and handler.
+    """Handled reports of all weeks of one survey and handler; no rows before the first one exists.
 
-    Expects ``<root>/wNN_檢誤報表/<survey_code>_問卷檢誤_wNN_<date>_<handler>*.<fmt>``; a report
-    can be a file or a folder of part files. Line breaks in ``content`` are normalised.
-    Choose ``parquet`` or ``json`` for big reports: multi-line CSV files are not split.
+    Expects ``<root>/wNN_檢誤報表*/<survey_code>_問卷檢誤_wNN_<date>_<handler>*.<fmt>``; a report
+    can be a file or a folder of part files, with more columns than the five that are read. Line breaks in ``content``
+    are normalised. Choose ``parquet`` or ``json`` for big reports: CSV files with line breaks are not split.
     """
-    reports = _read(spark, f"{root.rstrip('/')}/w[0-9][0-9]_檢誤報表/{survey_code}_問卷檢誤_w[0-9][0-9]_*_"
-                           f"{handler}*.{fmt}", REPORT_SCHEMA, fmt)
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    named = (rf"/(w\d{{2}})_檢誤報表[^/]*/{re.escape(survey_code)}_問卷檢誤_\1_\d+_"
-             rf"{re.escape(handler)}[^/]*\.{fmt}(/|$)")
-    return (reports.filter(path.rlike(named))
-            .withColumn("content", normalise_line_breaks(F.col("content"))))
+    pattern = (f"{root.rstrip('/')}/w[0-9][0-9]_檢誤報表*/{_literal(survey_code)}_問卷檢誤_w[0-9][0-9]_*_"
+               f"{_literal(handler)}*.{fmt}")
+    named = re.compile(rf"/(w\d{{2}})_檢誤報表[^/]*/{re.escape(survey_code)}_問卷檢誤_\1_\d+_{re.escape(handler)}[^/]*\.{fmt}$")
+    reports = [_read(spark, _literal(p), REPORT_SCHEMA, fmt) for p in _matching(spark, pattern) if named.search(p)]
+    if not reports:
+        return spark.createDataFrame([], REPORT_SCHEMA)
+    return reduce(DataFrame.unionByName, reports).withColumn("content", normalise_line_breaks(F.col("content")))
 
 
 def read_syntax_files(spark: SparkSession, folder: str, glob: str = "*.sps") -> DataFrame:
@@ -72,4 +116,7 @@ def read_syntax_files(spark: SparkSession, folder: str, glob: str = "*.sps") ->
 
 def read_findings(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """What ``write_findings`` wrote. The schema keeps a wave such as ``01`` a text."""
-    return spark.read.schema(FINDINGS_SCHEMA).format(fmt).load(path)
+    reader = spark.read.schema(FINDINGS_SCHEMA)
+    if fmt == "csv":
+        return _quoted_empty(reader.options(**_CSV, multiLine=True).csv(path))
+    return reader.format(fmt).load(path)

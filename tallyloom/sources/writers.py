@@ -6,20 +6,28 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.checks import answer_times, time_gap_report
 
 
-def write_findings(found: DataFrame, path: str, survey_code: str, fmt: str = "parquet",
-                   mode: str = "append") -> None:
-    """Findings, partitioned by survey and wave. Rebalancing keeps the files few and splits a
-    wave that holds most of the findings."""
-    (found.withColumn("survey_code", F.lit(survey_code)).hint("rebalance", F.col("wave"))
-     .write.mode(mode).partitionBy("survey_code", "wave").format(fmt).save(path))
-
-
-def write_gap_tables(df: DataFrame, path: str, threshold_minutes: float = 10,
-                     fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """The gap report (``ansTime_check``) and the full time table (``ansTime_data``)."""
-    path = path.rstrip("/")
-    time_gap_report(df, threshold_minutes).write.mode(mode).format(fmt).save(f"{path}/ansTime_check")
-    answer_times(df).write.mode(mode).format(fmt).save(f"{path}/ansTime_data")
+_FINDING = ["survey", "no", "id", "content", "reason", "reply", "note"]
+_CSV = {"header": True, "escape": '"'}
+
+
+def _by_wave(df: DataFrame, path: str, fmt: str) -> None:
+    """Partitions of a survey and wave replace those of an earlier run and leave the others alone."""
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("survey_code", "wave")
+    (writer.options(**_CSV) if fmt == "csv" else writer).format(fmt).save(path)
+
+
+def write_findings(found: DataFrame, path: str, survey_code: str, fmt: str = "parquet") -> None:
+    """Findings, partitioned by survey and wave; a wave that is written again replaces its findings. Rebalancing keeps the
+    files few and splits a wave that holds most of the findings."""
+    rows = found.select(*_FINDING, F.lit(survey_code).alias("survey_code"), "wave")
+    _by_wave(rows.hint("rebalance", F.col("wave")), path, fmt)
+
+
+def write_gap_tables(df: DataFrame, path: str, survey_code: str, wave: str, threshold_minutes: float = 10,
+                     fmt: str = "parquet") -> None:
+    """The gap report (``ansTime_check``) and the full time table (``ansTime_data``) of a survey and wave."""
+    for name, table in (("ansTime_check", time_gap_report(df, threshold_minutes)), ("ansTime_data", answer_times(df))):
+        _by_wave(table.withColumns({"survey_code": F.lit(survey_code), "wave": F.lit(wave)}), f"{path.rstrip('/')}/{name}", fmt)
 
 
 def write_weight_tables(tables: DataFrame, path: str, fmt: str = "parquet",

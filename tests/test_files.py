@@ -90,11 +90,43 @@ def test_clean_nan(spark):
     assert [r["x"] for r in clean_nan(df).collect()] == [None, 1.0]
 
 
-def test_broadcast_only_within_bound(spark):
-    df = spark.range(50)
-    assert "ResolvedHint" in small.broadcast_if_small(df)._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" not in small.broadcast_if_small(df, max_rows=10)._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" not in small.broadcast_if_small(df, max_bytes=10)._jdf.queryExecution().analyzed().toString()
+def test_scratch_goes_with_its_block(spark):
+    with small.scratch(spark.range(5), "test") as df:
+        path = df.inputFiles()[0]
+        assert df.count() == 5
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
+def test_tables_are_read_by_name_and_strictly(spark, tmp_path):
+    def table(name, text):
+        (tmp_path / name).write_text(text)
+        return str(tmp_path / name)
+
+    shuffled = table("a.csv", 'remark,special_code,max,var,min\n"x\ny",-8@-7,90,v1,0\n,"",,v2,\n')
+    rows = readers.read_rules(spark, {"range": shuffled})["range"].collect()
+    assert [tuple(r) for r in rows] == [("v1", 0.0, 90.0, "-8@-7"), ("v2", None, None, "")]
+    with pytest.raises(ValueError, match="no column"):
+        readers.read_rules(spark, {"range": table("b.csv", "var,min,max\nv,1,2\n")})
+    with pytest.raises(Exception, match="min is no double: zero"):
+        readers.read_rules(spark, {"range": table("c.csv", "var,min,max,special_code\nv,zero,2,\n")})["range"].collect()
+
+
+def test_no_report_yet(spark, tmp_path):
+    none = readers.read_handled_reports(spark, str(tmp_path), "a[1]*", "{lee}")
+    assert none.count() == 0 and none.columns == ["no", "id", "content", "reason", "reply"]
+
+
+def test_findings_in_csv_keep_line_breaks(spark, tmp_path):
+    rows = [("s", "n", 1, 'text="a"\nb', "r", "", "01", None), ("s", "n", 2, "x", "r", None, "02", "")]
+    found = spark.createDataFrame(rows, "survey string, no string, id long, content string, reason string, reply string, "
+                                        "wave string, note string")
+    for _ in range(2):
+        writers.write_findings(found, str(tmp_path / "f"), "panel", fmt="csv")
+    writers.write_findings(found.filter("wave = '02'"), str(tmp_path / "f"), "panel", fmt="csv")
+    back = readers.read_findings(spark, str(tmp_path / "f"), fmt="csv")
+    assert sorted(tuple(r) for r in back.select(*found.columns).collect()) == rows
+    assert {r["survey_code"] for r in back.collect()} == {"panel"}
 
 
 def test_query_and_literal(spark):

@@ -75,3 +75,24 @@ def test_cells_sum_to_n(spark, rows):
     assert out[-1]["n"] == len(rows)
     freq = T.freq_table(df, "b").collect()
     assert sum(r["frequency"] for r in freq if r["row_kind"] in ("valid", "system_missing")) == len(rows)
+
+
+def test_listed_categories_and_the_others_sum_to_n(spark):
+    df = spark.createDataFrame([(k % 2, k % 4) for k in range(40)] + [(0, None)], "g int, c int")
+    for rows in (T.crosstab(df, "g", "c", categories=[2, 1], colpercent=True).collect(),
+                 T.crosstab_rolling(df, "g", "c", categories=[2, 1]).collect()):
+        for r in rows:
+            assert r["n_2"] + r["n_1"] + r["n_other"] == r["n"]
+            assert abs(r["row_pct_2"] + r["row_pct_1"] + r["row_pct_other"] - 1) < 1e-9
+
+
+def test_many_categories(spark):
+    df = spark.range(6000).selectExpr("id % 2 AS g", "CAST(id % 200 AS INT) AS c")
+    rows = T.crosstab(df, "g", "c").collect()
+    assert len(rows[0].asDict()) == 4 + 2 * 200 and rows[-1]["n"] == 6000
+
+
+def test_text_columns_with_numeric_codes(spark):
+    df = spark.createDataFrame([("95",), ("a",), (None,)], "c string")
+    assert {r["value"]: r["row_kind"] for r in T.freq_table(df, "c", missing=[95, "a"]).collect()}["95"] == "valid"
+    assert T.crosstab(df.selectExpr("c", "1 AS g"), "g", "c", colmissing=[95]).first()["n"] == 3

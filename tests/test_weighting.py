@@ -2,6 +2,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
 from tallyloom.operators import weighting as W
+from tallyloom.plans.targets import target_lists
 
 TARGETS = [("g", 1, 0.5), ("g", 2, 0.5), ("a", 1, 0.25), ("a", 2, 0.75)]
 
@@ -78,3 +79,31 @@ def test_weight_tables_know_both_sides(spark):
     assert out[("weighted", "1")]["percent"] == 75.0 and out[("weighted", "2")]["count"] == 0.0
     assert out[("unweighted", "3")]["pop_percent"] == 0.0
     assert out[("weighted", "Chi-square result")]["chi2"] == float("inf")
+
+
+def test_targets_of_floats_and_frames(spark):
+    df = spark.createDataFrame([(k, 1.0 if k < 4 else 2.0, k % 2) for k in range(10)], "id int, g double, h int")
+    whole = W.rake(df, [("g", 1, 0.5), ("g", 2, 0.5)], passes=2)
+    floats = W.rake(df, [("g", 1.0, 0.5), ("g", 2.0, 0.5)], passes=2)
+    assert [r["final_weight"] for r in whole.collect()] == [r["final_weight"] for r in floats.collect()]
+    assert {round(r["final_weight"], 4) for r in floats.collect()} == {1.25, 0.8333}
+    frame = spark.createDataFrame([(2, "g", 1, 0.3), (3, "g", 2, 0.7), (0, "h", 0, 0.4), (1, "h", 1, 0.6)],
+                                  "position int, variable string, category int, proportion double").repartition(4)
+    assert list(target_lists(frame)) == ["h", "g"] and list(target_lists(frame.drop("position"))) == ["g", "h"]
+    with pytest.raises(ValueError, match="no target category of 'g'"):
+        W.rake(df, [("g", "x", 1.0)])
+
+
+def test_cells_are_bounded_by_the_targets(spark):
+    df = spark.range(5000).selectExpr("id", "id % 3 AS g", "id AS code", "1.0D AS w")
+    cells = W._cells(df, {"g": {"0": 0.5, "1": 0.5}, "code": {"7": 0.5, "8": 0.5}}, "w")
+    assert cells.count() <= 9
+
+
+def test_fit_after_every_step(spark):
+    df = spark.range(100).selectExpr("id", "id % 2 AS g", "id % 3 AS h")
+    targets = [("g", 0, 0.3), ("g", 1, 0.7), ("h", 0, 0.2), ("h", 1, 0.3), ("h", 2, 0.5)]
+    fit = {(r["step"], r["variable"]): (r["raked"], r["chi2"], r["p_value"]) for r in W.rake_fit(df, targets).collect()}
+    assert len(fit) == 6 and fit[0, "g"][0] is None and fit[2, "h"][0] == "h"
+    assert fit[1, "g"][1] < 1e-9 < fit[0, "g"][1] and abs(fit[0, "g"][1] - (20 ** 2 / 30 + 20 ** 2 / 70)) < 1e-9
+    assert 0 < fit[0, "g"][2] < 1e-4 and fit[2, "h"][2] > 0.999
