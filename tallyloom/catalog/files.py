@@ -32,7 +32,8 @@ def _flat(book):
     labels = F.array_join(F.transform(F.array_sort(F.map_entries("value_labels")),
                                       lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
     return book.withColumns({"value_labels": labels,
-                             "missing": F.array_join(F.col("missing").cast("array<string>"), "|")})
+                             "missing": F.array_join(F.flatten(F.transform("missing", lambda r: F.sequence(
+                                 r["lo"], r["hi"]))).cast("array<string>"), "|")})
 
 
 def _syntax_files(spark, sf):
@@ -111,6 +112,7 @@ def _write_codebook(spark, sf):
 
 QUERIES = {
     "codebook": lambda spark, sf: _flat(B.codebook(_syntax(spark, sf))),
+    "codebook_missing_codes": lambda spark, sf: B.missing_codes(B.codebook(_syntax(spark, sf)), step=2),
     "read_syntax_files": _syntax_files,
     "read_rules": _rules,
     "read_lookup_list": _lookup_list,
@@ -132,6 +134,8 @@ _BOOK = ("SELECT 's' || c_custkey || '.sps' AS file, " + _VAR + " FROM customer
 
 SQL = {
     "codebook": _BOOK,
+    "codebook_missing_codes": "SELECT 's' || c_custkey || '.sps' AS file, 'c' || c_custkey AS var, "
+                              "CAST(UNNEST([-9, -8, -7, c_nationkey]) AS BIGINT) AS code FROM customer",
     "write_codebook": _BOOK,
     "read_syntax_files": _BOOK,
     "read_rules": "SELECT 'v' || p_partkey AS var, CAST(p_size AS DOUBLE) AS min, p_retailprice AS max, "

@@ -1,8 +1,8 @@
 """Codebooks from SPSS syntax files, as one job over a folder.
 
-Each file is cut into statements and each statement is mined by pattern for pieces: a label, a
-comment, a coded label, missing codes or a format. Pieces are rows of one shape; they meet in
-two aggregations, by code and by variable. First mentions come from a plain count of words.
+A file is cut into statements once. Names, quoted texts, numbers and marks of a statement are its tokens; each kind of
+statement reads them into pieces: a label, a comment, a coded label, missing ranges or a format, for one variable or several.
+Pieces and the words of the statement leave as rows of one shape and meet in two aggregations, by code and by variable.
 """
 from __future__ import annotations
 
@@ -10,136 +10,170 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.small import fence
 
-# The statements that carry variable information and their patterns.
-KEYWORDS = ["VARIABLE LABELS", "COMMENT TO", "VALUE LABELS", "MISSING VALUES", "FORMATS"]
+# The statements that carry variable information.
+KEYWORDS = ("VARIABLE LABELS", "COMMENT TO", "VALUE LABELS", "MISSING VALUES", "FORMATS")
+
 DEFAULT_FORMAT = "F8.0"
-_U = "(?imU)"
-_STATEMENT = _U + r"(?=^\s*(?:" + "|".join(KEYWORDS) + r")\b)"
-_VARIABLE_LABEL = _U + r'^\s*/?\s*(\w+)\s+"([^"]+)"'
-_COMMENT = r"(?isU)^\s*COMMENT TO (\w+):\s*(.*)"
-_MISSING = _U + r"^\s*MISSING VALUES\s+(\w+)\s+\(([^)]+)\)\s*\."
-_FORMAT = _U + r"^\s*FORMATS\s+(\w+)\s+\(([^)]+)\)"
-_LABEL_BLOCK = _U + r"(?=^\s*/?\s*[\p{L}_]\w*\s)"
-_LABEL_NAME = _U + r"^\s*/?\s*([\p{L}_]\w*)\s"
-_CODE_LABEL = r'(-?\d+)\s+"([^"]+)"'
-_CODE = r"^-?\d+$"
-_WORD = r"(?U)(\w+)"
+LOWEST, HIGHEST = -2147483648, 2147483647
+_NAME = r"[\p{L}_@#$][\p{L}\p{N}_.@#$]*(?<!\.)"
+_TEXT = r'"(?:[^"]|"")*"|' + r"'(?:[^']|'')*'"
+_TOKEN = rf"{_TEXT}|{_NAME}|-?\d+(?:\.\d+)?|[/().,:]"
+_END = r"(?:LOWEST|LO|HIGHEST|HI|-?\d+)"
+_PIECE = ("struct<what:string,var:string,first:int,second:int,code:int,text:string,"
+          "ranges:array<struct<lo:int,hi:int>>>")
 
 
 def statements(files: DataFrame) -> DataFrame:
-    """(file, pos, kind, statement) from (file, text); text before the first keyword is no
-    statement. Newlines are unified first."""
-    text = F.regexp_replace("text", "\r\n?", "\n")
-    cut = files.select("file", F.posexplode(F.split(text, _STATEMENT)).alias("pos", "statement"))
-    head = F.upper(F.regexp_replace("statement", r"^\s+", ""))
-    kind = F.coalesce(*[F.when(head.startswith(k), F.lit(k)) for k in KEYWORDS])
-    return cut.withColumn("kind", kind).filter("kind IS NOT NULL")
+    """(file, pos, kind, body) from (file, text): a statement starts on a line that starts with a keyword; what stands before
+    the first one is none."""
+    words = "|".join(k.replace(" ", r"[ \t]+") for k in KEYWORDS)
+    lines = F.regexp_replace("text", "\r\n?", "\n")
+    cut = files.select("file", F.posexplode(F.split(lines, rf"(?im)(?=^[ \t]*(?:{words})\b)")).alias("pos", "statement"))
+    opening = F.regexp_extract("statement", rf"(?i)^\s*({words})\b", 1)
+    return cut.select("file", "pos", F.upper(F.regexp_replace(opening, r"\s+", " ")).alias("kind"),
+                      F.regexp_replace("statement", rf"(?i)^\s*(?:{words})\b", "").alias("body")).filter("kind <> ''")
+
+
+def _tokens() -> Column:
+    return F.regexp_extract_all("body", F.lit(_TOKEN), F.lit(0))
 
 
-def _body(kind: str) -> Column:
-    return F.regexp_replace("statement", r"(?i)^\s*" + kind, "")
+def _is_name(token: Column) -> Column:
+    return F.coalesce(token.rlike(rf"^{_NAME}$"), F.lit(False))
 
 
-def _groups(text: Column, pattern: str) -> Column:
-    """Array of structs (name, value) with the two groups of every match."""
-    name, value = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (1, 2))
-    return F.arrays_zip(name.alias("name"), value.alias("value"))
+def _is_text(token: Column) -> Column:
+    return F.coalesce(token.rlike("^[\"']"), F.lit(False))
 
 
-def _place(first: Column, second: Column) -> Column:
-    """Where something stands in its file, as one number: statement, then two finer steps."""
-    return (F.shiftleft(F.col("pos").cast("bigint"), 40)
-            + F.shiftleft(first.cast("bigint"), 20) + second)
+def _unquoted(token: Column) -> Column:
+    quote = F.substring(token, 1, 1)
+    return F.replace(F.substring(token, F.lit(2), F.length(token) - 2), F.concat(quote, quote), quote)
 
 
-def _piece(what: str, var: Column, first: Column | None = None, second: Column | None = None,
-           text: Column | None = None, code: Column | None = None,
-           codes: Column | None = None) -> Column:
-    """One row of the common shape."""
-    zero = F.lit(0)
-    return F.struct(
-        F.lit(what).alias("what"), var.alias("var"),
-        _place(zero if first is None else first, zero if second is None else second).alias("place"),
-        (F.lit(None) if code is None else code).cast("int").alias("code"),
-        (F.lit(None) if text is None else text).cast("string").alias("text"),
-        (F.lit(None) if codes is None else codes).cast("array<int>").alias("codes"))
+def _piece(what: str, var: Column, first: Column, second: Column | int = 0, code: Column | None = None,
+           text: Column | None = None, ranges: Column | None = None) -> Column:
+    second = F.lit(second) if isinstance(second, int) else second
+    none = F.lit(None)
+    return F.struct(F.lit(what).alias("what"), var.alias("var"), first.cast("int").alias("first"), second.cast("int").alias("second"),
+                    (none if code is None else code).cast("int").alias("code"),
+                    (none if text is None else text).cast("string").alias("text"),
+                    (none if ranges is None else ranges).cast("array<struct<lo:int,hi:int>>").alias("ranges"))
 
 
-def _comment_text() -> Column:
-    lines = F.split(F.regexp_extract("statement", _COMMENT, 2), "\n")
-    return F.array_join(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""), " ")
+def _labels() -> Column:
+    """A text right after a name is its label."""
+    def found(tokens: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(tokens)), lambda i: _is_text(F.get(tokens, i)) & _is_name(F.get(tokens, i - 1)))
+        pieces = F.transform(at, lambda i: _piece("label", F.get(tokens, i - 1), i, text=_unquoted(F.get(tokens, i))))
+        return F.filter(pieces, lambda p: p["text"] != "")
+
+    return _once(_tokens(), found)
 
 
 def _coded_labels() -> Column:
-    blocks = F.split(_body("VALUE LABELS"), _LABEL_BLOCK)
+    """Names open a group, each number followed by a text is a code of all its names, and a slash or the next name ends it."""
+    empty = F.array().cast("array<string>")
+    start = F.struct(empty.alias("vars"), F.lit(True).alias("open"), F.lit(None).cast("int").alias("code"), F.lit(0).alias("i"),
+                     F.array().cast(f"array<{_PIECE}>").alias("out"))
+
+    def step(s: Column, token: Column) -> Column:
+        name, text = _is_name(token), _is_text(token)
+        label = text & s["code"].isNotNull() & (_unquoted(token) != "")
+        new = F.transform(s["vars"], lambda v: _piece("value", v, s["i"], 0, s["code"], _unquoted(token)))
+        return F.struct(
+            F.when(name & s["open"], F.concat(s["vars"], F.array(token))).when(name, F.array(token))
+            .when(token == "/", empty).otherwise(s["vars"]).alias("vars"),
+            F.when(text, False).otherwise(s["open"] | name | (token == "/")).alias("open"),
+            F.when(~text, token.try_cast("int")).alias("code"), (s["i"] + 1).alias("i"),
+            F.when(label, F.concat(s["out"], new)).otherwise(s["out"]).alias("out"))
+
+    return F.aggregate(_tokens(), start, step, lambda s: s["out"])
+
+
+def _ranges(spec: Column) -> Column:
+    """``1 thru 3, -9, LO thru 0`` as (lo, hi) pairs; what is neither is left out."""
+    def bound(text: Column, word: str, value: int) -> Column:
+        return F.when(F.upper(text).startswith(word), F.lit(value)).otherwise(text.try_cast("int"))
+
+    parts = F.regexp_extract_all(spec, F.lit(rf"(?i){_END}\s+THRU\s+{_END}|[^\s,]+"), F.lit(0))
 
-    def of_block(block: Column, b: Column) -> Column:
-        var = F.regexp_extract(block, _LABEL_NAME, 1)
-        return F.transform(_groups(block, _CODE_LABEL), lambda p, i: _piece(
-            "value", var, b, i, p["value"], p["name"].try_cast("int")))
+    def pair(part: Column) -> Column:
+        ends = F.split(part, r"(?i)\s+THRU\s+")
+        return F.struct(bound(F.get(ends, F.lit(0)), "LO", LOWEST).alias("lo"),
+                        bound(F.element_at(ends, -1), "HI", HIGHEST).alias("hi"))
 
-    return F.flatten(F.transform(blocks, of_block))
+    return F.filter(F.transform(parts, pair), lambda r: r["lo"] <= r["hi"])
 
 
-def _missing_codes() -> Column:
-    def expand(part: Column) -> Column:
-        ends = F.split(F.trim(F.lower(part)), "thru")
-        lo, hi = (F.trim(F.get(ends, F.lit(i))) for i in (0, 1))
-        a, b = lo.try_cast("int"), hi.try_cast("int")
-        span = F.when(lo.rlike(_CODE) & hi.rlike(_CODE) & (a <= b), F.sequence(a, b))
-        single = F.when(lo.rlike(_CODE) & a.isNotNull(), F.array(a))
-        return F.coalesce(F.when(F.size(ends) > 1, span).otherwise(single),
-                          F.array().cast("array<int>"))
+def _in_parentheses(what: str) -> Column:
+    """``names (content)`` groups: the content counts for each of the names."""
+    group = r"([^()/]*)\(([^)]*)\)"
+    names, contents = (F.regexp_extract_all("body", F.lit(group), F.lit(k)) for k in (1, 2))
 
-    parts = F.split(F.regexp_extract("statement", _MISSING, 2), ",")
-    return F.flatten(F.transform(parts, expand))
+    def of_group(g: Column, i: Column) -> Column:
+        content = g["content"]
+        more = {"ranges": _ranges(content)} if what == "missing" else {"text": content}
+        return F.transform(F.regexp_extract_all(g["names"], F.lit(_NAME), F.lit(0)),
+                           lambda v, k: _piece(what, v, i, k, **more))
+
+    return F.flatten(F.transform(F.arrays_zip(names.alias("names"), contents.alias("content")), of_group))
+
+
+def _comment() -> Column:
+    """The lines after the name, trimmed and joined."""
+    name = F.regexp_extract("body", rf"^\s*({_NAME})\s*:", 1)
+    lines = F.split(F.regexp_replace("body", rf"^\s*{_NAME}\s*:", ""), "\n")
+    text = F.array_join(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""), " ")
+    return F.filter(F.array(_piece("comment", name, F.lit(0), text=text)), lambda p: p["var"] != "")
+
+
+def _mentions() -> Column:
+    words = F.array_distinct(F.regexp_extract_all("body", F.lit(_NAME), F.lit(0)))
+    return F.transform(words, lambda w, i: _piece("mention", w, i))
+
+
+def _once(value: Column, then) -> Column:
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def pieces(files: DataFrame) -> DataFrame:
-    """(file, what, var, place, code, text, codes) of everything the files define."""
+    """(file, what, var, place, code, text, ranges) of everything the files define, and of the words they mention."""
     kind = F.col("kind")
-    mined = (F.when(kind == "VARIABLE LABELS",
-                    F.transform(_groups(_body("VARIABLE LABELS"), _VARIABLE_LABEL),
-                                lambda p, i: _piece("label", p["name"], i, text=p["value"])))
-             .when(kind == "COMMENT TO", F.array(_piece(
-                 "comment", F.regexp_extract("statement", _COMMENT, 1), text=_comment_text())))
-             .when(kind == "VALUE LABELS", _coded_labels())
-             .when(kind == "MISSING VALUES", F.array(_piece(
-                 "missing", F.regexp_extract("statement", _MISSING, 1), codes=_missing_codes())))
-             .when(kind == "FORMATS", F.array(_piece(
-                 "format", F.regexp_extract("statement", _FORMAT, 1),
-                 text=F.regexp_extract("statement", _FORMAT, 2)))))
-    return (fence(statements(files).select("file", mined.alias("pieces")), "pieces")
-            .select("file", F.inline("pieces"))
-            .filter("var <> '' AND (what <> 'value' OR code IS NOT NULL)"))
-
-
-def mentions(files: DataFrame) -> DataFrame:
-    """(file, var, place) of the first mention of every word."""
-    words = F.array_distinct(F.regexp_extract_all("statement", F.lit(_WORD), F.lit(1)))
-    cut = fence(statements(files).select("file", "pos", words.alias("words")), "words")
-    return (cut.select("file", "pos", F.posexplode("words").alias("i", "var"))
-            .groupBy("file", "var").agg(F.min(_place(F.col("i"), F.lit(0))).alias("place")))
+    mined = (F.when(kind == "VARIABLE LABELS", _labels()).when(kind == "COMMENT TO", _comment())
+             .when(kind == "VALUE LABELS", _coded_labels()).when(kind == "MISSING VALUES", _in_parentheses("missing"))
+             .when(kind == "FORMATS", _in_parentheses("format")))
+    rows = statements(files).select("file", "pos", F.concat(mined, _mentions()).alias("pieces"))
+    return (fence(rows, "pieces").select("file", "pos", F.inline("pieces"))
+            .select("file", "what", "var", F.struct("pos", "first", "second").alias("place"), "code", "text", "ranges"))
 
 
 def codebook(files: DataFrame) -> DataFrame:
     """One row per file and variable (label, comment, value_labels, missing, format), in order
-    of first mention. The last definition in a file wins, for value labels code by code."""
+    of first mention. The last definition in a file wins, for value labels code by code. ``missing`` holds ranges
+    (lo, hi); ``missing_codes`` lists their codes."""
     last = pieces(files).groupBy("file", "var", "what", "code").agg(
-        F.max_by("text", "place").alias("text"), F.max_by("codes", "place").alias("codes"))
-    both = last.unionByName(mentions(files).withColumn("what", F.lit("mention")),
-                            allowMissingColumns=True)
+        F.max_by("text", "place").alias("text"), F.max_by("ranges", "place").alias("ranges"), F.min("place").alias("place"))
     what = F.col("what")
 
     def text(name: str, default: str) -> Column:
         return F.coalesce(F.max(F.when(what == name, F.col("text"))), F.lit(default)).alias(name)
 
     labels = F.collect_list(F.when(what == "value", F.struct("code", "text")))
-    return (both.groupBy("file", "var").agg(
+    return (last.groupBy("file", "var").agg(
         text("label", ""), text("comment", ""),
         F.map_from_entries(F.sort_array(labels)).alias("value_labels"),
-        F.coalesce(F.first(F.when(what == "missing", F.col("codes")), ignorenulls=True),
-                   F.array().cast("array<int>")).alias("missing"),
-        text("format", DEFAULT_FORMAT), F.min("place").alias("seen"),
+        F.coalesce(F.first(F.when(what == "missing", F.col("ranges")), ignorenulls=True),
+                   F.array().cast("array<struct<lo:int,hi:int>>")).alias("missing"),
+        text("format", DEFAULT_FORMAT), F.min(F.when(what == "mention", F.col("place"))).alias("seen"),
         F.bool_or(what != "mention").alias("defined"))
         .filter("defined").drop("defined").orderBy("file", "seen").drop("seen"))
+
+
+def missing_codes(book: DataFrame, step: int = 10_000) -> DataFrame:
+    """(file, var, code): a row for every code of the missing ranges, which are cut into steps before they are counted out."""
+    ranges = book.select("file", "var", F.inline("missing"))
+    starts = ranges.select("file", "var", "hi", F.explode(F.sequence(F.col("lo").cast("long"), F.col("hi").cast("long"),
+                                                                     F.lit(step).cast("long"))).alias("at"))
+    codes = F.sequence("at", F.least(F.col("at") + (step - 1), F.col("hi").cast("long")))
+    return starts.select("file", "var", F.explode(codes).alias("code"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import clean_nan
 from tallyloom.functions.transcode import transcode_lossy
 from tallyloom.operators import lookup as L
-from tallyloom.operators.codebook import codebook
+from tallyloom.operators.codebook import codebook, missing_codes
 from tallyloom.plans import small
 from tallyloom.sources import readers, writers
 
@@ -33,11 +33,43 @@ def test_codebook(spark):
     for q1, q2, q3 in (out[:3], out[3:]):
         assert q1["label"] == "First question" and q1["format"] == "F2.0"
         assert q1["value_labels"] == {1: "yes", 2: "no", -8: "refused"}
-        assert q1["missing"] == [1, 2, 3, -9]
+        assert q1["missing"] == [(1, 3), (-9, -9)]
         assert q2["comment"] == "asked by phone only in wave 2" and q2["value_labels"] == {1: "b"}
         assert q3["label"] == "third" and q3["format"] == "F8.0" and q3["missing"] == [] and q3["comment"] == ""
 
 
+GRAMMAR = '''variable  labels a 'it''s' b "say ""x""" / c.1 "third" /d "".
+Value Labels a b 1 'one' 2 "two" / c.1 -1 'x' b 2 "zwei"
+  3 "drei".
+MISSING VALUES a b (LO thru 0, 9) / c.1 (5 6 thru hi, 1 thru 100000000).
+formats a b (F3.1) c.1 (A8).
+COMMENT TO nobody
+'''
+
+
+def test_codebook_grammar(spark):
+    out = codebook(spark.createDataFrame([("f", GRAMMAR), ("g", None)], "file string, text string")).collect()
+    book = {r["var"]: r for r in out}
+    assert list(book) == ["a", "b", "c.1"]
+    assert [book[v]["label"] for v in book] == ["it's", 'say "x"', "third"]
+    assert book["a"]["value_labels"] == {1: "one", 2: "two"} and book["c.1"]["value_labels"] == {-1: "x"}
+    assert book["b"]["value_labels"] == {1: "one", 2: "zwei", 3: "drei"}
+    assert book["a"]["missing"] == book["b"]["missing"] == [(-2147483648, 0), (9, 9)]
+    assert book["c.1"]["missing"] == [(5, 5), (6, 2147483647), (1, 100000000)]
+    assert [book[v]["format"] for v in book] == ["F3.1", "F3.1", "A8"]
+
+
+def test_missing_codes_of_a_long_range(spark):
+    book = codebook(spark.createDataFrame([("f", "MISSING VALUES q (1 thru 3000000, 7)."), ("f2", "FORMATS q (F1).")], "file string, text string"))
+    assert missing_codes(book).selectExpr("count(*)", "max(code)").first()[:] == (3_000_001, 3_000_000)
+
+
+def test_many_words_keep_their_order(spark):
+    text = "VARIABLE LABELS " + " ".join(f'v{k} "{k}"' for k in range(3000)) + ".\nVALUE LABELS v1 1 'a'.\nVALUE LABELS v1 1 'b'."
+    out = codebook(spark.createDataFrame([("f", text)], "file string, text string")).collect()
+    assert [r["var"] for r in out] == [f"v{k}" for k in range(3000)] and out[1]["value_labels"] == {1: "b"}
+
+
 def test_rules_round_trip(spark, tmp_path):
     path = str(tmp_path / "logic.csv")
     with open(path, "w", encoding="utf-8") as f:
