@@ -88,7 +88,7 @@ def log_count_ratios(counts: pd.DataFrame) -> np.ndarray:
 
 
 def fit(toxic: np.ndarray, buckets: list[np.ndarray], ratios: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and intercept of the logistic regression on unit-length ratio vectors."""
+    """Weights and intercept of the logistic regression on unit-length ratio vectors; both classes count alike."""
     sizes = np.array([len(b) for b in buckets])
     keep = sizes > 0
     col = np.concatenate([b for b in buckets if len(b)])
@@ -97,9 +97,10 @@ def fit(toxic: np.ndarray, buckets: list[np.ndarray], ratios: np.ndarray) -> tup
     row = np.repeat(np.arange(len(y)), sizes)
     value = ratios[col]
     value /= np.sqrt(np.maximum(np.add.reduceat(value * value, starts), 1e-12))[row]
+    share = np.where(y == 1, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum()))
     w, b, speed, bias_speed = np.zeros(1 << BITS), 0.0, np.zeros(1 << BITS), 0.0
     for _ in range(ROUNDS):
-        error = (1 / (1 + np.exp(-np.add.reduceat(value * w[col], starts) - b)) - y) / len(y)
+        error = (1 / (1 + np.exp(-np.add.reduceat(value * w[col], starts) - b)) - y) * share
         gradient = np.bincount(col, weights=value * error[row], minlength=1 << BITS) + DECAY * w
         speed, bias_speed = MOMENTUM * speed - STEP * gradient, MOMENTUM * bias_speed - STEP * error.sum()
         w, b = w + speed, b + bias_speed
