@@ -39,7 +39,7 @@ DEPTH = 6
 BLOCK = 256
 SECOND = 0.25                 # probability that a node splits by two coordinates
 SKETCH_MARGIN = 4.0           # standard deviations below the threshold that still count as similar
-_WORDS_HELD = 1 << 18
+_WORDS_HELD = 1 << 16
 
 _random = np.random.RandomState(20240229)
 _MULTIPLY = (_random.randint(0, 1 << 62, WIDTH).astype(np.uint64) << np.uint64(1)) | np.uint64(1)

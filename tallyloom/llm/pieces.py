@@ -44,7 +44,7 @@ UNKNOWN_PENALTY = 10.0
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6  # kinds of pieces in a model file
 UNIGRAM_MODEL, MERGE_MODEL = 1, 2
 MAX_PIECES = 1_000_000
-WORDS_HELD = 200_000          # words a task collects before it asks for them
+BLOCK_BYTES = 4 << 20         # text of the documents that are put together in one step
 ANSWERS_HELD = 300_000
 ROWS_AT_ONCE = 256            # documents that a task puts together at a time
 
@@ -257,22 +257,39 @@ def encode_words(words: DataFrame, model: PieceModel) -> DataFrame:
     return merged_paths(edges) if model.merges else best_paths(edges)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of a task with their block. A block ends before the text that would take it over BLOCK_BYTES; so blocks
+    depend on the rows of the partition and not on how they are batched."""
+    block, size = TaskContext.get().partitionId() << 24, 0
+    for batch in batches:
+        start = 0
+        for k, n in enumerate(pc.binary_length(batch.column(column)).fill_null(0).to_pylist()):
+            if size and size + n > BLOCK_BYTES:
+                if k > start:
+                    yield block, batch.slice(start, k - start)
+                block, size, start = block + 1, 0, k
+            size += n
+        if batch.num_rows > start:
+            yield block, batch.slice(start)
+
+
 def _requests(model: PieceModel):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, seen = TaskContext.get().partitionId(), set()
+        now, seen = None, set()
 
         def out() -> Iterator[pa.RecordBatch]:
             parts = list({p for w in seen for p in model.parts(w) if len(p) <= LONG})
             seen.clear()
             for s in range(0, len(parts), 20_000):
                 part = pa.array(parts[s:s + 20_000], pa.string())
-                yield pa.record_batch([pa.array(np.full(len(part), block, np.int32)), part], ["block", "word"])
+                yield pa.record_batch([pa.array(np.full(len(part), now, np.int64)), part], ["block", "word"])
 
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(model.words(text.as_py() or ""))
-            if len(seen) > WORDS_HELD:
+        for block, rows in _blocks(batches, 0):
+            if block != now:
                 yield from out()
+                now = block
+            for text in rows.column(0):
+                seen.update(model.words(text.as_py() or ""))
         yield from out()
     return ask
 
@@ -289,10 +306,9 @@ def _unpacked(payload: pa.Scalar) -> pa.Table:
 
 
 def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The documents of a batch as one compressed value."""
-    block = TaskContext.get().partitionId()
-    for batch in batches:
-        yield pa.record_batch([pa.array([block], pa.int32()), pa.array([_packed(batch)], pa.binary())], ["block", "payload"])
+    """Documents of one block as one compressed value."""
+    for block, rows in _blocks(batches, 1):
+        yield pa.record_batch([pa.array([block], pa.int64()), pa.array([_packed(rows)], pa.binary())], ["block", "payload"])
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +322,7 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.flatnonzero(np.diff(blocks[order])) + 1
         for own in np.split(order, cuts):
             part = table.select([1, 2]).take(pa.array(own)).combine_chunks()
-            yield pa.record_batch([pa.array([blocks[own[0]]], pa.int32()), pa.array([_packed(part)], pa.binary())],
+            yield pa.record_batch([pa.array([blocks[own[0]]], pa.int64()), pa.array([_packed(part)], pa.binary())],
                                   ["block", "payload"])
 
     for batch in batches:
@@ -373,16 +389,16 @@ def _assemble(model: PieceModel):
 
 
 def encode(docs: DataFrame, model: PieceModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc`` and ``ids`` of every row of ``docs``. A block is a partition of ``docs``: it asks for each of its
-    distinct words once, and its documents travel compressed to the answers. Should a partition differ between the two
-    readings, the words it did not ask for are folded in place."""
+    """``doc`` and ``ids`` of every row of ``docs``. A block is some 4 MB of a partition of ``docs``: it asks for
+    each of its distinct words once, and its documents travel compressed to the answers. Should a partition differ between
+    the two readings, the words a block did not ask for are folded in place."""
     spark = docs.sparkSession
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
     kind = texts.schema["doc"].dataType.simpleString()
     # one exchange by word serves the distinct words, their lattice and the join of the answers
-    asked = texts.select("text").mapInArrow(_requests(model), "block int, word string").repartition(parts, "word")
+    asked = texts.select("text").mapInArrow(_requests(model), "block bigint, word string").repartition(parts, "word")
     words = asked.groupBy("word").agg(F.min("block").alias("one")).where("one >= 0")
     paths = encode_words(words, model)
     plain = F.transform("path", lambda e: e["id"])
@@ -390,8 +406,8 @@ def encode(docs: DataFrame, model: PieceModel, key: str = "doc_id", text: str =
         unknown_bytes(F.substring(F.col("word"), e["first"] + 1, F.lit(1)), model))))
     known = paths.select("word", F.when(F.exists("path", lambda e: e["id"] < 0), with_bytes).otherwise(plain).alias("ids"))
     answers = (asked.join(known.hint("shuffle_hash"), "word").select("block", "word", "ids")
-               .mapInArrow(_answers, "block int, payload binary"))
-    blocks = texts.mapInArrow(_payload, "block int, payload binary")
+               .mapInArrow(_answers, "block bigint, payload binary"))
+    blocks = texts.mapInArrow(_payload, "block bigint, payload binary")
     return (blocks.groupBy("block").cogroup(answers.groupBy("block"))
             .applyInArrow(_assemble(model), f"doc {kind}, ids array<int>"))
 
