@@ -14,6 +14,7 @@ from ..functions.missing import is_in, not_equal
 from ..functions.numeric import safe_int
 from ..functions.text import strip
 from ..plans.ordered import UNMAPPED, code_map, first_match
+from ..plans import recode_tables as codes
 from ..plans.small import literal_table
 from ..plans.recode_tables import (COUNTRIES, DESIGN_WEIGHTS, EDUCATION_SIMPLE, EDUCATION_STAGED,
                                    ONLY, REGIONS, SELECTION, UNDEFINED)
@@ -197,9 +198,7 @@ def recode_isco08(df: DataFrame, bv: Mapping_, label: str = "ISCO08") -> DataFra
 
 def recode_mainstat(df: DataFrame, bv: Mapping_, label: str = "MAINSTAT") -> DataFrame:
     df, item, wk = ensure_partliv(df, bv), _c(bv[label]), _c(_work_source(bv, label))
-    value = first_match([(wk == -6, -4), *code_map(item, {
-        1: [1, 2, 3, 4, 5, 8, 14, 15], 2: [6], 3: [7], 4: [9], 5: [12], 6: [10], 7: [11],
-        8: [13], 9: [16], -9: [-6, -7, -8]})])
+    value = first_match([(wk == -6, -4), *code_map(item, codes.MAINSTAT)])
     return df.withColumn(label, sp_override(value, label, wk))
 
 
@@ -218,14 +217,12 @@ def recode_relig(df: DataFrame, bv: Mapping_, label: str, buddhism_item: int = 2
 
 def recode_religgrp(df: DataFrame, bv: Mapping_, label: str, buddhism_item: int = 2) -> DataFrame:
     item = _c(bv[label])
-    table = ({0: [8], 1: [6], 2: [7], 6: [5], 7: [1], 9: [2, 3, 4]} if buddhism_item == 1 else
-             {0: [9], 1: [7], 2: [8], 6: [6], 7: [1, 2], 9: [3, 4, 5], 10: [10]})
+    table = codes.RELIGION_GROUP_ONE_ITEM if buddhism_item == 1 else codes.RELIGION_GROUP
     return df.withColumn(label, first_match(code_map(item, {**table, -7: [-8], -9: [-7]})))
 
 
 def recode_ethn(df: DataFrame, bv: Mapping_, label: str) -> DataFrame:
-    return df.withColumn(label, first_match(code_map(_c(bv[label]), {
-        1: [1], 2: [2], 3: [3, 8], 4: [4], 5: [5, 6], 6: [7], 7: [9, 10], -7: [-8], -8: [-7]})))
+    return df.withColumn(label, first_match(code_map(_c(bv[label]), codes.ETHNIC_GROUP)))
 
 
 # ------------------------------------------------------------------------- vote, household, income
@@ -260,11 +257,11 @@ def _income(df: DataFrame, bv: Mapping_, label: str, top: Mapping[int, int]) ->
 
 
 def recode_rinc(df: DataFrame, bv: Mapping_, label: str = "TW_RINC") -> DataFrame:
-    return _income(df, bv, label, {22: 250000, 23: 300000})
+    return _income(df, bv, label, codes.PERSONAL_INCOME)
 
 
 def recode_inc(df: DataFrame, bv: Mapping_, label: str = "TW_INC") -> DataFrame:
-    return _income(df, bv, label, {22: 250000, 23: 350000, 24: 450000, 25: 750000, 26: 1000000})
+    return _income(df, bv, label, codes.HOUSEHOLD_INCOME)
 
 
 # ------------------------------------------------------------------------- lookups
@@ -324,16 +321,11 @@ def unmatched_design_weight(df: DataFrame) -> DataFrame:
 def recode_mode(df: DataFrame, col_za2: str = "za2", col_zb4: str = "zb4",
                 col_zb604: str = "zb604") -> DataFrame:
     device, shown, helper = _c(col_za2), _c(col_zb4), _c(col_zb604)
-    paper, computer = device.isin(2, 3), device == 1
-    no_visuals, visuals, read = shown == 2, shown.isin(1, 3), shown == 4
-    alone, helped = helper == 0, helper == 1
+    read_out_with_help = (device.isin(*codes.PAPER, *codes.COMPUTER) & shown.isin(*codes.READ_OUT)
+                          & helper.isin(*codes.HELPED))
+    modes = [(device.isin(*d) & shown.isin(*v) & helper.isin(*h), mode) for d, v, h, mode in codes.INTERVIEW_MODES]
     return df.withColumn("MODE", first_match([
-        (device.isin(1, 2, 3) & read & helped, UNMAPPED),
-        (paper & no_visuals & alone, 10), (paper & visuals & alone, 11), (paper & read & alone, 12),
-        (paper & no_visuals & helped, 13), (paper & visuals & helped, 14),
-        (computer & visuals & alone, 21), (computer & read & alone, 22),
-        (computer & no_visuals & helped, 23), (computer & visuals & helped, 24),
-        (device == 4, UNMAPPED)], 20))
+        (read_out_with_help, UNMAPPED), *modes, (device == codes.NO_INTERVIEWER_DEVICE, UNMAPPED)], codes.OTHER_MODE))
 
 
 # ------------------------------------------------------------------------- diagnostics

@@ -58,3 +58,27 @@ EDUCATION_STAGED = [
     ([10], 14, [2, 3], 450, 453),
     ([19], 16, [2, 3], 343, 640),
 ]
+
+# result -> answers, by recode
+MAINSTAT = {1: [1, 2, 3, 4, 5, 8, 14, 15], 2: [6], 3: [7], 4: [9], 5: [12], 6: [10], 7: [11], 8: [13], 9: [16],
+            -9: [-6, -7, -8]}
+RELIGION_GROUP_ONE_ITEM = {0: [8], 1: [6], 2: [7], 6: [5], 7: [1], 9: [2, 3, 4]}
+RELIGION_GROUP = {0: [9], 1: [7], 2: [8], 6: [6], 7: [1, 2], 9: [3, 4, 5], 10: [10]}
+ETHNIC_GROUP = {1: [1], 2: [2], 3: [3, 8], 4: [4], 5: [5, 6], 6: [7], 7: [9, 10], -7: [-8], -8: [-7]}
+
+# answer -> amount of the open and wide income classes; the others are bands of 10000
+PERSONAL_INCOME = {22: 250000, 23: 300000}
+HOUSEHOLD_INCOME = {22: 250000, 23: 350000, 24: 450000, 25: 750000, 26: 1000000}
+
+# (device, visuals, helper) answers -> mode of the interview; the first line that fits counts
+PAPER, COMPUTER = (2, 3), (1,)
+NO_VISUALS, VISUALS, READ_OUT = (2,), (1, 3), (4,)
+ALONE, HELPED = (0,), (1,)
+INTERVIEW_MODES = [
+    (PAPER, NO_VISUALS, ALONE, 10), (PAPER, VISUALS, ALONE, 11), (PAPER, READ_OUT, ALONE, 12),
+    (PAPER, NO_VISUALS, HELPED, 13), (PAPER, VISUALS, HELPED, 14),
+    (COMPUTER, VISUALS, ALONE, 21), (COMPUTER, READ_OUT, ALONE, 22),
+    (COMPUTER, NO_VISUALS, HELPED, 23), (COMPUTER, VISUALS, HELPED, 24),
+]
+OTHER_MODE = 20
+NO_INTERVIEWER_DEVICE = 4
