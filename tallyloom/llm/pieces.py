@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyloom.llm.arrow import small_batches
+from tallyloom.llm.arrow import give_back, small_batches
 from tallyloom.plans.small import literal_table
 
 SPACE = "▁"
@@ -44,7 +44,7 @@ UNKNOWN_PENALTY = 10.0
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6  # kinds of pieces in a model file
 UNIGRAM_MODEL, MERGE_MODEL = 1, 2
 MAX_PIECES = 1_000_000
-BLOCK_BYTES = 4 << 20         # text of the documents that are put together in one step
+BLOCK_BYTES = 8 << 20         # text of the documents that are put together in one step
 ANSWERS_HELD = 300_000
 ROWS_AT_ONCE = 256            # documents that a task puts together at a time
 
@@ -291,6 +291,7 @@ def _requests(model: PieceModel):
             for text in rows.column(0):
                 seen.update(model.words(text.as_py() or ""))
         yield from out()
+        give_back()
     return ask
 
 
@@ -334,6 +335,8 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, rows = [], 0
     if held:
         yield from out()
+    held = []
+    give_back()
 
 
 def _gather(flat: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -356,6 +359,7 @@ def _assemble(model: PieceModel):
     """Encode the documents of a block: the distinct words of each batch are looked up in the block's answers."""
     def put_together(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         known = [_unpacked(p).combine_chunks() for p in answers.column("payload")]
+        give_back()  # what the block before has left
         words = pa.chunked_array([c for t in known for c in t.column("word").chunks], pa.string()).combine_chunks()
         flat, offsets = _concat([c for t in known for c in t.column("ids").chunks])
         del known
@@ -389,7 +393,7 @@ def _assemble(model: PieceModel):
 
 
 def encode(docs: DataFrame, model: PieceModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc`` and ``ids`` of every row of ``docs``. A block is some 4 MB of a partition of ``docs``: it asks for
+    """``doc`` and ``ids`` of every row of ``docs``. A block is some 8 MB of a partition of ``docs``: it asks for
     each of its distinct words once, and its documents travel compressed to the answers. Should a partition differ between
     the two readings, the words a block did not ask for are folded in place."""
     spark = docs.sparkSession
