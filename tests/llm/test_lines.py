@@ -94,3 +94,62 @@ def test_copies_lose_all_lines(spark):
     text = "a line that is long enough\nand a second one, long enough"
     got = by_id(L.dedup_lines(docs(spark, [(2, text), (1, text), (3, text + "\nand a third one that is new")])))
     assert got[1]["removed"] == [] and got[2]["text"] == "" and got[3]["text"] == "and a third one that is new"
+
+
+def near_removed(rows):
+    """As ``removed``, with the edits that the shorter line bears."""
+    seen, out = [], {}
+    for k, t in rows:
+        out[k] = []
+        for n, line in enumerate(t.split("\n")):
+            bears = [(s, L.threshold(min(len(s), len(line)))) for s in seen]
+            if any(abs(len(line) - len(s)) <= e and distance(s, line) <= e for s, e in bears):
+                out[k].append(n)
+            seen.append(line)
+    return out
+
+
+def edited(rng, line, edits, signs):
+    line = list(line)
+    for _ in range(edits):
+        k = rng.randrange(len(line))
+        line[k:k + rng.randrange(2)] = rng.choice(["", rng.choice(signs)])
+    return "".join(line).strip()
+
+
+def test_near_copies_share_a_chunk():
+    rng = random.Random(3)
+    for signs in ("abcdefg  ", "ab", "一丁三四五", "x"):
+        for _ in range(300):
+            a = "".join(rng.choice(signs) for _ in range(rng.randrange(L.LONG, 400))).strip()
+            b = edited(rng, a, rng.randrange(L.threshold(len(a)) + 1), signs)
+            d = distance(a, b) if len(a) < 150 else None
+            if min(len(a), len(b)) < L.LONG or L.bounded_distance(a, b, L.threshold(min(len(a), len(b)))) is None:
+                continue
+            assert d is None or L.bounded_distance(a, b, d) == d
+            keys = [{(level, part, k): main for level, main, found in L.chunks(x) for _, part, k in found} for x in (a, b)]
+            assert any(keys[0][c] or keys[1][c] for c in keys[0].keys() & keys[1].keys())
+
+
+def test_changed_words_in_long_lines(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    rows = []
+    for k in range(12):
+        own = [rng.choice(words) for _ in range(rng.randrange(16, 70))]
+        rows.append((len(rows), " ".join(own)))
+        for changed in (1, 2, 3, 12):
+            copy = list(own)
+            for _ in range(changed):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    got = {k: r["removed"] for k, r in by_id(L.dedup_lines(docs(spark, rows))).items()}
+    assert got == near_removed(rows)
+    assert sum(len(v) for v in got.values()) >= 12
+    line = " ".join(words[:60])  # about 340 characters
+    three = " ".join("other" if k in (7, 30, 51) else w for k, w in enumerate(words[:60]))
+    two = line.replace(words[10], words[10][::-1], 1)
+    got = by_id(L.dedup_lines(docs(spark, [(1, line), (2, two), (3, three)])))
+    assert got[2]["removed"] == [0]
+    assert (got[3]["removed"] == [0]) == (distance(line, three) <= L.threshold(min(len(line), len(three))) or
+                                          distance(two, three) <= L.threshold(min(len(two), len(three))))
