@@ -28,8 +28,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that stand earlier in the corpus; one that has nothing but such lines goes."""
-    cleaned = lines.dedup_lines(docs).where("n_removed = 0 or length(trim(text)) > 0")
+    """Documents without lines that stand earlier in the corpus; one that keeps no word goes."""
+    cleaned = lines.dedup_lines(docs, min_chars=1).where(r"n_removed = 0 or text rlike r'[\p{L}\p{N}]'")
     return _with_text(docs, cleaned, "text")
 
 

@@ -60,7 +60,7 @@ def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many lines every document has and which of them stand earlier in the corpus."""
-    cleaned = lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cleaned = lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=1)
     return cleaned.select("doc_id", "n_lines", "n_removed", "removed", F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -2,6 +2,7 @@ import random
 
 from helpers import F, ODD, by_id, check_odd, docs
 
+import corpus_pipeline
 from tallyloom.llm import lines as L
 
 
@@ -127,8 +128,10 @@ def test_near_copies_share_a_chunk():
             if min(len(a), len(b)) < L.LONG or L.bounded_distance(a, b, L.threshold(min(len(a), len(b)))) is None:
                 continue
             assert d is None or L.bounded_distance(a, b, d) == d
-            keys = [{(level, part, k): main for level, main, found in L.chunks(x) for _, part, k in found} for x in (a, b)]
-            assert any(keys[0][c] or keys[1][c] for c in keys[0].keys() & keys[1].keys())
+            keys = [{(level, part): (main, at) for level, main, found in L.chunks(x) for part, at in found} for x in (a, b)]
+            edits = L.threshold(min(len(a), len(b)))
+            assert any((keys[0][c][0] or keys[1][c][0]) and (min(keys[0][c][1], keys[1][c][1]) < 0 or
+                       abs(keys[0][c][1] - keys[1][c][1]) <= edits) for c in keys[0].keys() & keys[1].keys())
 
 
 def test_changed_words_in_long_lines(spark):
@@ -153,3 +156,12 @@ def test_changed_words_in_long_lines(spark):
     assert got[2]["removed"] == [0]
     assert (got[3]["removed"] == [0]) == (distance(line, three) <= L.threshold(min(len(line), len(three))) or
                                           distance(two, three) <= L.threshold(min(len(two), len(three))))
+
+
+def test_copies_with_short_lines_go(spark):
+    """Exact copies end empty, and the stage drops them; short lines are not compared by edits."""
+    text = "Les.\n\na line that is long enough to count\n---\nAnd ornd."
+    rows = [(1, text), (2, text), (3, "Lex.\na line of its own that nobody else has"), (4, "***\n"), (5, "Les.\n---\n\n")]
+    got = by_id(L.dedup_lines(docs(spark, rows), min_chars=1))
+    assert {k: r["removed"] for k, r in got.items()} == {1: [], 2: [0, 2, 4], 3: [], 4: [], 5: [0]}
+    assert set(by_id(corpus_pipeline.line_dedup(spark, docs(spark, rows), ""))) == {1, 3, 4}
