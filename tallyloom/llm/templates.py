@@ -10,7 +10,8 @@ A page is known by its host and the hash of its html, so equal pages count once,
 aggregate. Pages themselves are not shuffled.
 
 Edge cases: a null or empty html has the empty text; a null url, or one without a host, belongs to the empty host;
-repeated rows come out alike; an empty table gives an empty result; unclosed elements end with the page; input
+repeated rows come out alike; an empty table gives an empty result; unclosed elements end with the page, a tag with an
+unclosed quote at the next ``>``; input
 columns named like an added one are replaced.
 """
 from __future__ import annotations
@@ -47,7 +48,7 @@ CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td",
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/><]*)((?:[^><\"']|\"[^\"]{0,8192}\"|'[^']{0,8192}')*+)>", re.S | re.I)
+    r"|<(/?)([a-zA-Z][^\s/><]*)(?:((?:[^><\"']|\"[^\"]*+\"|'[^']*+')*+)>|([^><]*+)>)", re.S | re.I)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+")
 
@@ -80,7 +81,7 @@ class Page:
                 self._text(html[at:m.start()])
             at = m.end()
             if m[3]:
-                (self._close_tag if m[2] else self._open)(m[3].lower(), m[4])
+                (self._close_tag if m[2] else self._open)(m[3].lower(), m[4] if m[5] is None else m[5])
         if at < len(html):
             self._text(html[at:])
         while len(self.stack) > 1:

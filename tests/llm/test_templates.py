@@ -48,3 +48,13 @@ def test_extraction(spark, html, text):
 def test_odd_rows(spark):
     assert texts(spark, []) == {}
     assert texts(spark, [(None, None, "<p>x</p>"), (2, "u", "<p>y</p>")]) == {None: "x", 2: "y"}
+
+
+@pytest.mark.parametrize("html,text", [
+    ("<p>a<img src=\"data:" + "x" * 100_000 + "\">b</p>", "ab"),
+    ("<div class='ad' style='" + "y > " * 25_000 + "'>buy</div><p>q</p>", "q"),
+    ("<p>a <img alt=\"cut>b</p><p>c</p>", "a b\nc"), ("<p title='" + "<" * 100_000 + ">x</p>", None),
+])
+def test_long_and_unclosed_attributes(html, text):
+    got = templates.Page(html).text()
+    assert text is None or got == text
