@@ -2,7 +2,7 @@
 
 Every block element of a page is hashed with all it contains. Spark counts on how many different pages of its host a
 subtree stands; what recurs on many of them is template and is deleted with all it contains. Elements that name
-their purpose (nav, footer, forms, classes such as ``ad`` or ``comments``) go as well, so that the few pages of
+their purpose (nav, footer, forms, classes such as ``ad`` or ``reader-comments``, unless they hold an article, main or h1) go as well, so that the few pages of
 a small host come out clean too. Inside ``article`` or ``main`` only containers can be template: a paragraph that many
 articles quote stays. The text is that of the articles if there are any, else of ``main``, else of the body.
 
@@ -51,17 +51,27 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/><]*)(?:((?:[^><\"']|\"[^\"]*+\"|'[^']*+')*+)>|([^><]*+)>)", re.S | re.I)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+")
+#: First parts of names that tell a state of the page, not what the element is.
+STATES = frozenset("no not has have with without is hide show".split())
+HEARTS = ("article", "main", "h1")  # an element that is or holds one of these is never deleted for its name
 
 
 def _names_furniture(attributes: str) -> bool:
-    return any(not FURNITURE.isdisjoint(_PARTS.split("".join(m).lower())) for m in _NAMED.findall(attributes))
+    """Whether a whole name, or its last part, is a word of furniture."""
+    for match in _NAMED.findall(attributes):
+        for name in "".join(match).lower().split():
+            parts = [x for x in _PARTS.split(name) if x]
+            if parts and parts[-1] in FURNITURE and (len(parts) == 1 or parts[0] not in STATES):
+                return True
+    return False
 
 
 class _Frame:
-    __slots__ = ("tag", "blocks", "buffer", "parts", "dropped", "block")
+    __slots__ = ("tag", "blocks", "buffer", "parts", "dropped", "named", "hearts", "block")
 
-    def __init__(self, tag, blocks, buffer, dropped, block):
+    def __init__(self, tag, blocks, buffer, dropped, block, named=False, hearts=0):
         self.tag, self.blocks, self.buffer, self.dropped, self.block = tag, blocks, buffer, dropped, block
+        self.named, self.hearts = named, hearts
         self.parts: list[str] = []
 
 
@@ -74,6 +84,7 @@ class Page:
         self.buffer: list[str] = []
         self.depth = {"article": 0, "main": 0}
         self.seen = {"article": False, "main": False}
+        self.hearts = 0  # how many of HEARTS have been opened
         self.stack = [_Frame("", 0, 0, False, True)]
         at = 0
         for m in _TOKEN.finditer(html):
@@ -112,14 +123,17 @@ class Page:
         if tag in VOID or attributes.endswith("/") and not block:
             return
         landmark = tag in ("article", "main", "body", "html")
-        furniture = "=" in attributes and tag not in ("body", "html", "main") and _names_furniture(attributes)
-        dropped = tag in DROPPED or furniture
-        if not block and not dropped:
+        dropped = tag in DROPPED
+        named = "=" in attributes and tag not in ("body", "html") and _names_furniture(attributes)
+        if not block and not dropped and not named:
             return
+        before = self.hearts
+        if tag in HEARTS and not any(f.dropped for f in self.stack):
+            self.hearts += 1
         if landmark and tag in self.depth:
             self.depth[tag] += 1
             self.seen[tag] |= not dropped and not any(f.dropped for f in self.stack)
-        self.stack.append(_Frame(tag, len(self.blocks), len(self.buffer), dropped, block))
+        self.stack.append(_Frame(tag, len(self.blocks), len(self.buffer), dropped, block, named, before))
 
     def _close_tag(self, tag: str, _: str) -> None:
         if any(f.tag == tag for f in self.stack):
@@ -136,7 +150,7 @@ class Page:
         if frame.tag in self.depth:
             self.depth[frame.tag] -= 1
         inside = self.depth["article"] or self.depth["main"]
-        gone = frame.dropped
+        gone = frame.dropped or frame.named and self.hearts == frame.hearts
         if frame.parts:
             digest = xxhash.xxh3_64_intdigest(f"{frame.tag}\x1e" + "\x1f".join(frame.parts)) - (1 << 63)
             self.stack[-1].parts.append(f"{digest:x}")

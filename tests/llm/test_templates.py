@@ -58,3 +58,18 @@ def test_odd_rows(spark):
 def test_long_and_unclosed_attributes(html, text):
     got = templates.Page(html).text()
     assert text is None or got == text
+
+
+@pytest.mark.parametrize("html,text", [
+    ("<div class='layout has-sidebar'><article><p>t</p></article></div><p>out</p>", "t"),
+    ("<div class='no-ads'><p>t</p></div>", "t"), ("<div class='with-header'><p>t</p></div>", "t"),
+    ("<div class='hfeed comments-open'><p>t</p></div>", "t"),
+    ("<article class='post share-enabled'><p>t</p></article><p>out</p>", "t"),
+    ("<div class='social'><article><p>t</p></article></div><p>out</p>", "t"),
+    ("<article class='sponsored'><p>t</p></article><p>out</p>", "t"),
+    ("<div id='banner'><h1>T</h1><p>t</p></div>", "T\nt"),
+    ("<p>t</p><div class='x top-banner'>b</div><div id='reader_comments'>c</div><div class='ad'>a</div>", "t"),
+    ("<nav class='menu'><h1>T</h1></nav><p>t</p>", "t"),
+])
+def test_names_of_furniture(html, text):
+    assert templates.Page(html).text() == text
