@@ -110,6 +110,27 @@ def near_removed(rows):
     return out
 
 
+def stage_removed(rows):
+    """What goes with ``min_chars=1``: from MIN_CHARS characters on a line near any earlier one, below it a line with a word that
+    equals an earlier one. Every earlier line is compared; only those of a length out of reach are passed over."""
+    by_length, short, out = {}, set(), {}
+    for k, t in sorted(rows):
+        out[k] = []
+        for n, line in enumerate(t.split("\n")):
+            line = line.strip()
+            if len(line) >= L.MIN_CHARS:
+                reach = L.threshold(len(line))
+                if any(L.bounded_distance(s, line, L.threshold(min(size, len(line)))) is not None
+                       for size in range(len(line) - reach, len(line) + 2 * reach + 1) for s in by_length.get(size, ())):
+                    out[k].append(n)
+                by_length.setdefault(len(line), set()).add(line)
+            elif any(map(str.isalnum, line)):
+                if line in short:
+                    out[k].append(n)
+                short.add(line)
+    return out
+
+
 def edited(rng, line, edits, signs):
     line = list(line)
     for _ in range(edits):
@@ -118,6 +139,15 @@ def edited(rng, line, edits, signs):
     return "".join(line).strip()
 
 
+def test_bounded_distance_of_long_lines():
+    rng = random.Random(9)
+    for _ in range(300):
+        a = "".join(rng.choice("abcd ") for _ in range(rng.randrange(90, 200)))
+        b, tau = edited(rng, a, rng.randrange(9), "abq"), rng.randrange(1, 8)
+        d = distance(a, b)
+        assert L.bounded_distance(a, b, tau) == (d if d <= tau else None)
+
+
 def test_near_copies_share_a_chunk():
     rng = random.Random(3)
     for signs in ("abcdefg  ", "ab", "一丁三四五", "x"):

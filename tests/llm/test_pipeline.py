@@ -38,7 +38,7 @@ def test_stages_against_brute_force(spark, tmp_path):
             clean = {k for k in set(before) - set(got) if not test_quality.base(before[k])[-1]}
             assert all(len(re.findall(r"[#*$%&|]", before[k])) > 0.1 * len(before[k].split()) for k in clean)
         elif name == "line_dedup":
-            gone = test_lines.removed(list(before.items()))
+            gone = test_lines.stage_removed(list(before.items()))
             want = {k: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[k]) for k, t in before.items()}
             assert got == {k: t for k, t in want.items() if t.strip() or not gone[k]}
         elif name == "ngram_jaccard":
