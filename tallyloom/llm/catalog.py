@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyloom.llm import decontaminate, jaccard, lines, personal, pieces, quality, templates, toxicity, urls, warc
+from tallyloom.llm import decontaminate, jaccard, lines, merkle, personal, pieces, quality, templates, toxicity, urls, warc
+from tallyloom.llm.sql import manifest_sql
 from tallyloom.plans.small import literal_table, run_folder
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -115,13 +116,30 @@ def op10_piece_lattice(spark: SparkSession, sf_dir: str, model_file: str = PIECE
         F.col("doc").alias("doc_id"), F.size("ids").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, and for each whether it, changed in a third of the cases, still belongs to it."""
+    docs = _table(spark, sf_dir, "documents")
+
+    def leaf(text):
+        return merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = docs.select("doc_id", "lang", leaf(F.col("text")).alias("leaf"), F.when(tampered, leaf(lowered)).alias("tampered"))
+    proved = merkle.prove(merkle.build_manifest(rows, "lang", ["doc_id"], "leaf"))
+    folded = proved.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return folded.select("doc_id", "leaf", "subroot", "root", merkle.siblings_digest(F.col("proof")).alias("proof_sha256"),
+                         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_redirect_blocks": op2_redirect_blocks, "op3_benchmark_leaks": op3_benchmark_leaks,
            "op4_personal_data": op4_personal_data, "op5_warc_round_trip": op5_warc_round_trip,
            "op6_line_dedup": op6_line_dedup,
            "op7_toxicity": op7_toxicity,
            "op8_line_quality": op8_line_quality,
-           "op9_template_removal": op9_template_removal, "op10_piece_lattice": op10_piece_lattice}
-SQL = {"op2_redirect_blocks": SQL_OP2}
+           "op9_template_removal": op9_template_removal, "op10_piece_lattice": op10_piece_lattice,
+           "op11_merkle_manifest": op11_merkle_manifest}
+SQL = {"op2_redirect_blocks": SQL_OP2, "op11_merkle_manifest": manifest_sql()}
 
 
 def queries() -> dict:
