@@ -61,3 +61,23 @@ def manifest_sql(levels: int = 12, top: int = 6) -> str:
 SELECT doc_id, leaf, subroot, (SELECT d FROM whole) AS root, sha256(s) AS proof_sha256, x AS folded_root,
        x = (SELECT d FROM whole) AS verified
 FROM e_{top}""")
+
+
+def conversations_sql(control: str) -> str:
+    """What the formatted ``conversations`` hold. A text with a control string gets one sign more for each."""
+    held = "'" + control + "'"
+    return f"""
+WITH turns AS (
+  SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+marked AS (
+  SELECT *, CASE role WHEN 'user' THEN length('[INST]  [/INST]') WHEN 'assistant' THEN length('  </s>')
+      WHEN 'system' THEN length('<<SYS>><</SYS>>') + 4 ELSE length('[ROLE ]  [/ROLE]') + length(url_encode(role)) END
+    + length(text) + len(regexp_extract_all(text, {held})) AS chars
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       COALESCE(sum(length(text)) FILTER (role = 'assistant'), 0) AS loss_chars,
+       sha256(COALESCE(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       length('<s>') + sum(chars) AS formatted_chars
+FROM marked GROUP BY conv_id"""
