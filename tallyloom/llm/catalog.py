@@ -3,11 +3,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyloom.llm import chat, decontaminate, jaccard, lines, merkle, personal, pieces, quality, templates, toxicity, urls, warc
+from tallyloom.llm import (alignment, chat, decontaminate, jaccard, lines, merkle, personal, pieces, quality, templates, toxicity,
+                           urls, warc)
 from tallyloom.llm.sql import conversations_sql, manifest_sql
 from tallyloom.plans.small import literal_table, run_folder
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 
 #: The rules of the URL query.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -144,13 +146,23 @@ def op12_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_conversations(formatted, in_order=True).withColumnRenamed("conv", "conv_id")
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str, byte_file: str = BYTE_MODEL, model_file: str = PIECE_MODEL) -> DataFrame:
+    """Tokens, groups and links of every document, the links weighed by how often their id pair is linked in the corpus."""
+    vocabularies = alignment.load_vocabularies(byte_file, model_file)
+    aligned = alignment.align(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabularies)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    weighed = alignment.weigh_links(aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_shared", digest.alias("groups_sha256"), "pairs"))
+    return weighed.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_shared")
+
+
 QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_redirect_blocks": op2_redirect_blocks, "op3_benchmark_leaks": op3_benchmark_leaks,
            "op4_personal_data": op4_personal_data, "op5_warc_round_trip": op5_warc_round_trip,
            "op6_line_dedup": op6_line_dedup,
            "op7_toxicity": op7_toxicity,
            "op8_line_quality": op8_line_quality,
            "op9_template_removal": op9_template_removal, "op10_piece_lattice": op10_piece_lattice,
-           "op11_merkle_manifest": op11_merkle_manifest, "op12_chat_round_trip": op12_chat_round_trip}
+           "op11_merkle_manifest": op11_merkle_manifest, "op12_chat_round_trip": op12_chat_round_trip,
+           "op13_tokenizer_alignment": op13_tokenizer_alignment}
 SQL = {"op2_redirect_blocks": SQL_OP2, "op11_merkle_manifest": manifest_sql(),
        "op12_chat_round_trip": conversations_sql(chat.CONTROL)}
 
