@@ -33,6 +33,23 @@ LOGIC = [{"check_no": "L1", "var_list": "gender@who", "TorF": "T", "out_var": "g
          {"check_no": "L2", "var_list": "agegp@edugp", "TorF": "F", "out_var": "agegp@edugp",
           "check_rule": "it1 + it2 < 7", "description": "too much"}]
 
+# the rules above and more, as users write them
+PY_SKIPS = [{**SKIPS[0], "condition": "a == 1 and b in [1, 3]"}, {**SKIPS[1], "condition": "a >= 3"}]
+PY_SKIPS2 = [{**SKIPS2[0], "condition": "a == 2 and b == ''"}, {**SKIPS2[1], "condition": "a == 5"}]
+PY_LOGIC = [{**LOGIC[0], "check_rule": "it1 == 2 and any(k in it2 for k in male_appellation)"},
+            {**LOGIC[1], "check_rule": "it1 + it2 < 7"}]
+PY_FORMS = [
+    {"check_no": "P1", "var_list": "who@gender", "TorF": "T", "out_var": "who",
+     "check_rule": "isinstance(it1, str) and it1.startswith('李')\nand it2 != 1", "description": "name"},
+    {"check_no": "P2", "var_list": "m01@m02@m03", "TorF": "T", "out_var": "m01@m02@m03",
+     "check_rule": "sum(1 for m in [it1, it2, it3] if m == 1) > 1", "description": "boxes"},
+    {"check_no": "P3", "var_list": "score@c1", "TorF": "F", "out_var": "score",
+     "check_rule": "0 <= it1 <= 100 or it2 // 4 == -2", "description": "bounds"},
+    {"check_no": "P4", "var_list": "agegp@edugp@opinion", "TorF": "T", "out_var": "agegp",
+     "check_rule": "len(set([it1, it2, it3])) == 1", "description": "all alike"},
+    {"check_no": "P5", "var_list": "who", "TorF": "F", "out_var": "id", "check_rule": "len(it1) > 2 and it1[-2:] == '先生'",
+     "description": "no finding where the text is missing"}]
+
 
 def _flat(df):
     """Array columns as text, so the rows can be compared."""
@@ -72,6 +89,11 @@ QUERIES = {
     "check_skip": lambda spark, sf: C.check_skip(resp(spark, sf), SKIPS, SURVEY),
     "check_skip2": lambda spark, sf: C.check_skip2(resp(spark, sf), SKIPS2, SURVEY),
     "check_logic": lambda spark, sf: C.check_logic(more(spark, sf), LOGIC, survey=SURVEY),
+    "check_skip_python": lambda spark, sf: C.check_skip(resp(spark, sf), PY_SKIPS, SURVEY, language="python"),
+    "check_skip2_python": lambda spark, sf: C.check_skip2(resp(spark, sf), PY_SKIPS2, SURVEY, language="python"),
+    "check_logic_python": lambda spark, sf: C.check_logic(more(spark, sf), PY_LOGIC, survey=SURVEY, language="python"),
+    "check_logic_python_forms": lambda spark, sf: C.check_logic(more(spark, sf), PY_FORMS, survey=SURVEY, language="python"),
+    "rule_failures": lambda spark, sf: C.rule_failures(more(spark, sf), [*PY_LOGIC, *PY_FORMS]),
     "time_gap_report": lambda spark, sf: _flat(C.time_gap_report(resp(spark, sf), 10)),
     "remove_handled": lambda spark, sf: C.remove_handled(_found(spark, sf), _handled(spark, sf)),
     "remove_handled_all_copies": lambda spark, sf: C.remove_handled(
@@ -204,6 +226,17 @@ SQL = {
     "check_logic": with_resp(_union([
         _select("more", "gender = 2 AND contains(who, '先生')", _content(["gender", "who"]), "L1_address does not fit"),
         _select("more", "NOT COALESCE(agegp + edugp < 7, FALSE)", _content(["agegp", "edugp"]), "L2_too much")])),
+    "check_logic_python_forms": with_resp(_union([
+        _select("more", "who LIKE '李%' AND gender <> 1", _content(["who"]), "P1_name"),
+        _select("more", "m01 + m02 + COALESCE(m03, 0) > 1", _content(["m01", "m02", "m03"]), "P2_boxes"),
+        _select("more", "NOT COALESCE(score BETWEEN 0 AND 100, FALSE) AND c1 NOT IN (-8, -7, -6, -5)", _content(["score"]), "P3_bounds"),
+        _select("more", "agegp = edugp AND edugp = opinion", _content(["agegp"]), "P4_all alike"),
+        _select("more", "who IS NOT NULL AND NOT (length(who) > 2 AND right(who, 2) = '先生')", _content(["id"]),
+                "P5_no finding where the text is missing")])),
+    "rule_failures": with_resp(
+        "SELECT check_no, n AS rows, CASE check_no WHEN 'L1' THEN l1 WHEN 'P5' THEN p5 ELSE 0 END AS raised FROM "
+        "(SELECT count(*) AS n, count(*) FILTER (gender = 2 AND who IS NULL) AS l1, count(*) FILTER (who IS NULL) AS p5 FROM more), "
+        "(VALUES ('L1'), ('L2'), ('P1'), ('P2'), ('P3'), ('P4'), ('P5')) v(check_no)"),
     "time_gap_report": with_resp(GAP_BODY),
     "remove_handled": with_resp(f"SELECT * FROM found WHERE {_KEPT}", _FOUND),
     "remove_handled_all_copies": with_resp(
@@ -219,3 +252,6 @@ SQL = {
     "findings_report": with_resp(f"SELECT DISTINCT * FROM found WHERE {_KEPT}", _FOUND),
     "findings_report_initial": with_resp("SELECT DISTINCT * FROM found", _FOUND),
 }
+SQL.update({f"{name}_python": SQL[name] for name in ("check_skip", "check_skip2")})
+# a Python rule raises for a missing text, and then finds nothing; the SQL rule of the same sheet is false there and TorF is T
+SQL["check_logic_python"] = SQL["check_logic"]

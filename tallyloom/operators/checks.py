@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.missing import is_in
 from ..functions.text import is_blank, natural_key, shown, strip
+from ..plans import pyrules
 from ..plans.appellations import APPELLATIONS
 from ..plans.small import fence
 from ..plans.rules import (bind, boolean_rule, missing_columns, names, quoted, report, rule_rows,
@@ -229,23 +230,45 @@ def multi_response_checks(df: DataFrame, rules, errors: list[str] | None = None)
     return out
 
 
+def _python_rule(df: DataFrame, text: str, columns: Mapping[str, str], constants: Mapping[str, pyrules.Value], where: str,
+                 errors: list[str] | None) -> pyrules.Value | None:
+    """A rule written in Python, or None with the reason reported."""
+    try:
+        rule = pyrules.compile_rule(text, {**constants, **{n: pyrules.column(df, c) for n, c in columns.items()}})
+        if rule.raises is pyrules.ALWAYS:
+            raise pyrules.RuleError("raises for every row")
+        return rule
+    except pyrules.RuleError as problem:
+        report(errors, f"{where}: {problem}")
+        return None
+
+
+def _skip_rule(df: DataFrame, r: dict, errors: list[str] | None, language: str) -> pyrules.Value | Column | None:
+    a, b = r.get("triggerA"), r.get("triggerB")
+    text, where = str(r.get("condition") or ""), f"skip rule {r.get('description')!r}"
+    if (r.get("language") or language) == "python":
+        absent = {"a": pyrules.constant(None), "b": pyrules.constant("")}
+        return _python_rule(df, text, {n: c for n, c in (("a", a), ("b", b)) if c in df.columns}, absent, where, errors)
+    return boolean_rule(df, bind(text, {"a": quoted(a) if a in df.columns else "NULL", "b": quoted(b) if b in df.columns else "''"}),
+                        where, errors)
+
+
 def skip_checks(df: DataFrame, rules, wrongly_skipped: bool = False,
-                errors: list[str] | None = None) -> Checks:
-    """``condition`` (SQL over ``a`` = triggerA and ``b`` = triggerB) holds and
+                errors: list[str] | None = None, language: str = "sql") -> Checks:
+    """``condition`` (over ``a`` = triggerA and ``b`` = triggerB, in SQL or Python) holds and
 
     - any listed variable was answered although it should be skipped, or
     - with ``wrongly_skipped`` all listed variables were skipped.
+
+    A rule's own ``language`` goes before the one given.
     """
     out = []
     for r in rule_rows(rules):
-        a, b = r.get("triggerA"), r.get("triggerB")
-        condition = boolean_rule(
-            df, bind(str(r.get("condition") or ""),
-                     {"a": quoted(a) if a in df.columns else "NULL",
-                      "b": quoted(b) if b in df.columns else "''"}),
-            f"skip rule {r.get('description')!r}", errors)
+        condition = _skip_rule(df, r, errors, language)
         if condition is None:
             continue
+        if isinstance(condition, pyrules.Value):
+            condition = pyrules.holds(condition)
         listed = [c for c in names(r.get("skip_num")) + names(r.get("skip_str"))
                   if c in df.columns]
         skipped = [is_in(_col(c), _codes(df, c, [SKIPPED])) for c in listed]
@@ -257,12 +280,10 @@ def skip_checks(df: DataFrame, rules, wrongly_skipped: bool = False,
     return out
 
 
-def logic_checks(df: DataFrame, rules, appellations: Mapping[str, Sequence[str]] | None = None,
-                 errors: list[str] | None = None) -> Checks:
-    """User rules in SQL over ``it1..itN`` (the variables of the rule) and the keyword arrays
-    ``<group>_appellation``. A rule without an answer counts as false."""
-    groups = {f"{g}_appellation": word_array(words)
-              for g, words in (appellations or APPELLATIONS).items()}
+def _logic_rules(df: DataFrame, rules, appellations: Mapping[str, Sequence[str]] | None, errors: list[str] | None,
+                 language: str) -> list[tuple[dict, pyrules.Value | Column]]:
+    """Every rule that can be compiled, over ``it1..itN`` and the keyword groups."""
+    groups = {f"{g}_appellation": list(words) for g, words in (appellations or APPELLATIONS).items()}
     out = []
     for r in rule_rows(rules):
         where, cols, shown_cols = f"logic rule {r['check_no']}", names(r["var_list"]), names(r["out_var"])
@@ -270,15 +291,47 @@ def logic_checks(df: DataFrame, rules, appellations: Mapping[str, Sequence[str]]
         if absent:
             report(errors, f"{where}: no column {absent}")
             continue
-        its = {f"it{i}": quoted(c) for i, c in enumerate(cols, 1)}
-        rule = boolean_rule(df, bind(str(r["check_rule"]), {**groups, **its}), where, errors)
+        its, text = {f"it{i}": c for i, c in enumerate(cols, 1)}, str(r["check_rule"])
+        if (r.get("language") or language) == "python":
+            rule = _python_rule(df, text, its, {g: pyrules.words(w) for g, w in groups.items()}, where, errors)
+        else:
+            rule = boolean_rule(df, bind(text, {**{g: word_array(w) for g, w in groups.items()},
+                                                **{n: quoted(c) for n, c in its.items()}}), where, errors)
         if rule is not None:
+            out.append((r, rule))
+    return out
+
+
+def logic_checks(df: DataFrame, rules, appellations: Mapping[str, Sequence[str]] | None = None,
+                 errors: list[str] | None = None, language: str = "sql") -> Checks:
+    """User rules over ``it1..itN`` (the variables of the rule) and the keyword groups ``<group>_appellation``: arrays in SQL, lists in Python.
+    An SQL rule without an answer counts as false; where a Python rule raises there is no finding. A rule's own ``language``
+    goes before the one given."""
+    out = []
+    for r, rule in _logic_rules(df, rules, appellations, errors, language):
+        wanted = r["TorF"] == "T"
+        if isinstance(rule, pyrules.Value):
+            result = pyrules.answers(rule, wanted)
+        else:
             result = F.coalesce(rule, F.lit(False))
-            out.append(_finding(result if r["TorF"] == "T" else ~result, _pairs(shown_cols),
-                                f"{r['check_no']}_{r['description']}"))
+            result = result if wanted else ~result
+        out.append(_finding(result, _pairs(names(r["out_var"])), f"{r['check_no']}_{r['description']}"))
     return out
 
 
+def rule_failures(df: DataFrame, rules, appellations: Mapping[str, Sequence[str]] | None = None,
+                  errors: list[str] | None = None) -> DataFrame:
+    """``check_no``, ``rows``, ``raised``: for how many rows a logic rule written in Python raises, as it does when the length of a missing text is
+    asked for. One aggregation over the data."""
+    made = _logic_rules(df, rules, appellations, errors, "python")
+    counts = [F.struct(F.lit(str(r["check_no"])).alias("check_no"), F.count(F.lit(1)).alias("rows"),
+                       F.count_if(pyrules.raising(rule)).alias("raised")) for r, rule in made if isinstance(rule, pyrules.Value)]
+    if not counts:
+        counts = [F.struct(F.lit("").alias("check_no"), F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("raised"))]
+        return df.limit(0).agg(F.array(*counts).alias("c")).select(F.explode("c").alias("c")).select("c.*").where("check_no <> ''")
+    return df.agg(F.array(*counts).alias("c")).select(F.explode("c").alias("c")).select("c.*")
+
+
 def response_note_checks(df: DataFrame) -> Checks:
     return [_finding(~is_blank(_col(v), trimmed=False), _pairs([v]), "請確認訪員回報的內容")
             for v in ("note1", "note2", "text") if v in df.columns]
@@ -323,16 +376,16 @@ def check_multi_response(df, rules, survey="", errors=None) -> DataFrame:
     return findings(df, multi_response_checks(df, rules, errors), survey)
 
 
-def check_skip(df, rules, survey="", errors=None) -> DataFrame:
-    return findings(df, skip_checks(df, rules, False, errors), survey)
+def check_skip(df, rules, survey="", errors=None, language="sql") -> DataFrame:
+    return findings(df, skip_checks(df, rules, False, errors, language), survey)
 
 
-def check_skip2(df, rules, survey="", errors=None) -> DataFrame:
-    return findings(df, skip_checks(df, rules, True, errors), survey)
+def check_skip2(df, rules, survey="", errors=None, language="sql") -> DataFrame:
+    return findings(df, skip_checks(df, rules, True, errors, language), survey)
 
 
-def check_logic(df, rules, appellations=None, survey="", errors=None) -> DataFrame:
-    return findings(df, logic_checks(df, rules, appellations, errors), survey)
+def check_logic(df, rules, appellations=None, survey="", errors=None, language="sql") -> DataFrame:
+    return findings(df, logic_checks(df, rules, appellations, errors, language), survey)
 
 
 def check_response_notes(df, survey="") -> DataFrame:
