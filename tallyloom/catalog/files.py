@@ -46,6 +46,21 @@ def _syntax_files(spark, sf):
     return _flat(book.join(own, "file").drop("file").withColumnRenamed("named", "file"))
 
 
+def _syntax_lines(spark, sf):
+    """All surveys in a few long files, read line by line in blocks; what every survey defines alike is left out."""
+    path = run_folder(spark, "syntax-lines")
+    _syntax(spark, sf).select("text").write.text(path)
+    book = B.codebook_of(B.statements_of_lines(readers.read_syntax_lines(spark, path, "*.txt")))
+    return _flat(book.where("var NOT IN ('seg', 'late')")).drop("file")
+
+
+def _open_ranges(spark, sf):
+    """Ranges with open ends, half of the files with a low one."""
+    syntax = table(spark, sf, "customer").select(F.concat("c_custkey", F.lit(".sps")).alias("file"), F.expr(
+        "CONCAT('MISSING VALUES q (', IF(c_custkey % 2 = 0, 'LO thru -', ''), c_nationkey, ', ', c_nationkey + 90, ' THRU HI).')").alias("text"))
+    return B.open_ranges(B.codebook(syntax))
+
+
 def _rules(spark, sf):
     """Columns in another order, one more than asked for; half as CSV, half as JSON."""
     path = run_folder(spark, "rules")
@@ -114,6 +129,8 @@ QUERIES = {
     "codebook": lambda spark, sf: _flat(B.codebook(_syntax(spark, sf))),
     "codebook_missing_codes": lambda spark, sf: B.missing_codes(B.codebook(_syntax(spark, sf)), step=2),
     "read_syntax_files": _syntax_files,
+    "read_syntax_lines": _syntax_lines,
+    "codebook_open_ranges": _open_ranges,
     "read_rules": _rules,
     "read_lookup_list": _lookup_list,
     "read_handled_reports": _handled_reports,
@@ -137,6 +154,9 @@ SQL = {
     "codebook_missing_codes": "SELECT 's' || c_custkey || '.sps' AS file, 'c' || c_custkey AS var, "
                               "CAST(UNNEST([-9, -8, -7, c_nationkey]) AS BIGINT) AS code FROM customer",
     "write_codebook": _BOOK,
+    "read_syntax_lines": f"SELECT {_VAR} FROM customer",
+    "codebook_open_ranges": "SELECT c_custkey || '.sps' AS file, 'q' AS var, NULL AS lo, -c_nationkey AS hi FROM customer WHERE c_custkey % 2 = 0 "
+                            "UNION ALL SELECT c_custkey || '.sps', 'q', c_nationkey + 90, NULL FROM customer",
     "read_syntax_files": _BOOK,
     "read_rules": "SELECT 'v' || p_partkey AS var, CAST(p_size AS DOUBLE) AS min, p_retailprice AS max, "
                   "'-8@' || p_size AS special_code FROM part",

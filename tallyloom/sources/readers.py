@@ -114,6 +114,14 @@ def read_syntax_files(spark: SparkSession, folder: str, glob: str = "*.sps") ->
             .select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text")))
 
 
+def read_syntax_lines(spark: SparkSession, folder: str, glob: str = "*.sps") -> DataFrame:
+    """(file, block, at, line): the lines of the syntax files, for ``codebook.statements_of_lines``. Long files are cut into blocks (by
+    ``spark.sql.files.maxPartitionBytes``); a line belongs to the block in which it starts."""
+    return (spark.read.option("pathGlobFilter", glob).text(folder)
+            .select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")))
+
+
 def read_findings(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """What ``write_findings`` wrote. The schema keeps a wave such as ``01`` a text."""
     reader = spark.read.schema(FINDINGS_SCHEMA)

@@ -1,10 +1,14 @@
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import clean_nan
 from tallyloom.functions.transcode import transcode_lossy
 from tallyloom.operators import lookup as L
-from tallyloom.operators.codebook import codebook, missing_codes
+from tallyloom.operators.codebook import codebook, codebook_of, missing_codes, open_ranges, statements_of_lines
 from tallyloom.plans import small
 from tallyloom.sources import readers, writers
 
@@ -54,11 +58,89 @@ def test_codebook_grammar(spark):
     assert [book[v]["label"] for v in book] == ["it's", 'say "x"', "third"]
     assert book["a"]["value_labels"] == {1: "one", 2: "two"} and book["c.1"]["value_labels"] == {-1: "x"}
     assert book["b"]["value_labels"] == {1: "one", 2: "zwei", 3: "drei"}
-    assert book["a"]["missing"] == book["b"]["missing"] == [(-2147483648, 0), (9, 9)]
-    assert book["c.1"]["missing"] == [(5, 5), (6, 2147483647), (1, 100000000)]
+    assert book["a"]["missing"] == book["b"]["missing"] == [(None, 0), (9, 9)]
+    assert book["c.1"]["missing"] == [(5, 5), (6, None), (1, 100000000)]
     assert [book[v]["format"] for v in book] == ["F3.1", "F3.1", "A8"]
 
 
+def test_open_ranges_have_no_codes(spark):
+    book = codebook(spark.createDataFrame([("f", "MISSING VALUES q (LO thru 0, 9, 5 THRU HIGHEST, lowest thru hi, HI thru 3, 4 thru LO, LO, HI)."),
+                                           ("f", "x")], "file string, text string"))
+    assert book.first()["missing"] == [(None, 0), (9, 9), (5, None), (None, None)]
+    assert [r["code"] for r in missing_codes(book).collect()] == [9]
+    assert sorted((r["lo"], r["hi"]) for r in open_ranges(book).where("lo is not null or hi is not null").collect() if r["lo"]) == [(5, None)]
+    assert open_ranges(book).count() == 3
+
+
+def plain_coded_labels(body):
+    """The grammar of coded labels, token by token."""
+    token = re.compile(r'"(?:[^"]|"")*"|' + r"'(?:[^']|'')*'" + r"|[^\W\d][\w.@#$]*(?<!\.)|[@#$][\w.@#$]*(?<!\.)|-?\d+(?:\.\d+)?|[/().,:]")
+    names, opened, code, out = [], True, None, {}
+    for t in token.findall(body):
+        if t[0] in "\"'":
+            text = t[1:-1].replace(t[0] * 2, t[0])
+            if code is not None and text:
+                out.update({(n, code): text for n in names})
+            opened, code = False, None
+            continue
+        if re.match(r"[^\W\d]|[@#$]", t):
+            names = [*names, t] if opened else [t]
+            opened = True
+        elif t == "/":
+            names, opened = [], True
+        code = int(t) if re.fullmatch(r"-?\d+", t) and abs(int(t)) < 2 ** 31 else None
+    return out
+
+
+def test_coded_labels_against_a_plain_reading(spark):
+    rng = random.Random(2)
+    parts = ["a", "b.1", "@c", "_d", "é", "1", "2", "-3", "a", "é", "1 'u'", "2 \"v\"", "-3 'w'", "1 'o' 2 't'", "1.5", "99999999999", '"x"', "'it''s'", '"say ""y"""', '""', "/", "(", ")", ",", ".", ":", "\n", "?", "-"]
+    bodies = ["".join(rng.choice(parts) + rng.choice([" ", " ", "  ", "\t"]) for _ in range(rng.randrange(25))) for _ in range(400)]
+    files = spark.createDataFrame([(str(k), "VALUE LABELS " + b) for k, b in enumerate(bodies)], "file string, text string")
+    got = {}
+    for r in codebook(files).collect():
+        got.update({(int(r["file"]), r["var"], c): t for c, t in r["value_labels"].items()})
+    assert got == {(k, n, c): t for k, b in enumerate(bodies) for (n, c), t in plain_coded_labels(b).items()}
+    assert len(got) > 400
+
+
+def test_long_statements_take_time_in_proportion(spark):
+    def seconds(labels):
+        text = "VALUE LABELS q1 q2\n" + "".join(f'{k} "label ""{k}"" of it"\n' for k in range(labels)) + ".\nVARIABLE LABELS q1 \"" + "x" * 200_000 + '".'
+        files = spark.createDataFrame([("f", text)], "file string, text string")
+        start = time.time()
+        out = codebook(files).collect()
+        assert [len(r["value_labels"]) for r in out] == [labels] * 2 and out[0]["value_labels"][1] == 'label "1" of it'
+        assert len(out[0]["label"]) == 200_000
+        return time.time() - start
+
+    seconds(2000)
+    assert seconds(64_000) < 4 * max(1, seconds(32_000))
+
+
+def test_files_in_several_blocks(spark, tmp_path):
+    """Statements that begin in one block and end in another, and blocks without any start."""
+    rng = random.Random(5)
+    for name in ("a.sps", "b.sps", "c.txt"):
+        with open(tmp_path / name, "w", encoding="utf-8", newline="") as f:
+            for k in range(150):
+                brk = rng.choice(["\n", "\r\n"])
+                f.write(SYNTAX.replace("q1", f"é{k % 40}").replace("q2", f"q{k}_2").replace("First", "First " + "long " * rng.randrange(200)).replace("\n", brk))
+    (tmp_path / "empty.sps").write_text("")
+    whole = codebook(readers.read_syntax_files(spark, str(tmp_path))).collect()
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "777")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        lines = readers.read_syntax_lines(spark, str(tmp_path))
+        assert lines.select("file", "block").distinct().count() > 100 and lines.rdd.getNumPartitions() > 50
+        cut = codebook_of(statements_of_lines(lines)).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert cut == whole and {r["file"] for r in cut} == {"a.sps", "b.sps"}
+
+
 def test_missing_codes_of_a_long_range(spark):
     book = codebook(spark.createDataFrame([("f", "MISSING VALUES q (1 thru 3000000, 7)."), ("f2", "FORMATS q (F1).")], "file string, text string"))
     assert missing_codes(book).selectExpr("count(*)", "max(code)").first()[:] == (3_000_001, 3_000_000)
