@@ -1,92 +1,81 @@
-"""Exact quantiles of any number of columns in a few shared passes.
-
-A wanted rank lies in an interval of values. One pass sketches every open interval of all columns at once and brackets
-its ranks, the next one counts what lies below and inside each bracket; the brackets become the intervals. A bracket holds
-about four ten-thousandths of its interval, so intervals shrink to a few distinct values after one or two rounds, however
-long the column. Those few are counted exactly in a last pass. Neither the number of columns nor of quantiles adds passes.
-"""
+"""Exact quantiles. Columns of few distinct values, as codes and most weights are, take part in an ordinary aggregate; longer ones are
+sorted by ranges over the cluster, so that no task holds the values of a column."""
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-ACCURACY = 10_000
-FEW = 10_000  # distinct values of an interval that are counted one by one
+from ..plans.small import scratch
 
+FEW = 1_000_000  # distinct values that one aggregation buffer holds
 
-@dataclass
-class _Target:
-    """The values at the 0-based ranks ``low`` and ``high`` among the ``n`` values of a column inside [first, last]."""
-    column: str
-    part: float
-    low: int
-    high: int
-    n: int
-    first: float | None = None
-    last: float | None = None
-    slack: float = 2.0 / ACCURACY
-    few: bool = False
 
-    def inside(self) -> Column:
-        v = F.col(f"`{self.column}`")
-        return v.isNotNull() if self.first is None else v.between(self.first, self.last)
+def columns_of_few_values(df: DataFrame, cols: Sequence[str]) -> list[str]:
+    """The columns with at most ``FEW`` distinct values, by an estimate in one pass."""
+    if not cols:
+        return []
+    counts = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    return [c for i, c in enumerate(cols) if counts[i] <= FEW]
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
-    """Linear-interpolation quantiles per column; NULL is left out."""
-    narrow = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
-    sizes = narrow.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    targets = {}
+def spread_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """Quantiles by linear interpolation of columns of any number of values; NULL is left out.
+
+    Equal values are counted, the counts sorted by ranges and summed per range. These sums, a row for each range and column, tell
+    in which ranges the wanted ranks lie; only those are read again."""
+    narrow = df.select(*[F.col(f"`{c}`").cast("double").alias(f"{i}") for i, c in enumerate(cols)])
+    values = narrow.unpivot([], list(narrow.columns), "column", "value").where("value IS NOT NULL").groupBy("column", "value").agg(
+        F.count(F.lit(1)).alias("n"))
+    ranges = values.repartitionByRange("column", "value").withColumn("part", F.spark_partition_id())
+    with scratch(ranges, "quantiles") as held:
+        sums = held.groupBy("column", "part").agg(F.sum("n").alias("n"))
+        starts = sums.select("column", "part", "n", F.expr(
+            "sum(n) OVER (PARTITION BY column ORDER BY part) - n").alias("before"), F.expr("sum(n) OVER (PARTITION BY column)").alias("total"))
+        low, high = [], []
+        for p in probs:
+            place = F.lit(float(p)) * (F.col("total") - 1)
+            low.append(F.floor(place).cast("long"))
+            high.append(F.ceil(place).cast("long"))
+        wanted = starts.withColumn("ranks", F.array_distinct(F.array(*low, *high))).withColumn(
+            "ranks", F.filter("ranks", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))).where(F.size("ranks") > 0)
+        picked = wanted.select(F.col("column").alias("of"), F.col("part").alias("of_part"), "before", "total", "ranks")
+        here = held.join(F.broadcast(picked), (F.col("column") == F.col("of")) & (F.col("part") == F.col("of_part")))
+        upto = here.withColumn("upto", F.col("before") + F.expr("sum(n) OVER (PARTITION BY column, part ORDER BY value)"))
+        hits = upto.select("column", "value", "total", F.explode(F.filter(
+            "ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))).alias("rank"))
+        found = {(r["column"], r["rank"]): (r["value"], r["total"]) for r in hits.collect()}  # two ranks a quantile at most
+    totals = {column: total for (column, _), (_, total) in found.items()}
+    out: dict[str, list[float | None]] = {}
     for i, c in enumerate(cols):
-        for p in probs if sizes[i] else ():
-            place = p * (sizes[i] - 1)
-            targets[c, p] = _Target(c, place - math.floor(place), math.floor(place), math.ceil(place), sizes[i])
-    while active := [t for t in targets.values() if not t.few]:
-        _narrow(narrow, active)
-    found = _values(narrow, list(targets.values()))
-    return {c: [found.get(id(targets[c, p])) if (c, p) in targets else None for p in probs] for c in cols}
+        out[c] = []
+        for p in probs:
+            if str(i) not in totals:
+                out[c].append(None)
+                continue
+            place = p * (totals[str(i)] - 1)
+            a, b = (found[str(i), k][0] for k in (math.floor(place), math.ceil(place)))
+            out[c].append(a + (place - math.floor(place)) * (b - a))
+    return out
 
 
-def _narrow(narrow: DataFrame, targets: list[_Target]) -> None:
-    """One round: two passes over all targets."""
-    def wanted(t: _Target) -> list[float]:
-        return [max((t.low + 0.5) / t.n - t.slack, 0.0), min((t.high + 0.5) / t.n + t.slack, 1.0)]
+def quantile_columns(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[Column]]:
+    """The quantiles of every column, to be used in an aggregate of ``df``."""
+    few = set(columns_of_few_values(df, cols))
+    many = spread_quantiles(df, [c for c in cols if c not in few], probs) if len(few) < len(set(cols)) else {}
 
-    brackets = narrow.agg(*[F.percentile_approx(F.when(t.inside(), F.col(f"`{t.column}`")), wanted(t), ACCURACY).alias(f"b{i}")
-                            for i, t in enumerate(targets)]).first()
-    measures = []
-    for i, t in enumerate(targets):
-        v, (a, b) = F.col(f"`{t.column}`"), brackets[i]
-        within = t.inside() & v.between(a, b)
-        measures += [F.count_if(t.inside() & (v < a)), F.count_if(within), F.approx_count_distinct(F.when(within, v))]
-    counts = narrow.agg(*[m.alias(f"m{k}") for k, m in enumerate(measures)]).first()
-    for i, t in enumerate(targets):
-        below, within, distinct = counts[3 * i:3 * i + 3]
-        if below <= t.low and t.high < below + within:
-            t.few = distinct <= FEW or within == t.n  # a bracket that cuts nothing off holds few values or ties
-            t.low, t.high, t.n, (t.first, t.last) = t.low - below, t.high - below, within, brackets[i]
-            t.slack = 2.0 / ACCURACY
-        else:  # the sketch was off; a wider bracket holds the ranks for certain in the end
-            t.slack *= 4
+    def of(c: str) -> list[Column]:
+        if c in few:  # one aggregate for all probabilities
+            every = F.percentile(F.col(f"`{c}`").cast("double"), F.array(*[F.lit(float(p)) for p in probs]))
+            return [every[k] for k in range(len(probs))]
+        return [F.lit(q).cast("double") for q in many[c]]
 
+    return {c: of(c) for c in cols}
 
-def _values(narrow: DataFrame, targets: list[_Target]) -> dict[int, float]:
-    """The interpolated value of each target from the counts of the few values in its interval."""
-    if not targets:
-        return {}
-    hits = F.array_compact(F.array(*[F.when(t.inside(), F.struct(F.lit(i).alias("i"), F.col(f"`{t.column}`").alias("v")))
-                                     for i, t in enumerate(targets)]))
-    rows = (narrow.select(F.explode(hits).alias("h")).groupBy("h.i", "h.v").count().collect())
-    out = {}
-    for i, t in enumerate(targets):
-        seen, ends = 0, {}
-        for r in sorted((r for r in rows if r["i"] == i), key=lambda r: r["v"]):
-            for rank in {t.low, t.high}:
-                if seen <= rank < seen + r["count"]:
-                    ends[rank] = r["v"]
-            seen += r["count"]
-        out[id(t)] = ends[t.low] + t.part * (ends[t.high] - ends[t.low])
-    return out
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """Linear-interpolation quantiles per column; NULL is left out."""
+    made = quantile_columns(df, cols, probs)
+    row = df.agg(F.lit(0).alias("none"), *[q.alias(f"q{i}_{k}") for i, c in enumerate(cols) for k, q in enumerate(made[c])]).first()
+    return {c: [row[f"q{i}_{k}"] for k in range(len(probs))] for i, c in enumerate(cols)}

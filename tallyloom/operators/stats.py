@@ -9,7 +9,7 @@ from ..functions.missing import drop_missing
 from ..functions.numeric import level_label, n_round
 from ..functions.pvalues import chi2_sf, f_sf
 from ..plans.targets import target_lists, target_table
-from .quantiles import exact_quantiles
+from .quantiles import quantile_columns
 
 CHI_ROW = "Chi-square result"
 
@@ -118,19 +118,19 @@ def oneway_anova(df: DataFrame, iv: str, dv: str, iv_missing: Sequence = (),
 def weight_description(df: DataFrame, weight: str) -> DataFrame:
     """One row: n (all rows), max, min, median, mean, variance, sd of a weight."""
     w = F.col(f"`{weight}`").cast("double")
-    median = exact_quantiles(df, [weight], [0.5])[weight][0]
+    median = quantile_columns(df, [weight], [0.5])[weight][0]
     return df.agg(F.count(F.lit(1)).alias("n"), F.max(w).alias("max"), F.min(w).alias("min"),
-                  F.lit(median).cast("double").alias("median"), F.avg(w).alias("mean"),
+                  median.alias("median"), F.avg(w).alias("mean"),
                   F.var_samp(w).alias("variance"), F.stddev_samp(w).alias("sd"))
 
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """count, mean, std, min, 25%, 50%, 75%, max, one row each, one column per variable."""
-    quartiles = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+    quartiles = quantile_columns(df, cols, [0.25, 0.5, 0.75])
     x = {c: F.col(f"`{c}`").cast("double") for c in cols}
     lines = [("count", lambda c: F.count(x[c]).cast("double")), ("mean", lambda c: F.avg(x[c])),
              ("std", lambda c: F.stddev_samp(x[c])), ("min", lambda c: F.min(x[c])),
-             *[(name, lambda c, i=i: F.lit(quartiles[c][i]).cast("double"))
+             *[(name, lambda c, i=i: quartiles[c][i])
                for i, name in enumerate(["25%", "50%", "75%"])],
              ("max", lambda c: F.max(x[c]))]
     return df.agg(F.array(*[F.struct(F.lit(name).alias("statistic"),

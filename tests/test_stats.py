@@ -26,9 +26,8 @@ def test_quantiles_match_numpy(spark, monkeypatch):
     rows += [(1.25, 2.0)] * 2500  # one value holds a third of the rows
     df = spark.createDataFrame(rows, "x double, k double").repartition(4)
     probs = [0.0, 0.25, 0.5, 0.731, 1.0]
-    for limit, accuracy in ((10_000, 10_000), (50, 100), (5, 30)):
+    for limit in (10_000, 50, 3):  # both columns in an aggregate, one, none
         monkeypatch.setattr(quantiles, "FEW", limit)
-        monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
         got = exact_quantiles(df, ["x", "k"], probs)
         for i, c in enumerate(("x", "k")):
             want = np.quantile([r[i] for r in rows if r[i] is not None], probs)
@@ -38,6 +37,7 @@ def test_quantiles_match_numpy(spark, monkeypatch):
 def test_quantiles_of_an_empty_column(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert exact_quantiles(df, ["x"], [0.5]) == {"x": [None]}
+    assert quantiles.spread_quantiles(df, ["x"], [0.5]) == {"x": [None]}
     assert S.weight_description(df, "x").first()["median"] is None
 
 
