@@ -1,7 +1,7 @@
 """Table-driven data checks.
 
 A check compiles its rules to a list of Columns, each a ``struct(content, reason)`` or NULL
-per respondent. :func:`findings` turns any number of them into finding rows within a single
+per respondent, or an array of such structs. :func:`findings` turns any number of them into finding rows within a single
 scan and without a shuffle, so all checks of a survey can share one pass over the data.
 """
 from __future__ import annotations
@@ -16,7 +16,7 @@ from ..plans import pyrules
 from ..plans.appellations import APPELLATIONS
 from ..plans.small import fence
 from ..plans.rules import (bind, boolean_rule, missing_columns, names, quoted, report, rule_rows,
-                           word_array)
+                           text_literal, word_array)
 
 SEPARATOR = "，"
 KEY = ["no", "id", "content", "reason"]
@@ -65,7 +65,11 @@ def findings(df: DataFrame, checks: Iterable[Column], survey: str = "") -> DataF
         none = F.struct(F.lit("").alias("content"), F.lit("").alias("reason"))
         checks = [F.when(F.lit(False), none)]
     base = ["no", "id", "wave"]
-    rows = df.select(*base, F.array_compact(F.array(*checks)).alias("found"))
+    kinds = dict(df.select(*[c.alias(f"c{i}") for i, c in enumerate(checks)]).dtypes)
+    single = [c for i, c in enumerate(checks) if not kinds[f"c{i}"].startswith("array")]
+    arrays = [F.coalesce(c, F.array().cast(kinds[f"c{i}"])) for i, c in enumerate(checks) if kinds[f"c{i}"].startswith("array")]
+    found = F.array_compact(F.array(*single)) if single else None
+    rows = df.select(*base, (F.concat(*([] if found is None else [found]), *arrays) if arrays else found).alias("found"))
     return (fence(rows, "found").select(*base, F.explode("found").alias("f"))
             .select(F.lit(survey).alias("survey"), "no", "id", "f.content", "f.reason",
                     F.lit("").alias("reply"), "wave", F.lit("").alias("note")))
@@ -167,9 +171,12 @@ def _phone_check(v: str) -> Column:
             return F.when(~digits.rlike(r"\A09\p{Nd}{8,}\z"),
                           F.when(F.length(digits) < 10, finding(raw, "號碼少於10碼")).otherwise(malformed))
 
-        return F.when(~raw.isin("0", "-8", ""), _once(_phone_digits(raw), of_digits))
+        return _once(_phone_digits(raw), of_digits)
 
-    return _once(strip(shown(_col(v))), judged)
+    raw = strip(shown(_col(v)))
+    # numbers written as most are need no cleaning to be seen as good, whatever symbols are taken out
+    good = r"\A(?:[-# 轉]|分機|ext)*+[0-9](?:[-# 轉0-9]|分機|ext)*+\z" if v.startswith("phone") else r"\A09(?:-?[0-9]){8,}+\z"
+    return F.when(~(raw.isin("0", "-8", "") | raw.rlike(good)), _once(raw, judged))
 
 
 def _once(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -196,13 +203,18 @@ def filled_note_checks(df: DataFrame, rules, multi_rules, wave: str | None,
     return out
 
 
+RULES_AS_DATA = 100
+
+
 def range_checks(df: DataFrame, rules) -> Checks:
-    """Values outside [min, max] that are not a special code; absent columns are passed over."""
+    """Values outside [min, max] that are not a special code; absent columns are passed over. More than ``RULES_AS_DATA`` rules are no longer an
+    expression each but one over arrays (:func:`range_check_of_many`), with the same findings."""
+    rows = [r for r in rule_rows(rules) if r["var"] in df.columns]
+    if len(rows) > RULES_AS_DATA:
+        return [range_check_of_many(df, rows)]
     out = []
-    for r in rule_rows(rules):
+    for r in rows:
         v = r["var"]
-        if v not in df.columns:
-            continue
         value, special = _measure(df, v), [int(float(s)) for s in names(r["special_code"])]
         outside = F.lit(False)
         if r["min"] is not None:
@@ -213,6 +225,43 @@ def range_checks(df: DataFrame, rules) -> Checks:
     return out
 
 
+def range_check_of_many(df: DataFrame, rows: Sequence[dict]) -> Column:
+    """The findings of any number of range rules as one array. The rules are constants of the plan (which value, its bounds, its special codes);
+    the ruled values of a row stand in an array that is compared with them, and cells are written as text only for rows with a finding. So the code that
+    is generated does not grow with the rules, and the data is read once, without a row per cell."""
+    place = {v: k for k, v in enumerate(dict.fromkeys(r["var"] for r in rows))}
+
+    def constants(values: Iterable[str], kind: str) -> Column:
+        return F.expr(f"cast(array({', '.join(values)}) as array<{kind}>)")
+
+    def number(value) -> str:
+        return "NULL" if value is None else f"double('{float(value)!r}')"
+
+    special = [f"array({', '.join(number(s) for s in names(r['special_code']))})" for r in rows]
+    table = F.arrays_zip(constants([str(place[r["var"]]) for r in rows], "int").alias("k"),
+                         constants([number(r["min"]) for r in rows], "double").alias("low"),
+                         constants([number(r["max"]) for r in rows], "double").alias("high"),
+                         constants(special, "array<double>").alias("special"),
+                         constants([text_literal(r["var"]) for r in rows], "string").alias("var"))
+    values = F.array(*[_measure(df, v).cast("double") for v in place])
+
+    def failing(held: Column) -> Column:
+        def fails(rule: Column) -> Column:
+            def of(x: Column) -> Column:
+                outside = F.coalesce(x < rule["low"], F.lit(False)) | F.coalesce(x > rule["high"], F.lit(False))
+                return outside & ~F.array_contains(rule["special"], x)
+            value = F.get(held, rule["k"])
+            return F.coalesce(of(value), F.lit(False))
+        return F.filter(table, fails)
+
+    def written(found: Column) -> Column:
+        cells = F.array(*[shown(_col(v)) for v in place])
+        return _once(cells, lambda c: F.transform(found, lambda rule: F.struct(
+            F.concat(rule["var"], F.lit("="), F.get(c, rule["k"])).alias("content"), F.concat(rule["var"], F.lit("_數值不合理")).alias("reason"))))
+
+    return _once(_once(values, failing), lambda found: F.when(F.size(found) > 0, written(found)))
+
+
 def multi_response_checks(df: DataFrame, rules, errors: list[str] | None = None) -> Checks:
     """No box ticked in ``base01..baseNN``."""
     out = []

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from tallyloom.operators import checks as C
@@ -163,3 +165,58 @@ def test_report_drops_handled_and_copies(spark):
     assert ids(C.findings_report(now, past, "02", drop_all_copies=True)) == []
     assert ids(C.remove_handled(now, past)) == [1, 1]
     assert ids(C.remove_handled(now, past, drop_all_copies=True)) == []
+
+
+def test_range_rules_as_data(spark, monkeypatch):
+    """Thousands of rules in one scan, and the same findings as by an expression each."""
+    rng = random.Random(3)
+    cols = [f"v{k}" for k in range(1200)]
+    kinds = ["int", "double", "string"]
+    data = [[rng.choice([None, 0, 1, 5, -8, 99, 250]) for _ in cols] for _ in range(12)]
+    typed = [[None if x is None else (int(x), float(x), rng.choice([str(x), "x", f"{x}.5"]))[k % 3] for k, x in enumerate(row)] for row in data]
+    df = frame(spark, typed, ", ".join(f"{c} {kinds[k % 3]}" for k, c in enumerate(cols)))
+    rules = [{"var": rng.choice([*cols, "absent"]), "min": rng.choice([None, 1.0, 0.5]), "max": rng.choice([None, 90.0, 99.0]),
+              "special_code": rng.choice([None, "-8", "-8@99", "95"])} for _ in range(5000)]
+    many = C.check_range(df, rules)
+    assert many._jdf.queryExecution().executedPlan().toString().count("Scan") == 1
+    few = rules[:90]
+    want = reasons(C.check_range(df, few))
+    monkeypatch.setattr(C, "RULES_AS_DATA", 0)
+    assert reasons(C.check_range(df, few)) == want != []
+    assert reasons(C.findings(df, [*C.range_checks(df, few), *C.multi_response_checks(df, [{"muti_item": "absent", "max": 1}], [])])) == want
+
+    def plain(row, r):
+        if r["var"] not in cols or (x := row[cols.index(r["var"])]) is None:
+            return False
+        try:
+            x = float(x)
+        except ValueError:
+            return False
+        out = (r["min"] is not None and x < r["min"]) or (r["max"] is not None and x > r["max"])
+        return out and x not in [float(s) for s in (r["special_code"] or "").split("@") if s]
+
+    assert len(reasons(many)) == sum(plain(row, r) for row in typed for r in rules) > 5000
+
+
+def test_phones_seen_as_good_at_once_and_cleaned_ones_agree(spark):
+    rng = random.Random(4)
+    parts = ["0", "9", "09", "12345678", "-", "#", "轉", "分", "機", "分機", "e", "ext", " ", "１", "a", "\t", "0912345678", "0912-345-678"]
+    rows = [tuple("".join(rng.choice(parts) for _ in range(rng.randrange(6))) for _ in range(4)) for _ in range(600)]
+    df = frame(spark, rows, "cell1 string, cell2 string, phone1 string, phone2 string")
+
+    def want(name, text):
+        text = text.strip()
+        if text in ("0", "-8", ""):
+            return None
+        digits = text
+        for part in ("#", "-", "轉", "分機", "ext", " "):
+            digits = digits.replace(part, "")
+        digits = digits.strip()
+        if name.startswith("phone"):
+            return None if digits.isdigit() else "號碼格式有誤，請確認"
+        if len(digits) < 10:
+            return "號碼少於10碼"
+        return None if digits.isdigit() and digits.startswith("09") else "號碼格式有誤，請確認"
+
+    got = {(i, r) for i, _, r in reasons(C.check_phone_format(df)) if not r.startswith("完全")}
+    assert got == {(i, f"{n}_{w}") for i, row in enumerate(rows, 1) for n, t in zip(C.PHONES, row) if (w := want(n, t))}
