@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.missing import is_in
-from ..functions.text import is_blank, natural_key, shown, strip
+from ..functions.text import WHITESPACE, is_blank, natural_key, shown, strip
 from ..plans import pyrules
 from ..plans.appellations import APPELLATIONS
 from ..plans.small import fence
@@ -68,9 +68,10 @@ def findings(df: DataFrame, checks: Iterable[Column], survey: str = "") -> DataF
     kinds = dict(df.select(*[c.alias(f"c{i}") for i, c in enumerate(checks)]).dtypes)
     single = [c for i, c in enumerate(checks) if not kinds[f"c{i}"].startswith("array")]
     arrays = [F.coalesce(c, F.array().cast(kinds[f"c{i}"])) for i, c in enumerate(checks) if kinds[f"c{i}"].startswith("array")]
-    found = F.array_compact(F.array(*single)) if single else None
-    rows = df.select(*base, (F.concat(*([] if found is None else [found]), *arrays) if arrays else found).alias("found"))
-    return (fence(rows, "found").select(*base, F.explode("found").alias("f"))
+    # nulls go after the explode: a filter on the array would be a lambda, and all below a lambda is interpreted
+    found = F.concat(*([F.array(*single)] if single else []), *arrays) if arrays else F.array(*single)
+    rows = df.select(*base, found.alias("found"))
+    return (fence(rows, "found").select(*base, F.explode("found").alias("f")).where("f IS NOT NULL")
             .select(F.lit(survey).alias("survey"), "no", "id", "f.content", "f.reason",
                     F.lit("").alias("reply"), "wave", F.lit("").alias("note")))
 
@@ -142,7 +143,7 @@ def _phone_digits(raw: Column) -> Column:
     out = F.translate(raw, "#-轉", "")
     for word in ("分機", "ext", " "):
         out = F.replace(out, F.lit(word), F.lit(""))
-    return strip(out)
+    return F.btrim(out, F.lit(WHITESPACE))
 
 
 def phone_checks(df: DataFrame, errors: list[str] | None = None) -> Checks:
@@ -162,21 +163,16 @@ def _phone_check(v: str) -> Column:
     def finding(raw: Column, reason: str) -> Column:
         return F.struct(F.concat(F.lit(f"{v}="), raw).alias("content"), F.lit(f"{v}_{reason}").alias("reason"))
 
-    def judged(raw: Column) -> Column:
-        def of_digits(digits: Column) -> Column:
-            malformed = finding(raw, "號碼格式有誤，請確認")
-            if v.startswith("phone"):
-                return F.when(~digits.rlike(r"\A\p{Nd}+\z"), malformed)
-            # one test lets every good number pass
-            return F.when(~digits.rlike(r"\A09\p{Nd}{8,}\z"),
-                          F.when(F.length(digits) < 10, finding(raw, "號碼少於10碼")).otherwise(malformed))
-
-        return _once(_phone_digits(raw), of_digits)
-
+    # plain expressions, though some are written twice: what stands in a lambda is interpreted
     raw = strip(shown(_col(v)))
+    digits, malformed = _phone_digits(raw), finding(raw, "號碼格式有誤，請確認")
+    if v.startswith("phone"):
+        bad = F.when(~digits.rlike(r"\A\p{Nd}+\z"), malformed)
+    else:  # one test lets every good number pass
+        bad = F.when(~digits.rlike(r"\A09\p{Nd}{8,}\z"), F.when(F.length(digits) < 10, finding(raw, "號碼少於10碼")).otherwise(malformed))
     # numbers written as most are need no cleaning to be seen as good, whatever symbols are taken out
     good = r"\A(?:[-# 轉]|分機|ext)*+[0-9](?:[-# 轉0-9]|分機|ext)*+\z" if v.startswith("phone") else r"\A09(?:-?[0-9]){8,}+\z"
-    return F.when(~(raw.isin("0", "-8", "") | raw.rlike(good)), _once(raw, judged))
+    return F.when(~(raw.isin("0", "-8", "") | raw.rlike(good)), bad)
 
 
 def _once(value: Column, then: Callable[[Column], Column]) -> Column:
