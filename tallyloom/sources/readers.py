@@ -1,8 +1,9 @@
 """Readers. Schemas are explicit, so no reader scans a file to guess types."""
 from __future__ import annotations
 
+import csv
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -102,12 +103,45 @@ def read_handled_reports(spark: SparkSession, root: str, survey_code: str, handl
     pattern = (f"{root.rstrip('/')}/w[0-9][0-9]_檢誤報表*/{_literal(survey_code)}_問卷檢誤_w[0-9][0-9]_*_"
                f"{_literal(handler)}*.{fmt}")
     named = re.compile(rf"/(w\d{{2}})_檢誤報表[^/]*/{re.escape(survey_code)}_問卷檢誤_\1_\d+_{re.escape(handler)}[^/]*\.{fmt}$")
-    reports = [_read(spark, _literal(p), REPORT_SCHEMA, fmt) for p in _matching(spark, pattern) if named.search(p)]
-    if not reports:
+    paths = [p for p in _matching(spark, pattern) if named.search(p)]
+    if not paths:
         return spark.createDataFrame([], REPORT_SCHEMA)
+    literal = [_literal(p) for p in paths]
+    if fmt == "csv":
+        reports = [_typed(_quoted_empty(spark.read.schema(", ".join(f"`{c}` string" for c in columns)).options(**_CSV, multiLine=True).csv(
+            [_literal(p) for p in group])), REPORT_SCHEMA, group) for columns, group in _by_header(spark, paths).items()]
+    elif fmt == "json":
+        reports = [spark.read.schema(REPORT_SCHEMA).option("mode", "FAILFAST").json(literal)]
+    else:
+        reports = [_typed(spark.read.option("mergeSchema", True).format(fmt).load(literal), REPORT_SCHEMA, paths)]
     return reduce(DataFrame.unionByName, reports).withColumn("content", normalise_line_breaks(F.col("content")))
 
 
+def _by_header(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """The CSV files or folders by the names in their first line, so that those with one header are read by one scan. The driver reads a
+    line of each and no more; that all parts of a folder agree is checked when they are read."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(conf)
+        if fs.getFileStatus(path).isDirectory():
+            parts = [f.getPath() for f in fs.listStatus(path) if f.getLen() and not f.getPath().getName().startswith(("_", "."))]
+        else:
+            parts = [path]
+        line = None
+        if parts:
+            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(parts[0]), "UTF-8"))
+            line = reader.readLine()
+            reader.close()
+        columns = tuple(next(csv.reader([line or ""]), []))
+        absent = [f.name for f in T._parse_datatype_string(REPORT_SCHEMA).fields if f.name not in columns]
+        if absent:
+            raise ValueError(f"{p}: no column {absent}, only {list(columns)}")
+        groups.setdefault(columns, []).append(p)
+    return groups
+
+
 def read_syntax_files(spark: SparkSession, folder: str, glob: str = "*.sps") -> DataFrame:
     """(file, text), one row per syntax file."""
     return (spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True)

@@ -175,6 +175,26 @@ def test_handled_reports_by_name(spark, tmp_path):
     assert {r["content"] for r in got.collect()} == {"a\nb"}
 
 
+def test_many_reports_are_one_scan(spark, tmp_path):
+    for k in range(60):
+        folder = tmp_path / f"w{k:02d}_檢誤報表"
+        folder.mkdir()
+        (folder / f"s_問卷檢誤_w{k:02d}_1_lee.csv").write_text(f'no,id,content,reason,reply,more\nn,{k},"a\nb",r,"",x\n', encoding="utf-8")
+    got = readers.read_handled_reports(spark, str(tmp_path), "s", "lee")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Union" not in plan
+    rows = sorted(("n", str(k), "a\nb", "r", "") for k in range(60))
+    assert sorted(tuple(r) for r in got.collect()) == rows
+    for k in (3, 4):  # another order is another scan, by name all the same
+        (tmp_path / f"w{k:02d}_檢誤報表" / f"s_問卷檢誤_w{k:02d}_1_lee.csv").write_text(f'id,"no",reply,reason,content\n{k},n,"",r,"a\nb"\n', encoding="utf-8")
+    again = readers.read_handled_reports(spark, str(tmp_path), "s", "lee")
+    assert again._jdf.queryExecution().executedPlan().toString().count("FileScan") == 2
+    assert sorted(tuple(r) for r in again.collect()) == rows
+    (tmp_path / "w03_檢誤報表" / "s_問卷檢誤_w03_1_lee.csv").write_text("no,id,content,reason\n")
+    with pytest.raises(ValueError, match="no column"):
+        readers.read_handled_reports(spark, str(tmp_path), "s", "lee")
+
+
 def test_findings_are_partitioned(spark, tmp_path):
     found = spark.createDataFrame([("s", "n", 1, "c", "r", "", "w01", ""), ("s", "n", 2, "c", "r", "", "w02", "")],
                                   "survey string, no string, id long, content string, reason string, reply string, wave string, note string")
