@@ -2,6 +2,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import checks as C
+from ..operators import handled as H
+from ..plans.small import run_folder
 from .base import more, resp, table, with_resp
 
 SURVEY = "panel"
@@ -73,6 +75,15 @@ def _handled(spark, sf):
     return _found(spark, sf).filter("wave = 'w00' OR no = 'n1'")
 
 
+def _by_key_table(spark, sf):
+    """The handled keys grow by two reports, one of which comes twice; then the table is opened again."""
+    path, handled = run_folder(spark, "handled"), _handled(spark, sf)
+    name = H.open_handled(spark, path, 8)
+    for part in ("wave = 'w00'", "wave <> 'w00'", "no = 'n1'"):
+        H.add_handled(name, handled.filter(part))
+    return H.unhandled(_found(spark, sf), H.open_handled(spark, path, 8), wave="02")
+
+
 QUERIES = {
     "check_note": lambda spark, sf: C.check_note(
         more(spark, sf), NOTE_RULES, MULTI_NOTE_RULES, NOTE_PAIRS, WORK_BASES, "w01", survey=SURVEY),
@@ -111,6 +122,7 @@ QUERIES = {
             _handled(spark, sf).withColumn("id", F.lit("A12"))), wave="02"),
     "findings_report": lambda spark, sf: C.findings_report(
         _found(spark, sf), _handled(spark, sf), wave="02"),
+    "findings_report_key_table": _by_key_table,
     "findings_report_initial": lambda spark, sf: C.findings_report(
         _found(spark, sf), _handled(spark, sf), wave="00"),
 }
@@ -250,6 +262,7 @@ SQL = {
                 "CASE WHEN s2 = '-6' THEN '-6.0' ELSE 'nan' END", "x3c1_開放題未填")])),
     "findings_report_text_ids": with_resp(f"SELECT DISTINCT * FROM found WHERE {_KEPT}", _FOUND),
     "findings_report": with_resp(f"SELECT DISTINCT * FROM found WHERE {_KEPT}", _FOUND),
+    "findings_report_key_table": with_resp(f"SELECT DISTINCT * FROM found WHERE {_KEPT}", _FOUND),
     "findings_report_initial": with_resp("SELECT DISTINCT * FROM found", _FOUND),
 }
 SQL.update({f"{name}_python": SQL[name] for name in ("check_skip", "check_skip2")})
