@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import checks as C
+from ..operators import gaps as G
 from ..operators import handled as H
 from ..plans.small import run_folder
 from .base import more, resp, table, with_resp
@@ -109,6 +110,9 @@ QUERIES = {
     "remove_handled": lambda spark, sf: C.remove_handled(_found(spark, sf), _handled(spark, sf)),
     "remove_handled_all_copies": lambda spark, sf: C.remove_handled(
         _found(spark, sf), _handled(spark, sf), drop_all_copies=True),
+    "event_gaps": lambda spark, sf: G.event_gaps(
+        table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", 600, ["event_id"]).select(
+        "user_id", "event_id", "event_type", F.col("previous.event_id").alias("previous_event"), F.round("minutes", 4).alias("minutes")),
     "time_gap_slashes": lambda spark, sf: _flat(C.time_gap_report(resp(spark, sf).withColumns(
         {c: F.replace(c, F.lit("2024-01-01"), F.lit("2024/1/1")) for c in ("t1_ansTime", "t2_ansTime", "t10_ansTime")}))),
     "check_range_open_bounds": lambda spark, sf: C.check_range(resp(spark, sf), [
@@ -253,6 +257,9 @@ SQL = {
     "remove_handled": with_resp(f"SELECT * FROM found WHERE {_KEPT}", _FOUND),
     "remove_handled_all_copies": with_resp(
         f"SELECT * FROM found WHERE {_KEPT} AND reason <> 'score_數值不合理'", _FOUND),
+    "event_gaps": "SELECT user_id, event_id, event_type, previous_event, round(micros / 6e7, 4) AS minutes FROM ("
+                  "SELECT *, lag(event_id) OVER w AS previous_event, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS micros FROM events "
+                  "WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE micros / 6e7 > 600",
     "time_gap_slashes": with_resp(GAP_BODY),
     "check_range_open_bounds": with_resp(_union([
         _select("resp", "score > 90 AND score NOT IN (95, 99)", _content(["score"]), "score_數值不合理"),
