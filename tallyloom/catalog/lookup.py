@@ -5,6 +5,8 @@ from ..functions import drop_missing, exclude_codes, fill_missing_code, n_round,
 from ..functions.transcode import transcode_lossy
 from ..operators import lookup as L
 from ..operators.weighting import select_final_weight
+from ..plans.small import run_folder
+from ..sources import writers as W
 from .base import resp, table, with_resp
 
 
@@ -16,7 +18,28 @@ def _pairs(spark, sf):
         "WHEN 5 THEN 'nothing' ELSE 'kc1' END AS item")
 
 
+def _ranges(spark, sf):
+    """As many ranges as orders, of widths from one to thousands, many of them overlapping; one in fifty is the wrong way round."""
+    return table(spark, sf, "orders").selectExpr(
+        "o_orderkey * 5 AS lo", "o_orderkey * 5 + CASE WHEN o_orderkey % 50 = 0 THEN -1 WHEN o_orderkey % 997 = 0 THEN 3000 ELSE o_custkey % 9 END AS hi",
+        "o_custkey AS owner")
+
+
+def _in_ranges(spark, sf):
+    points = table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "IF(l_linenumber = 7, NULL, l_orderkey * 5 + l_linenumber) AS code")
+    return L.range_lookup(points, "code", _ranges(spark, sf))
+
+
+def _clustered(spark, sf):
+    """One respondent's answers from a table that was written for that."""
+    path = run_folder(spark, "clustered")
+    W.write_clustered(resp(spark, sf), path, "id")
+    return L.query(spark.read.parquet(path), 1234, ["id", "no", "area", "cell1"])
+
+
 QUERIES = {
+    "range_lookup": _in_ranges,
+    "query_clustered": _clustered,
     "n_round": lambda spark, sf: table(spark, sf, "customer").select(
         "c_custkey", n_round(F.col("c_acctbal") / 2).alias("rounded")),
     "query": lambda spark, sf: L.query(resp(spark, sf), 3, ["id", "area"], col="agegp"),
@@ -47,6 +70,10 @@ FROM (SELECT CASE WHEN area = 6 THEN -id ELSE id END AS id,
 LEFT JOIN resp r ON r.id = p.id"""
 
 SQL = {
+    "range_lookup": "SELECT l_orderkey, l_linenumber, code, owner FROM (SELECT *, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_orderkey * 5 + l_linenumber "
+                    "END AS code FROM lineitem) LEFT JOIN (SELECT o_orderkey * 5 AS lo, o_orderkey * 5 + CASE WHEN o_orderkey % 50 = 0 THEN -1 "
+                    "WHEN o_orderkey % 997 = 0 THEN 3000 ELSE o_custkey % 9 END AS hi, o_custkey AS owner FROM orders) ON code BETWEEN lo AND hi",
+    "query_clustered": with_resp("SELECT id, no, area, cell1 FROM resp WHERE id = 1234"),
     "n_round": "SELECT c_custkey, CASE WHEN c_acctbal / 2 - FLOOR(c_acctbal / 2) < 0.5 THEN FLOOR(c_acctbal / 2) "
                "ELSE CEIL(c_acctbal / 2) END AS rounded FROM customer",
     "query": with_resp("SELECT id, area FROM resp WHERE agegp = 3"),

@@ -38,3 +38,13 @@ def write_weight_tables(tables: DataFrame, path: str, fmt: str = "parquet",
 
 def write_codebook(book: DataFrame, path: str, mode: str = "overwrite") -> None:
     book.write.mode(mode).parquet(path)
+
+
+def write_clustered(df: DataFrame, path: str, *keys: str, mode: str = "overwrite", row_group_mb: int = 32) -> None:
+    """A table for point lookups: sorted by ``keys`` over all files, so that the bounds of files and row groups tell most lookups by the first
+    key apart, and with a Bloom filter on every key, which does so for the further ones. Filters reach both when the table is read."""
+    writer = (df.repartitionByRange(*[F.col(f"`{k}`") for k in keys]).sortWithinPartitions(*[F.col(f"`{k}`") for k in keys])
+              .write.mode(mode).option("parquet.block.size", row_group_mb * 1024 * 1024).option("parquet.bloom.filter.adaptive.enabled", True))
+    for k in keys:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{k}", True)
+    writer.parquet(path)
