@@ -23,8 +23,12 @@ KEY = ["no", "id", "content", "reason"]
 SKIPPED = -6
 COMPLETED = "完訪: 100"
 GAP_TIME_FORMAT = "yyyy/MM/dd HH:mm:ss"
-# the forms of an answer time besides ISO, tried in this order
-TIME_FORMATS = ("yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "yyyy/M/d", "yyyyMMddHHmmss")
+# the forms of an answer time besides ISO: how it looks, and how it is read (with the day first: the second one)
+_CLOCK = {"": "", " +[0-9]{1,2}:[0-9]{2}": " H:mm", " +[0-9]{1,2}:[0-9]{2}:[0-9]{2}": " H:mm:ss"}
+TIME_FORMS = {**{rf"[0-9]{{4}}/[0-9]{{1,2}}/[0-9]{{1,2}}{c}": (f"yyyy/M/d{f}",) * 2 for c, f in _CLOCK.items()},
+              **{rf"[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}{c}": (f"M/d/yyyy{f}", f"d/M/yyyy{f}") for c, f in _CLOCK.items()},
+              "[0-9]{14}": ("yyyyMMddHHmmss",) * 2}
+_AMBIGUOUS = r"\A0?([1-9]|1[0-2])/(?!0?\1/)0?([1-9]|1[0-2])/[0-9]{4}(?![0-9])"
 
 Checks = list[Column]
 
@@ -452,25 +456,29 @@ def answer_times(df: DataFrame) -> DataFrame:
             .select(*base, *[_col(c) for c in answer_time_columns(df)]))
 
 
-def _time(col: Column) -> Column:
-    """An answer time in any of the known forms, NULL if it has none of them."""
+def _time(col: Column, day_first: bool) -> Column:
+    """An answer time in any of the known forms, NULL if it has none of them. What it looks like tells the form, so a value is parsed once."""
     text = strip(col.cast("string"))
-    return F.coalesce(text.try_cast("timestamp_ntz"),
-                      *[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in TIME_FORMATS])
+    out = F.when(text.rlike(r"\A[0-9]{4}-"), text.try_cast("timestamp_ntz"))
+    for looks, forms in TIME_FORMS.items():
+        single = F.regexp_replace(text, " +", " ") if "+" in looks else text
+        out = out.when(text.rlike(rf"\A{looks}\z"), F.try_to_timestamp(single, F.lit(forms[day_first])).cast("timestamp_ntz"))
+    return out.otherwise(text.try_cast("timestamp_ntz"))
 
 
-def time_gap_report(df: DataFrame, threshold_minutes: float = 10) -> DataFrame:
+def time_gap_report(df: DataFrame, threshold_minutes: float = 10, day_first: bool = False) -> DataFrame:
     """One row per completed interview: does any pair of neighbouring answer times lie more
     than the threshold apart, and which pairs.
 
     The times of one interview stand in one row, so neighbours are compared there: no
     unpivot, window or shuffle. An unreadable time breaks the pairs on both sides and is counted in ``unreadable``.
+    ``3/4/2024`` is read with the month first, or with the day first if told so; :func:`ambiguous_times` counts such times.
     """
     cols = answer_time_columns(df)
     done = answer_times(df)
     base = [c for c in done.columns if c not in cols]
     given = F.array(*[~is_blank(_col(c)) for c in cols]) if cols else F.array().cast("array<boolean>")
-    times = F.array(*[_time(_col(c)) for c in cols]) if cols else F.array().cast("array<timestamp_ntz>")
+    times = F.array(*[_time(_col(c), day_first) for c in cols]) if cols else F.array().cast("array<timestamp_ntz>")
     parsed = done.select(*base, times.alias("times"), given.alias("given"))
     unreadable = F.size(F.filter(F.arrays_zip("times", "given"), lambda x: x["given"] & x["times"].isNull()))
     gaps = []
@@ -486,6 +494,14 @@ def time_gap_report(df: DataFrame, threshold_minutes: float = 10) -> DataFrame:
             .select(*base, (F.size("details") > 0).alias("flag"), "details", "unreadable"))
 
 
+def ambiguous_times(df: DataFrame) -> DataFrame:
+    """``variable``, ``n``: how many answer times of each column of the completed interviews are other days if the day stands first."""
+    done, cols = answer_times(df), answer_time_columns(df)
+    counts = [F.struct(F.lit(c).alias("variable"), F.count_if(strip(_col(c).cast("string")).rlike(_AMBIGUOUS)).alias("n")) for c in cols]
+    none = F.array().cast("array<struct<variable:string,n:bigint>>")
+    return done.agg(F.count(F.lit(1)), (F.array(*counts) if counts else none).alias("t")).select(F.inline("t"))
+
+
 # ------------------------------------------------------------------------ reports
 
 def remove_handled(now: DataFrame, handled: DataFrame, drop_all_copies: bool = False) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.missing import exclude_codes, is_in, typed_codes
 from ..functions.numeric import is_numeric, level_label, n_round
 from ..plans.presets import crosstab_variables, rolling_variables
+from ..plans.small import materialize
 
 FILL_CODE = "99"
 OTHER = "other"  # the column of the categories that a given list leaves out
@@ -177,10 +178,15 @@ def crosstab_long(df: DataFrame, row_vars: Sequence[str], column: str,
                     F.try_divide(F.col("value").cast("double"), F.col("col_total")).alias("col_pct")))
 
 
+MAX_CATEGORIES = 5000  # columns that one table can have
+
+
 def _categories(df: DataFrame, column: str, cells: DataFrame) -> list[str]:
     """Category labels in value order. They become columns, so they are read from the aggregated cells to the plan; a
     table with more categories than a plan can hold is one for ``crosstab_long``."""
-    labels = [r[0] for r in cells.select("category").distinct().collect()]
+    labels = [r[0] for r in cells.select("category").distinct().limit(MAX_CATEGORIES + 1).collect()]
+    if len(labels) > MAX_CATEGORIES:
+        raise ValueError(f"{column!r} has more than {MAX_CATEGORIES} categories: name those wanted, or use crosstab_long")
     return sorted(labels, key=float) if is_numeric(df.schema[column].dataType) else sorted(labels)
 
 
@@ -234,7 +240,8 @@ def _counted(df, row_vars, column, weight, colmissing, categories) -> tuple[Data
     """Cells and the categories that become columns. With a given list all other categories share the column
     ``other``, so the columns always sum to ``n``."""
     cells = crosstab_cells(df, row_vars, column, weight, colmissing)
-    if categories is None:
+    if categories is None:  # the cells are read for the list and for the table: the data itself once
+        cells = materialize(cells, "crosstab-cells")
         return cells, _categories(df, column, cells)
     listed = [str(c) for c in categories]
     if OTHER in listed:

@@ -1,6 +1,7 @@
 """Small tables and lineage cuts."""
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
@@ -23,9 +24,30 @@ def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Da
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors reach: ``spark.checkpoint.dir``, the checkpoint folder of the session, or
-    the warehouse."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-            or spark.conf.get("spark.sql.warehouse.dir"))
+    the warehouse. On a cluster a warehouse on the local disk is none, and an error."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if given:
+        return given
+    warehouse, master = spark.conf.get("spark.sql.warehouse.dir"), spark.sparkContext.master
+    if re.match(r"file:|/", warehouse) and not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that driver and executors share: {warehouse} is local to a machine of {master}")
+    return warehouse
+
+
+_written: list[str] = []  # what materialize wrote for this driver
+
+
+def clear_written(spark: SparkSession) -> int:
+    """Delete the files of all frames that were materialized so far, which cannot be read after that; their number."""
+    count = len(_written)
+    while _written:
+        _delete(spark, _written.pop())
+    return count
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
@@ -35,8 +57,10 @@ def run_folder(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends in files, so a
-    lost executor costs a re-read and not a recomputation. The files stay, as the result may be read any time."""
+    lost executor costs a re-read and not a recomputation. The files stay, as the result may be read any time, until
+    :func:`clear_written`."""
     path = run_folder(df.sparkSession, name)
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -50,8 +74,7 @@ def scratch(df: DataFrame, name: str) -> Iterator[DataFrame]:
         df.write.parquet(path)
         yield spark.read.schema(df.schema).parquet(path)
     finally:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(spark, path)
 
 
 def fence(df: DataFrame, col: str) -> DataFrame:

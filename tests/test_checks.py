@@ -149,6 +149,22 @@ def test_time_gaps(spark):
     assert not out[2]["flag"] and not out[3]["flag"] and out[3]["details"] == []
 
 
+def test_time_forms(spark):
+    forms = {"2024-03-04 05:06:07": True, "2024/3/4 5:06:07": True, "2024/03/04  5:06": False, "20240304050607": True, " 2024-03-04T05:06:07　": True,
+             "2024/3/4": False, "3/4/2024 5:06:07": True, "03/04/2024 05:06": False, "3/4/2024": False, "13/4/2024 5:06": None, "2024/13/4": None,
+             "noon": None, "": None, "2024/3/4 x": None}
+    df = spark.createDataFrame([(t,) for t in forms], "t string")
+    got = {r["t"]: r["m"] and str(r["m"]) for r in df.select("t", C._time(F.col("t"), False).alias("m")).collect()}
+    for text, full in forms.items():
+        clock = "05:06:07" if full else "05:06:00" if ":06" in text else "00:00:00"
+        assert got[text] == (None if full is None else f"2024-03-04 {clock}"), text
+    day = {r["t"]: r["m"] and str(r["m"]) for r in df.select("t", C._time(F.col("t"), True).alias("m")).collect()}
+    assert day["3/4/2024 5:06:07"] == "2024-04-03 05:06:07" and day["13/4/2024 5:06"] == "2024-04-13 05:06:00"
+    assert {t for t in forms if got[t] != day[t]} == {"3/4/2024 5:06:07", "03/04/2024 05:06", "3/4/2024", "13/4/2024 5:06"}
+    done = df.selectExpr("1 AS no", "1 AS id", f"'{C.COMPLETED}' AS status", "t AS a_ansTime", "'4/04/2024 1:00' AS b_ansTime")
+    assert [tuple(r) for r in C.ambiguous_times(done).collect()] == [("a_ansTime", 3), ("b_ansTime", 0)]
+
+
 FOUND = "survey string, no string, id long, content string, reason string, reply string, wave string, note string"
 
 

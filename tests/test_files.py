@@ -267,3 +267,31 @@ def test_query_and_literal(spark):
     df = spark.createDataFrame([(1, "a?"), (2, "b")], "id int, t string")
     assert L.query(df, 2, "t").collect()[0][0] == "b"
     assert [r[0] for r in L.find_literal(df, "t").collect()] == [1]
+
+
+def test_materialized_files_go_when_told(spark):
+    df = small.materialize(spark.range(5), "test")
+    assert df.count() == 5 and small.clear_written(spark) >= 1 and small.clear_written(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
+        spark.read.parquet(df.inputFiles()[0])
+
+
+def test_a_local_warehouse_is_no_shared_folder(spark):
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.sql.warehouse.dir": "file:/tmp/w"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master = "local[4]"
+
+            @staticmethod
+            def getCheckpointDir():
+                return None
+
+    assert small.shared_folder(Session()) == "file:/tmp/w"
+    Session.sparkContext.master = "yarn"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        small.shared_folder(Session())

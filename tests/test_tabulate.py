@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
 from tallyloom.functions import n_round
@@ -96,3 +97,12 @@ def test_text_columns_with_numeric_codes(spark):
     df = spark.createDataFrame([("95",), ("a",), (None,)], "c string")
     assert {r["value"]: r["row_kind"] for r in T.freq_table(df, "c", missing=[95, "a"]).collect()}["95"] == "valid"
     assert T.crosstab(df.selectExpr("c", "1 AS g"), "g", "c", colmissing=[95]).first()["n"] == 3
+
+
+def test_too_many_categories_are_an_error(spark, monkeypatch):
+    from tallyloom.operators import tabulate
+    monkeypatch.setattr(tabulate, "MAX_CATEGORIES", 3)
+    df = spark.range(20).selectExpr("id % 2 AS a", "id % 4 AS b", "id % 3 AS c")
+    assert tabulate.crosstab(df, "a", "c").count() == 3
+    with pytest.raises(ValueError, match="crosstab_long"):
+        tabulate.crosstab(df, "a", "b")
