@@ -7,11 +7,14 @@ as the line separator. A record of 16 MiB or more is followed by an empty member
 Reading cuts byte ranges at the gzip magic: a task owns the candidates that start inside its range, the last of
 which may reach beyond it. A candidate counts as a member only if its header decodes. The magic can also occur inside
 compressed data; such a false start is glued back to the member before it. Where that member began in an earlier
-range, its parts meet in a grouping by file; these fragments are the only rows that are shuffled.
+range, its parts meet in a grouping by file; these fragments are the only rows that are shuffled. Bytes that belong to no
+whole member, and records without a type or a length, are rows of type ``damaged``.
+
+Files whose names end in ``.gz`` are cut like others: see ``_RAW_GZ``.
 
 Edge cases: a null html is an empty payload; a null url gives an empty target; a null id is written as ``null`` and
 read back as null; repeated rows with the largest id are all responses; an empty table gives an empty archive,
-read back as an empty table; members that are not WARC records are skipped.
+read back as an empty table; whole members that are not WARC records are skipped; names of header fields are read in any case.
 """
 from __future__ import annotations
 
@@ -25,11 +28,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom.llm.arrow import small_batches
+from tallyloom.llm.common import broadcast_below
+from tallyloom.plans.small import scratch
 
 MAGIC = b"\x1f\x8b\x08"
 RECORD = "page_id bigint, record_type string, target_uri string, payload_digest string, payload_bytes bigint, " \
          "refers_to bigint, payload binary"
+DAMAGED = "damaged"
 _EMPTY_MEMBER = zlib.compress(b"", wbits=31)
+#: The text source decompresses ``.gz`` files by their names and then cannot cut them. Hadoop looks a name up by the nearest known
+#: ending before its own, read from behind, so one further ending next to ``.gz`` hides it: such files are read as they are, in ranges.
+#: Spark's shaded Hadoop client has the option under a longer name.
+_RAW_GZ = {"io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec",
+           "io.compress.passthrough.extension": ".\x01.gz",
+           "org.apache.hadoop.shaded.io.compress.passthrough.extension": ".\x01.gz"}
 
 
 def member(data: bytes) -> bytes:
@@ -57,7 +69,8 @@ def record_bytes(page_id: int | None, url: str, payload: bytes, refers_to: int |
 def write_warc(pages: DataFrame, path: str, min_payload: int = 0, date: str = "1970-01-01T00:00:00Z", key: str = "page_id",
                url: str = "url", html: str = "html") -> None:
     """Write a record per row to gzip files under ``path``. Of equal payloads of ``min_payload`` bytes or more the row
-    with the largest id is the response. Only ids and digests are grouped by payload, never the payloads."""
+    with the largest id is the response. Only ids and digests are grouped by payload; the revisits are written to the shared
+    folder and, up to a counted size, broadcast, so payloads stay where they are read."""
     small_batches(pages.sparkSession)
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
     rows = pages.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(url), F.lit("")).alias("url"),
@@ -67,8 +80,6 @@ def write_warc(pages: DataFrame, path: str, min_payload: int = 0, date: str = "1
               .where("n > 1 and refers_to is not null").drop("n"))
     revisits = (digests.join(copies, "digest").where("id is null or id <> refers_to")
                 .select(F.col("id").alias("r_id"), F.col("digest").alias("r_digest"), "refers_to").distinct())
-    joined = rows.join(revisits, rows["id"].eqNullSafe(F.col("r_id")) & (F.sha1("payload") == F.col("r_digest")), "left")
-
     def pack(ids: pa.Array, urls: pa.Array, payloads: pa.Array, refers: pa.Array) -> pa.Array:
         out = []
         for i, u, p, r in zip(ids, urls, payloads, refers):
@@ -77,7 +88,10 @@ def write_warc(pages: DataFrame, path: str, min_payload: int = 0, date: str = "1
         return pa.array(out, pa.binary())
 
     packed = F.arrow_udf(pack, "binary")("id", "url", "payload", "refers_to")
-    joined.select(packed.cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+    with scratch(revisits, "warc-revisits") as known:
+        same = rows["id"].eqNullSafe(F.col("r_id")) & (F.sha1("payload") == F.col("r_digest"))
+        (rows.join(broadcast_below(known), same, "left").select(packed.cast("string").alias("value"))
+         .write.option("lineSep", "\0").text(path))
 
 
 def _head(candidate: bytes) -> str:
@@ -93,14 +107,21 @@ def _head(candidate: bytes) -> str:
         return "false"
 
 
-def _unpack(packed: bytes) -> bytes | None:
-    """The record, or None if the member is cut off or damaged."""
-    stream = zlib.decompressobj(31)
-    try:
-        data = stream.decompress(packed)
-    except zlib.error:
-        return None
-    return data if stream.eof else None
+def _unpack(packed: bytes) -> tuple[list[bytes], bytes]:
+    """The records among the whole members, and the bytes of a cut off or damaged member. Zeros between members are padding."""
+    records: list[bytes] = []
+    while packed:
+        stream = zlib.decompressobj(31)
+        try:
+            data = stream.decompress(packed)
+        except zlib.error:
+            break
+        if not stream.eof:
+            break
+        if data.startswith(b"WARC/"):
+            records.append(data)
+        packed = stream.unused_data.lstrip(b"\0")
+    return records, packed
 
 
 class _Range:
@@ -116,6 +137,8 @@ class _Range:
         """The member that this piece completes, if any."""
         if self.first:
             self.first = False
+            if piece.strip(b"\0"):
+                self.leading.append(piece)
             return None
         candidate = MAGIC + piece
         kind = _head(candidate)
@@ -150,19 +173,30 @@ def _id(uri: str | None) -> int | None:
     return int(text) if text.lstrip("-").isdigit() else None
 
 
+def _damaged(data: bytes) -> tuple:
+    return None, DAMAGED, None, None, len(data), None, data
+
+
 def parse_record(data: bytes) -> tuple:
-    """The columns of ``RECORD``. A response's digest and size are those of its payload as read."""
+    """The columns of ``RECORD``. A response's digest and size are those of its payload as read; a damaged one's payload and size
+    are those of the whole record."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-    block = rest[:int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    if fields["WARC-Type"] == "revisit":
-        sizes = [x.split(b":", 1)[1] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-        digest, size, payload = fields.get("WARC-Payload-Digest", "").removeprefix("sha1:"), int(sizes[0]) if sizes else None, None
+    lines = (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])
+    fields = {name.strip().lower(): value.strip() for name, _, value in lines}
+    kind, size = fields.get("warc-type", "").lower(), fields.get("content-length", "")
+    if not kind or not (size.isascii() and size.isdigit()) or int(size) > len(rest):
+        return _damaged(data)
+    payload, http = rest[:int(size)], b""
+    if kind in ("response", "revisit") or fields.get("content-type", "").lower().startswith("application/http"):
+        http, _, payload = payload.partition(b"\r\n\r\n")
+    if kind == "revisit":
+        sizes = [x.split(b":", 1)[1].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+        digest, payload = fields.get("warc-payload-digest", "").removeprefix("sha1:"), None
+        length = int(sizes[0]) if sizes and sizes[0].isdigit() else None
     else:
-        digest, size = base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload)
-    return (_id(fields.get("WARC-Record-ID")), fields["WARC-Type"], fields.get("WARC-Target-URI"), digest, size,
-            _id(fields.get("WARC-Refers-To")), payload)
+        digest, length = base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload)
+    return (_id(fields.get("warc-record-id")), kind, fields.get("warc-target-uri"), digest, length,
+            _id(fields.get("warc-refers-to")), payload)
 
 
 def _records(rows: list[tuple]) -> pa.RecordBatch:
@@ -173,11 +207,12 @@ def _records(rows: list[tuple]) -> pa.RecordBatch:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows, size = [], 0
-    for _, packed, _ in _ranges(batches):
-        data = _unpack(packed) if packed is not None else None
-        if data is not None:
-            rows.append(parse_record(data))
-            size += len(data)
+    for _, packed, last in _ranges(batches):
+        records, rest = _unpack(packed) if packed is not None else ([], b"")
+        rows += map(parse_record, records)
+        if rest and not last:  # what the end of a range cuts off may go on in the next
+            rows.append(_damaged(rest))
+        size += sum(map(len, records)) + len(rest)
         if len(rows) >= 500 or size > 8 << 20:
             yield _records(rows)
             rows, size = [], 0
@@ -194,8 +229,8 @@ def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [(now.file, now.start, k, x) for k, x in enumerate(now.leading)]
         if now.parts is not None:
             found.append((now.file, now.start, -2, b""))
-        if packed is not None and _unpack(packed) is None:
-            found.append((now.file, now.end, -1, packed))
+        if packed is not None and (rest := _unpack(packed)[1]):
+            found.append((now.file, now.end, -1, rest))
         if found:
             yield pa.record_batch([pa.array(x) for x in zip(*found)], ["file", "at", "seq", "part"])
 
@@ -203,29 +238,33 @@ def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _glue(parts: pd.DataFrame) -> pd.DataFrame:
     """The records of one file whose parts lie in several ranges: the cut-off end of one, the parts that lead the next
     ones, up to a range that holds a member. Ranges without a row lie inside a part."""
-    rows = []
-    open_part = None
+    rows: list[tuple] = []
+    run: list[bytes] = []
+
+    def close() -> None:
+        records, rest = _unpack(b"".join(run))
+        rows.extend(map(parse_record, records))
+        if rest:
+            rows.append(_damaged(rest))
+        run.clear()
+
     # a cut-off end stands before what begins at the same place
-    for _, seq, part in parts.assign(k=parts.seq.replace({-1: -3, -2: 1 << 40})).sort_values(["at", "k"])[
-            ["at", "seq", "part"]].itertuples(index=False):
-        if seq == -1:
-            open_part = part
-        elif seq == -2:
-            open_part = None
-        elif open_part is not None:
-            open_part += part
-            data = _unpack(open_part)
-            if data is not None:
-                rows.append(parse_record(data))
-                open_part = None
+    for seq, part in parts.assign(k=parts.seq.replace({-1: -3, -2: 1 << 40})).sort_values(["at", "k"])[
+            ["seq", "part"]].itertuples(index=False):
+        if seq < 0:
+            close()
+        if seq != -2:
+            run.append(part)
+    close()
     return pd.DataFrame(rows, columns=[f.split()[0] for f in RECORD.split(", ")])
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records under ``path``: ``page_id``, ``record_type``, ``target_uri``, ``payload_digest``, ``payload_bytes``,
-    ``refers_to`` and ``payload`` (null for a revisit)."""
+    ``refers_to`` and ``payload`` (null for a revisit). ``record_type`` is ``damaged`` for bytes that are no whole member or
+    record; their number and the bytes are in ``payload_bytes`` and ``payload``."""
     small_batches(spark)
-    pieces = (spark.read.option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).text(path)
+    pieces = (spark.read.options(**_RAW_GZ).option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).text(path)
               .select(F.col("value").cast("binary").alias("piece"), "_metadata.file_path", "_metadata.file_block_start",
                       "_metadata.file_block_length"))
     cut = pieces.mapInArrow(_fragments, "file string, at bigint, seq bigint, part binary")

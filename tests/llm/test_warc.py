@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
+from helpers import F
 
 from tallyloom.llm import warc
 from tallyloom.plans.small import run_folder
@@ -90,6 +91,66 @@ def test_magic_inside_members(spark, small_ranges, tmp_path, size):
     assert read(spark, f"file://{tmp_path}/in") == sorted(rows, key=str)
 
 
+def archive(records):
+    return b"".join(zlib.compress(r, wbits=31) for r in records)
+
+
+def answers(n, seed=1):
+    rng = random.Random(seed)
+    payloads = [bytes(rng.randrange(256) for _ in range(rng.randrange(3000))) for _ in range(n)]
+    rows = [(i, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "response", None) for i, p in enumerate(payloads)]
+    return [warc.record_bytes(i, "u", p, None, False, "d") for i, p in enumerate(payloads)], rows
+
+
+@pytest.mark.parametrize("name", ["a.warc.gz", "CC-MAIN-0001.gz", "a.gz", "x.WARC.gz", "1.gz", "-.gz"])
+def test_names_that_end_in_gz(spark, small_ranges, tmp_path, name):
+    """They are neither decompressed by their names nor read in one piece."""
+    records, rows = answers(40)
+    os.makedirs(tmp_path / "in")
+    (tmp_path / "in" / name).write_bytes(archive(records))
+    small_ranges(4000)
+    found = warc.read_warc(spark, f"file://{tmp_path}/in")
+    assert read(spark, f"file://{tmp_path}/in") == sorted(rows, key=str)
+    raw = spark.read.options(**warc._RAW_GZ).text(f"file://{tmp_path}/in")
+    assert raw.select(F.spark_partition_id()).distinct().count() > 5
+    assert found.columns == [f.split()[0] for f in warc.RECORD.split(", ")]
+
+
+@pytest.mark.parametrize("size", [700, 4000, 1 << 20])
+def test_damaged_members_are_counted(spark, small_ranges, tmp_path, size):
+    """Bytes changed in the body, in the magic's method or cut off at the end: each is one row, and no other record suffers."""
+    records, rows = answers(30)
+    packed = [bytearray(zlib.compress(r, wbits=31)) for r in records]
+    packed[4][len(packed[4]) // 2] ^= 0xFF
+    packed[11][3] |= 0xE0  # reserved flags: the header does not decode
+    packed[29] = packed[29][:-9]
+    os.makedirs(tmp_path / "in")
+    (tmp_path / "in" / "a.warc.gz").write_bytes(b"".join(packed))
+    small_ranges(size)
+    got = warc.read_warc(spark, f"file://{tmp_path}/in").collect()
+    assert sorted(r["page_id"] for r in got if r["record_type"] == "response") == [i for i in range(30) if i not in (4, 11, 29)]
+    bad = [r for r in got if r["record_type"] == warc.DAMAGED]
+    assert sorted(bytes(r["payload"]) for r in bad) == sorted(bytes(packed[k]) for k in (4, 11, 29))
+    assert all(r["payload_bytes"] == len(r["payload"]) and r["page_id"] is None for r in bad)
+
+
+def test_headers_in_any_case_and_other_types():
+    block = b"HTTP/1.1 200 OK\r\n\r\nhello"
+    lower = b"WARC/1.0\r\nwarc-type:response\r\nwarc-record-id: <urn:x-page:7>\r\nCONTENT-LENGTH: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    assert warc.parse_record(lower)[:2] == (7, "response") and warc.parse_record(lower)[-1] == b"hello"
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Type: application/warc-fields\r\nContent-Length: 9\r\n\r\na: 1\r\n\r\nb\r\n\r\n"
+    assert warc.parse_record(info)[1] == "warcinfo" and warc.parse_record(info)[-1] == b"a: 1\r\n\r\nb"
+    for broken in (b"WARC/1.0\r\nWARC-Type: response\r\n\r\nx", b"WARC/1.0\r\nContent-Length: 1\r\n\r\nx", b"WARC/1.0",
+                   b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 50\r\n\r\nx", lower.replace(b"CONTENT-LENGTH: ", b"Content-Length: -")):
+        assert warc.parse_record(broken) == (None, "damaged", None, None, len(broken), None, broken)
+
+
+def test_revisits_point_to_the_largest_id(spark):
+    path = write(spark, [(i, "u", "same" if i % 2 else str(i)) for i in range(20)])
+    revisits = warc.read_warc(spark, path).where("record_type = 'revisit'")
+    assert {(r["page_id"], r["refers_to"]) for r in revisits.collect()} == {(i, 19) for i in range(1, 19, 2)}
+
+
 def test_members_end_in_zero():
     for size in (0, 1, 1000, (1 << 24) - 1, 1 << 24, 1 << 25):
         packed = warc.member(b"a" * size)
