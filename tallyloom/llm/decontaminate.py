@@ -3,31 +3,34 @@
 Both sides are reduced to lower-case words joined by one space. An item of n characters may differ by
 k = n * ``error_rate`` edits, so it is cut into k + 1 pieces, of which one must stand unchanged in a document that
 holds the item. All pieces are sought in one scan of the document; around every hit the item is verified by
-Myers' bit-parallel distance, with a free start and end.
+Myers' bit-parallel distance, with a free start and end. An item too short for an edit must stand as whole words.
 
-The benchmark is the stated query set. It goes to the tasks in blocks of at most about ``BLOCK_CHARS`` characters,
-as many as it needs; documents are never moved.
+The benchmark is the stated query set. It goes to the tasks in blocks of at most about ``BLOCK_CHARS`` characters. A pass over the
+documents holds up to ``PASS_BLOCKS`` of them, whose indexes a worker builds once; a larger benchmark takes as many passes as it
+needs, with the documents and what was found so far written between them. Documents are never shuffled.
 
-Edge cases: a null or empty text holds no item; a null, empty or wordless item is in no document; items that
-repeat under one id count once; equal documents get equal rows; an empty table on either side gives no leak; an input
+Edge cases: ids of items may be of any type that has an order; a null or empty text holds no item; a null, empty or wordless item is
+in no document; items that repeat under one id count once; equal documents get equal rows; an empty table on either side gives no leak; an input
 column named ``leaks`` is replaced.
 """
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyloom.llm.arrow import small_batches
+from tallyloom.plans.small import materialize
 
 ERROR_RATE = 0.08
 BLOCK_CHARS = 4_000_000
-LEAKS_TYPE = "array<struct<item_id:bigint,distance:int>>"
-_LEAK = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
+PASS_BLOCKS = 4
 _WORDS = re.compile(r"[^\W_]+")
 
 
@@ -74,10 +77,10 @@ def bit_masks(pattern: str) -> dict[str, int]:
 class ItemIndex:
     """The pieces of a block of items in one automaton."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float):
+    def __init__(self, items: list[tuple], error_rate: float):
         self.items = {n: (i, n, int(len(n) * error_rate), bit_masks(n))
                       for i, n in sorted(((i, normal(t)) for i, t in items), reverse=True) if n}
-        self.by_text: dict[str, list[int]] = defaultdict(list)
+        self.by_text: dict[str, list] = defaultdict(list)
         for i, t in set((i, normal(t)) for i, t in items):
             self.by_text[t].append(i)
         owners: dict[str, list] = defaultdict(list)
@@ -96,6 +99,8 @@ class ItemIndex:
         for end, (size, own) in self.automaton.iter(body) if self.automaton and body else ():
             for (_, item, budget, masks), at in own:
                 start = end + 1 - size - at  # where the item would start without edits
+                if not budget and f" {body[max(0, start - 1):end + 2].strip()} " != f" {item} ":
+                    continue
                 if best.get(item) == 0 or (item, start) in tried:
                     continue
                 tried.add((item, start))
@@ -103,16 +108,29 @@ class ItemIndex:
                 distance = 0 if item in window else myers(item, masks, window) if budget else 1
                 if distance <= budget and distance < best.get(item, budget + 1):
                     best[item] = distance
-        found: dict[int, int] = {}
+        found: dict = {}
         for item, distance in best.items():
             for i in self.by_text[item]:
                 found[i] = min(distance, found.get(i, distance))
         return [{"item_id": i, "distance": d} for i, d in sorted(found.items())]
 
 
-@lru_cache(maxsize=4)
-def _index(items: tuple, error_rate: float) -> ItemIndex:
-    return ItemIndex(list(items), error_rate)
+class _Block:
+    """A broadcast block of items under a name of its own, by which a worker finds the index it has built."""
+
+    def __init__(self, items):
+        self.items, self.name = items, uuid.uuid4().hex
+
+    def __eq__(self, other) -> bool:
+        return self.name == other.name
+
+    def __hash__(self) -> int:
+        return hash(self.name)
+
+
+@lru_cache(maxsize=PASS_BLOCKS)
+def _index(block: _Block, error_rate: float) -> ItemIndex:
+    return ItemIndex(list(block.items.value), error_rate)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id",
@@ -120,19 +138,31 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_k
     """``docs`` with ``leaks``: the benchmark items it holds and their edit distances."""
     spark = docs.sparkSession
     small_batches(spark)
-    items = benchmark.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t")).where(
-        "i is not null and t is not null")
+    items = benchmark.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
+    kind = items.schema["i"].dataType
+    leaks_type = f"array<struct<item_id:{kind.simpleString()},distance:int>>"
+    leak = pa.list_(pa.struct([("item_id", to_arrow_type(kind)), ("distance", pa.int32())]))
     chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
 
-    def search(block: int):
-        own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
-        shared = spark.sparkContext.broadcast(tuple(sorted((r["i"], r["t"]) for r in own.toLocalIterator())))
+    def search(number: int):
+        own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == number)
+        block = _Block(spark.sparkContext.broadcast(tuple(sorted((r["i"], r["t"]) for r in own.toLocalIterator()))))
+        held.append(block.items)
 
         def find(texts: pa.Array) -> pa.Array:
-            index = _index(shared.value, error_rate)
-            return pa.array([index.find(t.as_py()) for t in texts], _LEAK)
-
-        return F.arrow_udf(find, LEAKS_TYPE)(F.col(text))
-
-    return docs.withColumn("leaks", F.concat(*[search(b) for b in range(blocks)]))
+            index = _index(block, error_rate)
+            return pa.array([index.find(t.as_py()) for t in texts], leak)
+
+        return F.arrow_udf(find, leaks_type)(F.col(text))
+
+    found, held = docs, []
+    for start in range(0, blocks, PASS_BLOCKS):
+        before = [F.col("leaks")] if start else []
+        now = F.concat(*before, *[search(b) for b in range(start, min(start + PASS_BLOCKS, blocks))])
+        found = found.withColumn("leaks", now)
+        if start + PASS_BLOCKS < blocks:
+            found = materialize(found, "leaks")
+            while held:
+                held.pop().unpersist()
+    return found

@@ -1,6 +1,6 @@
 import random
 
-from helpers import check_odd, docs
+from helpers import F, check_odd, docs
 
 from tallyloom.llm import decontaminate as D
 
@@ -45,7 +45,9 @@ def test_search_against_brute_force(spark):
         want = {}
         for i, item in items:
             n = D.normal(item)
-            if n and (d := edit_inside(n, D.normal(t))) <= int(len(n) * D.ERROR_RATE):
+            budget = int(len(n) * D.ERROR_RATE)
+            whole = budget or f" {n} " in f" {D.normal(t)} "
+            if n and whole and (d := edit_inside(n, D.normal(t))) <= budget:
                 want[i] = min(d, want.get(i, d))
         assert got[k] == set(want.items()), t
 
@@ -59,6 +61,38 @@ def test_blocks_of_items_agree(spark, monkeypatch):
     assert whole == parts and all(any(x["item_id"] == k for x in v) for k, v in parts.items())
 
 
+def test_short_items_are_whole_words(spark):
+    bench = spark.createDataFrame([(1, "cat"), (2, "a cat"), (3, "no one")], "item_id long, text string")
+    rows = [(1, "we concatenate"), (2, "Cat!"), (3, "bobcat cat"), (4, "a cats"), (5, "cat"), (6, "a cat a cat"), (7, "say no one")]
+    got = {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in D.find_leaks(docs(spark, rows), bench).collect()}
+    assert got == {1: [], 2: [1], 3: [1], 4: [], 5: [1], 6: [1, 2], 7: [3]}
+
+
+def test_ids_of_items_keep_their_type(spark):
+    rows = docs(spark, [(1, "so what is the capital of the country then"), (2, "nothing")])
+    for kind, ids in (("string", ["hs-1", "hs-2"]), ("int", [1, 2]), ("date", None)):
+        values = [(f"2020-01-0{k}",) for k in (1, 2)] if ids is None else [(x,) for x in ids]
+        bench = spark.createDataFrame([(*v, t) for v, t in zip(values, ("what is the capital of the country", "something else"))],
+                                      f"item_id {'string' if ids is None else kind}, text string")
+        bench = bench.withColumn("item_id", F.col("item_id").cast(kind))
+        found = D.find_leaks(rows, bench)
+        assert found.schema["leaks"].dataType.elementType["item_id"].dataType.simpleString() == kind
+        first = bench.where("text like 'what%'").first()["item_id"]
+        assert {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in found.collect()} == {1: [first], 2: []}
+
+
+def test_indexes_are_built_once_in_a_worker(monkeypatch):
+    """As many blocks as a pass holds, asked for batch after batch."""
+    built = []
+    real = D.ItemIndex
+    monkeypatch.setattr(D, "ItemIndex", lambda items, rate: built.append(1) or real(items, rate))
+    held = [D._Block(type("Shared", (), {"value": ((k, f"item {k}"),)})()) for k in range(D.PASS_BLOCKS)]
+    for _ in range(50):
+        for block in held:
+            assert D._index(block, D.ERROR_RATE).find(block.items.value[0][1])
+    assert len(built) == D.PASS_BLOCKS
+
+
 def test_odd_rows(spark):
     bench = spark.createDataFrame([(1, "one"), (2, "same words here")], "item_id long, text string")
     out = check_odd(spark, lambda d: D.find_leaks(d, bench))
