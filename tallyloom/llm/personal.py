@@ -2,7 +2,8 @@
 
 The four base kinds (``email``, ``ip``, ``card``, ``phone``) are always reported when their check holds. The further
 kinds are reported from a score of ``THRESHOLD`` on and only where they do not overlap a base span:
-``iban`` needs mod-97, ``national_phone`` and ``national_id`` need a context word close by.
+``iban`` needs mod-97, ``national_phone`` and ``national_id`` need a context word close by. Context words are whole words (or
+their plurals); ``COUNTER`` words, which name other numbers, lower the score.
 
 All scans are linear in the text, also on long runs of digits or of letters without an ``@``.
 Offsets are code points, ends exclusive.
@@ -29,14 +30,23 @@ CONTEXT_GAIN = 0.35
 #: Score of a proposal without context, and the words that raise it.
 BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "national_phone": 0.3, "national_id": 0.3}
 CONTEXT = {
-    "email": ("mail", "contact", "correo", "courriel"),
+    "email": ("mail", "email", "contact", "correo", "courriel"),
     "ip": ("ip", "server", "host", "address", "adresse"),
     "card": ("card", "visa", "mastercard", "amex", "credit", "debit", "karte", "tarjeta", "carte"),
-    "phone": ("phone", "call", "tel", "mobile", "fax", "telefon", "telefono", "handy"),
+    "phone": ("phone", "telephone", "call", "calling", "tel", "mobile", "cell", "fax", "telefon", "telefono", "handy"),
     "iban": ("iban", "account", "bank", "konto", "cuenta", "compte"),
-    "national_phone": ("phone", "call", "tel", "mobile", "fax", "telefon", "telefono", "handy"),
+    "national_phone": ("phone", "telephone", "call", "calling", "tel", "mobile", "cell", "fax", "telefon", "telefono", "handy"),
     "national_id": ("ssn", "social security", "tax id", "national id", "passport"),
 }
+COUNTER = {
+    "email": (),
+    "ip": ("version", "release", "section", "chapter"),
+    "card": ("isbn", "order", "tracking", "serial"),
+    "phone": ("isbn", "order", "invoice", "serial"),
+    "iban": (),
+    "national_phone": ("isbn", "order", "invoice", "serial", "part"),
+    "national_id": ("isbn", "order", "invoice", "serial", "part"),
+}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -120,10 +130,24 @@ def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
             yield "national_id", m.start(), m.end()
 
 
+def _words(words: tuple[str, ...]) -> re.Pattern:
+    return re.compile(rf"\b(?:{'|'.join(map(re.escape, words))})s?\b" if words else r"(?!)")
+
+
+_RAISES, _LOWERS = ({kind: _words(words) for kind, words in table.items()} for table in (CONTEXT, COUNTER))
+
+
 def _score(text: str, kind: str, start: int, end: int) -> float:
-    near = f"{text[max(0, start - CONTEXT_CHARS):start]} {text[end:end + CONTEXT_CHARS]}".lower()
-    found = any(re.search(rf"\b{re.escape(w)}", near) for w in CONTEXT[kind])
-    return min(1.0, BASE_SCORE[kind] + CONTEXT_GAIN * found)
+    """A word that the window cuts is no context."""
+    left, right = max(0, start - CONTEXT_CHARS), end + CONTEXT_CHARS
+    before, after = text[left:start], text[end:right]
+    if left and text[left - 1].isalnum():
+        before = re.sub(r"^\w+", "", before)
+    if right < len(text) and text[right].isalnum():
+        after = re.sub(r"\w+$", "", after)
+    near = f"{before} {after}".lower()
+    score = BASE_SCORE[kind] + CONTEXT_GAIN * (bool(_RAISES[kind].search(near)) - bool(_LOWERS[kind].search(near)))
+    return min(1.0, max(0.0, score))
 
 
 def find_spans(text: str) -> list[dict]:

@@ -43,6 +43,19 @@ def test_checksums_and_context():
     assert near > plain
 
 
+def test_context_is_whole_words_and_can_lower():
+    def scores(text):
+        return [(x["kind"], round(x["score"], 2)) for x in personal.find_spans(text)]
+
+    assert scores("I tell you 555-123-4567") == [] and scores("tel 555-123-4567") == [("national_phone", 0.65)]
+    assert scores("ipsum 10.0.0.1") == [("ip", 0.6)] and scores("two servers 10.0.0.1") == [("ip", 0.95)]
+    assert scores("release 10.0.0.1") == [("ip", 0.25)]  # a base span stays, whatever its score
+    assert scores("call us, order 555-123-4567") == []
+    assert scores("write an email to a@b.cd") == [("email", 1.0)]
+    gap = " " * (personal.CONTEXT_CHARS - 3)
+    assert scores(f"hotel{gap}555-123-4567") == [] and scores(f"tel{gap}555-123-4567") == [("national_phone", 0.65)]
+
+
 def test_odd_rows_and_redaction(spark):
     check_odd(spark, personal.find_personal)
     found = personal.find_personal(docs(spark, [(1, "mail é@x a.b@c.de, or +1 (626) 555-5759."), (2, None)]))
