@@ -1,4 +1,5 @@
 import random
+import time
 
 from helpers import F, ODD, by_id, check_odd, docs
 
@@ -148,6 +149,29 @@ def test_bounded_distance_of_long_lines():
         assert L.bounded_distance(a, b, tau) == (d if d <= tau else None)
 
 
+def test_banded_distance_at_any_width():
+    rng = random.Random(4)
+    for _ in range(6000):
+        a = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 40)))
+        b = edited(rng, a, min(rng.randrange(12), len(a) - 1), "abcd") if rng.random() < 0.7 else "".join(rng.choice("abc") for _ in range(rng.randrange(1, 40)))
+        tau = rng.randrange(1, 45)
+        if b and abs(len(a) - len(b)) <= tau:
+            d = distance(a, b)
+            assert L._banded(a, b, tau) == L.bounded_distance(a, b, tau) == (d if d <= tau else None), (a, b, tau)
+
+
+def test_lines_of_a_million_characters():
+    """Few edits cost a narrow band, and lines that differ early are given up early."""
+    rng = random.Random(6)
+    a = "".join(rng.choices("abcdefgh ", k=1_000_000))
+    b = "x" + a[1:400_000] + a[400_001:900_000] + "yy" + a[900_000:-1] + "z"
+    began = time.process_time()
+    assert L.bounded_distance(a, b, L.threshold(len(a))) == 5
+    c = "".join(rng.choices("ijklmnop ", k=1_000_000))
+    assert L.bounded_distance(a, c, 500) is None
+    assert time.process_time() - began < 20
+
+
 def test_near_copies_share_a_chunk():
     rng = random.Random(3)
     for signs in ("abcdefg  ", "ab", "一丁三四五", "x"):
