@@ -86,6 +86,22 @@ def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     assert {k: r["removed"] for k, r in got.items()} == removed(rows)
 
 
+def test_counts_keep_all_near_lines(spark):
+    """Of a group, members without a line near in counts go; sides hold, and counts beyond 255 do no harm."""
+    rng = random.Random(8)
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(120)) + "." for _ in range(8)]
+    lines += [lines[0][:50] + "zz" + lines[0][52:], lines[1] + "!", "a" * 900 + "." + "b" * 300, "a" * 890 + "." + "b" * 310 + "."]
+    sketch = "id bigint, size int, c0 bigint, c1 bigint, c2 bigint, c3 bigint"
+    made = docs(spark, [(0, "\n".join(lines))]).select("text").mapInArrow(L._sketches, sketch)
+    members = spark.createDataFrame([(g, L.line_id(x), side(k)) for g, side in ((1, lambda k: 2), (2, lambda k: int(k > 7))) for k, x in enumerate(lines)]
+                                    + [(3, L.line_id(x), 0) for x in lines], "group long, id long, side byte")
+    kept = (members.join(made, "id").select("group", "id", "side", "size", *L._COUNTS).coalesce(1).sortWithinPartitions("group")
+            .mapInArrow(L._narrow, "group bigint, id bigint, side tinyint").collect())
+    near = {L.line_id(lines[k]) for k in (0, 1, 8, 9)}
+    assert {r["id"] for r in kept if r["group"] == 1} == near | {L.line_id(lines[k]) for k in (10, 11)}
+    assert {r["id"] for r in kept if r["group"] == 2} == near and not [r for r in kept if r["group"] == 3]
+
+
 def test_odd_rows(spark):
     out = check_odd(spark, L.dedup_lines)
     want = removed([r for r in ODD if r[0] != 5]) | {5: []}  # rows with one id are one document
