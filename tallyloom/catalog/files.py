@@ -1,5 +1,5 @@
 """Codebooks and file round trips. Files go to a new folder under the shared one."""
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions.missing import clean_nan
 from ..operators import checks as C
@@ -39,11 +39,10 @@ def _flat(book):
 def _syntax_files(spark, sf):
     """One file per survey, read back whole; a survey is known by its own variable."""
     path = run_folder(spark, "syntax")
-    _syntax(spark, sf).select("text").write.option("maxRecordsPerFile", 1).text(path)
+    writers.write_text_files(_syntax(spark, sf), path)
     book = B.codebook(readers.read_syntax_files(spark, path, "*.txt"))
-    own = book.groupBy("file").agg(F.max(F.when(F.col("var").rlike("^c[0-9]+$"), F.concat(
-        F.lit("s"), F.substring("var", 2, 20), F.lit(".sps")))).alias("named"))
-    return _flat(book.join(own, "file").drop("file").withColumnRenamed("named", "file"))
+    own = F.max(F.when(F.col("var").rlike("^c[0-9]+$"), F.concat(F.lit("s"), F.substring("var", 2, 20), F.lit(".sps"))))
+    return _flat(book.withColumn("file", own.over(Window.partitionBy("file"))))
 
 
 def _syntax_lines(spark, sf):

@@ -2,13 +2,17 @@
 from __future__ import annotations
 
 import csv
+import os
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import normalise_line_breaks
+from ..plans.small import literal_table
 
 # The columns of the rule tables, by kind.
 RULE_SCHEMAS = {
@@ -142,8 +146,73 @@ def _by_header(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, ...
     return groups
 
 
+# Names that Spark's reader would unpack
+_PACKED = ("gz", "gzip", "bz2", "deflate", "lz4", "snappy", "zst", "zstd")
+_READ_BYTES = 16 * 1024 * 1024  # what a batch of texts holds, or one text if that is longer
+
+
+def mounted(spark: SparkSession, path: str) -> str | None:
+    """The path as driver and executors open it, if it lies in a mounted file system (``file:``); else None."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.makeQualified(where).toUri().getPath() if fs.getUri().getScheme() == "file" else None
+
+
+def _folders(folder: str) -> Iterator[str]:
+    """A folder and, at any depth, those of partitions (``name=value``) in it."""
+    yield folder
+    with os.scandir(folder) as entries:
+        inner = [e.path for e in entries if "=" in e.name and not e.name.startswith(".") and e.is_dir()]
+    for path in inner:
+        yield from _folders(path)
+
+
+def _names(batches: Iterator[pa.RecordBatch], named: re.Pattern) -> Iterator[pa.RecordBatch]:
+    """The files of every folder that are not hidden, not empty and named so."""
+    for folder in (f for batch in batches for f in batch.column(0).to_pylist()):
+        paths: list[str] = []
+        with os.scandir(folder) as entries:
+            for e in entries:
+                if not e.name.startswith(("_", ".")) and named.fullmatch(e.name) and e.is_file() and e.stat().st_size:
+                    paths.append(e.path)
+                if len(paths) >= 10_000:
+                    yield pa.record_batch([pa.array(paths, pa.string())], ["path"])
+                    paths = []
+        yield pa.record_batch([pa.array(paths, pa.string())], ["path"])
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Name and content of every file; names are written as Spark's reader does, with ``%20`` for a space."""
+    def out() -> pa.RecordBatch:
+        return pa.record_batch([pa.array(names, pa.string()), pa.array(texts, pa.binary())], ["file", "text"])
+
+    for batch in batches:
+        names, texts, size = [], [], 0
+        for path in batch.column(0).to_pylist():
+            with open(path, "rb") as f:
+                texts.append(f.read())
+            names.append(re.sub(r"[\x00-\x9f]|\s", lambda m: quote(m[0], safe="!~'()*,;:$&+=@"), os.path.basename(path)))
+            size += len(texts[-1])
+            if size >= _READ_BYTES:
+                yield out()
+                names, texts, size = [], [], 0
+        yield out()
+
+
 def read_syntax_files(spark: SparkSession, folder: str, glob: str = "*.sps") -> DataFrame:
-    """(file, text), one row per syntax file."""
+    """(file, text), one row per syntax file that is not empty.
+
+    In a mounted folder the tasks list and open the files, a few microseconds each, and the driver sees the names of folders only. Other file
+    systems, patterns beyond ``*`` and ``?`` and packed files go through Spark's reader, which takes milliseconds a file and lists them all
+    on the driver."""
+    path, ending = mounted(spark, folder), re.search(r"\.(\w+)$", glob)
+    if path and os.path.isdir(path) and ending and ending[1].lower() not in _PACKED and not re.search(r"[][{}^\\]", glob):
+        named = re.compile("".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in glob), re.DOTALL)
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        folders = literal_table(spark, [(f,) for f in _folders(path)], "path string")
+        paths = folders.repartition(parts, "path").mapInArrow(lambda batches: _names(batches, named), "path string")
+        files = paths.repartition(parts, "path").mapInArrow(_contents, "file string, text binary")
+        return files.select("file", F.col("text").cast("string").alias("text"))
     return (spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True)
             .select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text")))
 

@@ -1,9 +1,15 @@
 """Writers. All write in parallel from the executors."""
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.checks import answer_times, time_gap_report
+from .readers import mounted
 
 
 _FINDING = ["survey", "no", "id", "content", "reason", "reply", "note"]
@@ -40,6 +46,32 @@ def write_codebook(book: DataFrame, path: str, mode: str = "overwrite") -> None:
     book.write.mode(mode).parquet(path)
 
 
+def write_text_files(texts: DataFrame, path: str, per_folder: int = 5000) -> None:
+    """A new folder with a file for every row of ``text``, closed by a line break; a null text is a line break alone. Rows are spread over all tasks. In
+    a mounted folder each task writes folders of its own, ``part=<task>-<number>``, in an order that a repeated task keeps; other
+    file systems take Spark's writer, which needs milliseconds a file."""
+    parts, root = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), mounted(texts.sparkSession, path)
+    spread = texts.select("text").repartition(parts)
+    if root is None:
+        return spread.write.option("maxRecordsPerFile", 1).text(path)
+    os.makedirs(root)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, task = 0, TaskContext.get().partitionId()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                folder = f"{root}/part={task}-{count // per_folder}"
+                if count % per_folder == 0:
+                    os.makedirs(folder, exist_ok=True)
+                with open(f"{folder}/part-{task:05d}-{count}.txt", "wb") as f:
+                    f.write((text or b"") + b"\n")
+                count += 1
+        yield pa.record_batch([pa.array([count], pa.int64())], ["files"])
+
+    (spread.sortWithinPartitions("text").select(F.col("text").cast("binary").alias("text"))
+     .mapInArrow(write, "files bigint").agg(F.sum("files")).collect())
+
+
 def write_clustered(df: DataFrame, path: str, *keys: str, mode: str = "overwrite", row_group_mb: int = 32) -> None:
     """A table for point lookups: sorted by ``keys`` over all files, so that the bounds of files and row groups tell most lookups by the first
     key apart, and with a Bloom filter on every key, which does so for the further ones. Filters reach both when the table is read."""
