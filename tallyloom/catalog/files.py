@@ -25,7 +25,7 @@ _SYNTAX = """CONCAT(
 def _syntax(spark, sf):
     """The rows are spread before they become texts, as a small table is read by one task however long its texts are."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey").repartition(parts).select(
+    return table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey").repartition(parts, "c_custkey").select(
         F.concat(F.lit("s"), "c_custkey", F.lit(".sps")).alias("file"), F.expr(_SYNTAX).alias("text"))
 
 
