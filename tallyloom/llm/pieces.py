@@ -44,9 +44,12 @@ UNKNOWN_PENALTY = 10.0
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6  # kinds of pieces in a model file
 UNIGRAM_MODEL, MERGE_MODEL = 1, 2
 MAX_PIECES = 1_000_000
-BLOCK_BYTES = 8 << 20         # text of the documents that are put together in one step
+BLOCK_BYTES = 32 << 20        # text of the documents that are put together in one step
+SPLIT_BYTES = 1 << 28         # larger batches are split text by text
 ANSWERS_HELD = 300_000
+WORDS_AT_ONCE = 20_000        # words that are objects of Python at a time
 ROWS_AT_ONCE = 256            # documents that a task puts together at a time
+IDS_AT_ONCE = 1 << 18         # ids that a task decodes at a time
 
 
 @dataclass(frozen=True)
@@ -64,6 +67,15 @@ class PieceModel:
     def longest(self) -> int:
         return max(map(len, self.table), default=1)
 
+    @cached_property
+    def reach(self) -> dict[str, int]:
+        """The longest piece's length for the first three characters of pieces."""
+        found: dict[str, int] = {}
+        for t in self.table:
+            if len(t) > 2:
+                found[t[:3]] = max(found.get(t[:3], 0), len(t))
+        return found
+
     @cached_property
     def unknown_score(self) -> float:
         return min((s for _, s, kind in self.pieces if kind == NORMAL), default=0.0) - UNKNOWN_PENALTY
@@ -77,12 +89,17 @@ class PieceModel:
     def unknown_id(self) -> int:
         return next((i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN), 0)
 
+    @cached_property
+    def newline_alone(self) -> bool:
+        """Whether no piece joins a line break to something else."""
+        return not any("\n" in p and len(p) > 1 for p in self.table)
+
     @cached_property
     def word(self) -> re.Pattern:
         """A run of space marks with what follows up to the next one, or up to a line break."""
         if any(SPACE in p.lstrip(SPACE) for p in self.table):
             raise ValueError("pieces that reach across words are not supported")
-        alone = "" if any("\n" in p and len(p) > 1 for p in self.table) else "\n"
+        alone = "\n" if self.newline_alone else ""
         return re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + ("|\n" if alone else ""))
 
     @cached_property
@@ -98,6 +115,37 @@ class PieceModel:
             return []
         return self.word.findall((SPACE if self.add_dummy_prefix else "") + text.replace(" ", SPACE))
 
+    def split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The words of all texts, one after the other, and how many each text has. Where no space follows another one or a mark
+        stands in the text, the words are what literal replacements and a split leave; other texts go through ``words``."""
+        self.word  # an error for models whose pieces reach across words
+        texts = texts.fill_null("")
+        plain = pc.invert(pc.or_(pc.match_substring(texts, SPACE), pc.match_substring(texts, "  ")))
+        if self.add_dummy_prefix:
+            plain = pc.and_(plain, pc.invert(pc.starts_with(texts, " ")))
+        if texts.nbytes > SPLIT_BYTES:
+            plain = pa.repeat(False, len(texts))
+        spaced = pc.replace_substring(pc.if_else(plain, texts, ""), " ", f" {SPACE}")
+        if self.newline_alone:
+            spaced = pc.replace_substring(spaced, "\n", " \n ")
+        if self.add_dummy_prefix:
+            spaced = pc.if_else(pc.equal(spaced, ""), "", pc.binary_join_element_wise(SPACE, spaced, ""))
+        found = pc.split_pattern(spaced, " ")
+        flat, offsets = found.flatten(), found.offsets.to_numpy()
+        there = pc.not_equal(flat, "")
+        ends = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))])[offsets - offsets[0]]
+        flat = flat.filter(there)
+        odd = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        counts = np.diff(ends)
+        if not len(odd):
+            return flat, counts
+        pieces, at = [], 0
+        for k in odd.tolist():
+            own = self.words(texts[k].as_py())
+            pieces += [flat.slice(at, ends[k] - at), pa.array(own, pa.string())]
+            at, counts[k] = ends[k], len(own)
+        return pa.concat_arrays([*pieces, flat.slice(at)]), counts
+
     def parts(self, word: str) -> list[str]:
         return [word] if self.inner_cut is None or word[1:].isalpha() else self.inner_cut.split(word)
 
@@ -178,18 +226,26 @@ def load_model(path: str) -> PieceModel:
                       model.trainer_spec.model_type == MERGE_MODEL)
 
 
+def _word_keys(df: DataFrame) -> list[str]:
+    return [c for c in ("n_word", "word") if c in df.columns]
+
+
 def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
     """``word``, ``first``, ``last``, ``id``, ``score``: the edges of every word; id -1 for a character without a piece.
     ``taken_up`` is 1 for a half of a better ranked piece."""
     up = model.taken_up if model.merges else frozenset()
     table = F.broadcast(literal_table(words.sparkSession, [(t, i, float(s), int(t in up)) for t, (i, s) in model.table.items()],
                                       "piece string, id integer, score double, taken_up integer"))
-    starts = words.select("word", F.posexplode(F.sequence(F.lit(1), F.length("word"))).alias("first", "at"))
-    tails = starts.select("word", "first", F.substring(F.col("word"), F.col("at"), F.lit(model.longest)).alias("tail"))
-    parts = tails.select("word", "first", "tail", F.explode(F.sequence(F.lit(1), F.length("tail"))).alias("n"))
-    parts = parts.select("word", "first", "n", F.substring(F.col("tail"), F.lit(1), F.col("n")).alias("piece"))
+    own = _word_keys(words)
+    starts = words.select(*own, F.posexplode(F.sequence(F.lit(1), F.length("word"))).alias("first", "at"))
+    tails = starts.select(*own, "first", F.substring(F.col("word"), F.col("at"), F.lit(model.longest)).alias("tail"))
+    reach = F.broadcast(literal_table(words.sparkSession, list(model.reach.items()), "begins string, reach integer"))
+    tails = tails.join(reach, F.substring(F.col("tail"), F.lit(1), F.lit(3)) == F.col("begins"), "left")
+    lengths = F.sequence(F.lit(1), F.least(F.length("tail"), F.coalesce("reach", F.lit(2))))
+    parts = tails.select(*own, "first", "tail", F.explode(lengths).alias("n"))
+    parts = parts.select(*own, "first", "n", F.substring(F.col("tail"), F.lit(1), F.col("n")).alias("piece"))
     return (parts.join(table, "piece", "left").where("id is not null or n = 1")
-            .select("word", "first", (F.col("first") + F.col("n")).alias("last"), F.coalesce("id", F.lit(-1)).alias("id"),
+            .select(*own, "first", (F.col("first") + F.col("n")).alias("last"), F.coalesce("id", F.lit(-1)).alias("id"),
                     F.coalesce("score", F.lit(model.unknown_score)).alias("score"),
                     F.coalesce("taken_up", F.lit(0)).alias("taken_up")))
 
@@ -209,7 +265,7 @@ def best_paths(edges: DataFrame) -> DataFrame:
 
     folded = F.aggregate(F.sort_array(F.collect_list(edge)),
                          F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("first"), F.lit(-1).alias("id"))).cast(state), step)
-    best = edges.groupBy("word").agg(folded.alias("s"))
+    best = edges.groupBy(*_word_keys(edges)).agg(folded.alias("s"))
     walk = F.aggregate(
         F.sequence(F.lit(1), F.size("s") - 1),
         F.struct((F.size("s") - 1).alias("at"), F.expr("cast(array() as array<struct<first:int,id:int>>)").alias("path")),
@@ -226,10 +282,10 @@ def merged_paths(edges: DataFrame) -> DataFrame:
     a piece came up that a better ranked one could take up."""
     bit = "shiftleft(1L, {})".format
     with_bits = edges.select(
-        "word", F.struct((-F.col("score")).alias("order"), "first", "id", "taken_up",
+        *_word_keys(edges), F.struct((-F.col("score")).alias("order"), "first", "id", "taken_up",
                          F.expr(f"{bit('first')} | {bit('last')}").alias("ends"),
                          F.expr(f"{bit('last')} - {bit('first + 1')}").alias("inner")).alias("e"))
-    words = with_bits.groupBy("word").agg(F.sort_array(F.collect_list("e")).alias("edges"))
+    words = with_bits.groupBy(*_word_keys(edges)).agg(F.sort_array(F.collect_list("e")).alias("edges"))
     start = F.expr("shiftleft(1L, length(word) + 1) - 1")
 
     def applies(m: Column, e: Column) -> Column:
@@ -253,7 +309,8 @@ def merged_paths(edges: DataFrame) -> DataFrame:
 
 def encode_words(words: DataFrame, model: PieceModel) -> DataFrame:
     """``word`` and ``path`` of distinct words of at most LONG characters."""
-    edges = lattice(words.where("word <> ''"), model)
+    # words are numbered as they come, so their edges, which no step moves, are in order already when they are grouped
+    edges = lattice(words.where("word <> ''").withColumn("n_word", F.monotonically_increasing_id()), model)
     return merged_paths(edges) if model.merges else best_paths(edges)
 
 
@@ -275,21 +332,27 @@ def _blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[in
 
 def _requests(model: PieceModel):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, seen = None, set()
+        now, seen = None, []
+
+        def distinct(arrays: list[pa.Array]) -> pa.Array:
+            return pa.concat_arrays([pa.array([], pa.string()), *arrays]).unique()
 
         def out() -> Iterator[pa.RecordBatch]:
-            parts = list({p for w in seen for p in model.parts(w) if len(p) <= LONG})
+            words = distinct(seen)
             seen.clear()
-            for s in range(0, len(parts), 20_000):
-                part = pa.array(parts[s:s + 20_000], pa.string())
+            parts = distinct([pa.array([p for w in words.slice(s, WORDS_AT_ONCE).to_pylist() for p in model.parts(w) if len(p) <= LONG],
+                                       pa.string()) for s in range(0, len(words), WORDS_AT_ONCE)])
+            for s in range(0, len(parts), WORDS_AT_ONCE):
+                part = parts.slice(s, WORDS_AT_ONCE)
                 yield pa.record_batch([pa.array(np.full(len(part), now, np.int64)), part], ["block", "word"])
 
         for block, rows in _blocks(batches, 0):
             if block != now:
                 yield from out()
                 now = block
-            for text in rows.column(0):
-                seen.update(model.words(text.as_py() or ""))
+                give_back()
+            seen.append(model.split(rows.column(0))[0].unique())
+            pa.default_memory_pool().release_unused()
         yield from out()
         give_back()
     return ask
@@ -310,6 +373,7 @@ def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of one block as one compressed value."""
     for block, rows in _blocks(batches, 1):
         yield pa.record_batch([pa.array([block], pa.int64()), pa.array([_packed(rows)], pa.binary())], ["block", "payload"])
+    give_back()
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,11 +428,9 @@ def _assemble(model: PieceModel):
         flat, offsets = _concat([c for t in known for c in t.column("ids").chunks])
         del known
         tables = []
-        for batch in (b for p in blocks.column("payload") for b in _unpacked(p).to_batches(max_chunksize=ROWS_AT_ONCE)):
-            texts = [model.words(t.as_py() or "") for t in batch.column(1)]
-            counts = np.array([len(t) for t in texts], np.int64)
-            coded = pa.array([w for t in texts for w in t], pa.string()).dictionary_encode()
-            del texts
+        for batch in (b for p in blocks.column("payload") for b in _unpacked(p).to_batches()):
+            texts, counts = model.split(batch.column(1))
+            coded = texts.dictionary_encode()
             parts = [model.parts(w) for w in coded.dictionary.to_pylist()]
             part_words = pa.array([p for ps in parts for p in ps], pa.string())
             where = pc.index_in(part_words, value_set=words)
@@ -383,11 +445,16 @@ def _assemble(model: PieceModel):
             word_ids, part_sizes = _gather(own_flat, own_offsets, part_rows)
             part_ends = np.concatenate([[0], np.cumsum(part_sizes)])
             word_offsets = part_ends[np.concatenate([[0], np.cumsum([len(ps) for ps in parts])]).astype(np.int64)]
-            ids, sizes = _gather(word_ids, word_offsets, coded.indices.to_numpy().astype(np.int64))
-            word_ends = np.concatenate([[0], np.cumsum(sizes)])
-            doc_offsets = word_ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)].astype(np.int32)
-            column = pa.ListArray.from_arrays(pa.array(doc_offsets), pa.array(ids))
-            tables.append(pa.table([pa.chunked_array([batch.column(0)]), pa.chunked_array([column])], ["doc", "ids"]))
+            numbers, ends = coded.indices.to_numpy(), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+            for s in range(0, len(counts), ROWS_AT_ONCE):
+                cuts = ends[s:s + ROWS_AT_ONCE + 1]
+                ids, sizes = _gather(word_ids, word_offsets, numbers[cuts[0]:cuts[-1]].astype(np.int64))
+                word_ends = np.concatenate([[0], np.cumsum(sizes)])
+                column = pa.ListArray.from_arrays(pa.array(word_ends[cuts - cuts[0]].astype(np.int32)), pa.array(ids))
+                tables.append(pa.table([pa.chunked_array([batch.column(0).slice(s, ROWS_AT_ONCE)]), pa.chunked_array([column])],
+                                       ["doc", "ids"]))
+            del batch, texts, coded, parts, part_words, where, part_rows, own_flat, own_offsets, word_ids, word_offsets, numbers
+            give_back()
         return pa.concat_tables(tables)
     return put_together
 
@@ -398,6 +465,8 @@ def encode(docs: DataFrame, model: PieceModel, key: str = "doc_id", text: str =
     the two readings, the words a block did not ask for are folded in place."""
     spark = docs.sparkSession
     small_batches(spark)
+    # the edges come in the order of their words: sorting them once costs less than a hash table that gives up and sorts twice
+    spark.conf.set("spark.sql.execution.useObjectHashAggregateExec", "false")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
     kind = texts.schema["doc"].dataType.simpleString()
@@ -430,14 +499,25 @@ def decode(encoded: DataFrame, model: PieceModel, ids: str = "ids") -> DataFrame
     """``encoded`` with ``decoded``, the texts of the ids; null ids give a null text, an id that the model does not have
     nothing. Characters that are spread over byte pieces come together; what is no UTF-8 is replaced."""
     small_batches(encoded.sparkSession)
-    stands_for = [model.bytes_of(i) for i in range(len(model.pieces))]
+    stands_for = [model.bytes_of(i) for i in range(len(model.pieces))] + [b""]  # the last one for ids that the model does not have
+    stock = np.frombuffer(b"".join(stands_for), np.uint8)
+    starts = np.concatenate([[0], np.cumsum([len(b) for b in stands_for])]).astype(np.int64)
     skip = 1 if model.add_dummy_prefix else 0
 
     def texts(values: pa.Array) -> pa.Array:
         out = []
-        for v in values:
-            data = b"".join([stands_for[i] for i in np.asarray(v.values).tolist() if 0 <= i < len(stands_for)]) if v.is_valid else None
-            out.append(None if data is None else data[skip * data.startswith(b" "):].decode("utf-8", "replace"))
-        return pa.array(out, pa.string())
+        for some in (values.slice(s, ROWS_AT_ONCE) for s in range(0, len(values), ROWS_AT_ONCE)):
+            flat = np.asarray(some.flatten().fill_null(-1))
+            flat = np.where((flat >= 0) & (flat < len(stands_for) - 1), flat, len(stands_for) - 1)
+            joined = b"".join(_gather(stock, starts, flat[k:k + IDS_AT_ONCE])[0].tobytes() for k in range(0, len(flat), IDS_AT_ONCE))
+            ends = np.concatenate([[0], np.cumsum(np.diff(starts)[flat])])
+            cuts = ends[np.concatenate([[0], np.cumsum(some.value_lengths().fill_null(0).to_numpy())]).astype(np.int64)].tolist()
+            for valid, start, end in zip(some.is_valid().to_pylist(), cuts, cuts[1:]):
+                start += skip * (start < end and joined[start:start + 1] == b" ")
+                out.append(joined[start:end].decode("utf-8", "replace") if valid else None)
+        made = pa.array(out, pa.string())
+        del out
+        give_back()
+        return made
 
     return encoded.withColumn("decoded", F.arrow_udf(texts, "string")(F.col(ids)))

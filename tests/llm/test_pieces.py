@@ -75,6 +75,33 @@ def test_folds_agree_with_those_in_place(spark, model):
             assert flat == m.fold(r["word"]), r["word"]
 
 
+def test_texts_are_split_as_one_by_one(model):
+    """Whole batches by literal replacements, texts with runs of spaces or marks one by one."""
+    rows = [*texts(500), None, "", " ", "\n", "a\n\nb", " a", "a ", "a  b", "a \n\n b", "▁x y", "one two", "\n ", "é\tß\r\n."]
+    plain = [t for t in rows if t and "  " not in t and "▁" not in t and t[0] != " "]
+    for some in (rows, plain, [], [None], rows[7:9]):
+        found, counts = model.split(P.pa.array(some, P.pa.string()))
+        assert found.to_pylist() == [w for t in some for w in model.words(t or "")]
+        assert counts.tolist() == [len(model.words(t or "")) for t in some]
+
+
+def test_a_partition_asks_for_a_word_once(spark, model):
+    """Every repeated request of a word is an answer more to shuffle; 12 MB of text are one block."""
+    words = [f"{a}{b}ing" for a in "abcdefgh" for b in "aeiou"]
+    rows = spark.range(24).coalesce(1).select(P.F.lit(" ".join(words * 2100)).alias("text"))
+    asked = [r["word"] for r in rows.mapInArrow(P._requests(model), "block bigint, word string").collect()]
+    assert sorted(asked) == sorted({p for w in model.words(" ".join(words * 2)) for p in model.parts(w)})
+
+
+def test_only_substrings_that_can_be_pieces(spark, model):
+    """No longer substring is made than the pieces of the same beginning; every piece in a word is an edge."""
+    words = ["▁international", "xqzjkvwy", "▁", "tionsing", "ß🙂a", "aaaaaaaaaaaaaaaaaaaaa"]
+    edges = P.lattice(spark.createDataFrame([(w,) for w in words], "word string"), model)
+    want = {(w, a + 1, b + 1) for w in words for a in range(len(w)) for b in range(a + 1, len(w) + 1) if b == a + 1 or w[a:b] in model.table}
+    assert {(r["word"], r["first"] + 1, r["last"] + 1) for r in edges.collect()} == want
+    assert "xqz" not in model.reach and model.reach["int"] < model.longest
+
+
 def test_small_models():
     kinds = [("<unk>", 0.0, P.UNKNOWN), ("a", -1.0, P.NORMAL), ("b", -2.0, P.NORMAL), ("ab", -3.0, P.NORMAL)]
     m = P.PieceModel(tuple(kinds), add_dummy_prefix=False, merges=True)
