@@ -1,10 +1,14 @@
 import random
 import time
 
+import numpy as np
+import pyarrow as pa
 from helpers import F, ODD, by_id, check_odd, docs
 
 import corpus_pipeline
 from tallyloom.llm import lines as L
+from tallyloom.llm.runs import whole_runs
+from tallyloom.plans.small import shuffles_removed
 
 
 def distance(a, b):
@@ -235,3 +239,79 @@ def test_copies_with_short_lines_go(spark):
     got = by_id(L.dedup_lines(docs(spark, rows), min_chars=1))
     assert {k: r["removed"] for k, r in got.items()} == {1: [], 2: [0, 2, 4], 3: [], 4: [], 5: [0]}
     assert set(by_id(corpus_pipeline.line_dedup(spark, docs(spark, rows), ""))) == {1, 3, 4}
+
+
+def prose(rng, n):
+    return ["".join(rng.choice("abcdefghijklmnoprstu") for _ in range(rng.randrange(2, 12))) for _ in range(n)]
+
+
+def test_pairs_side_by_side_are_near_as_one_by_one():
+    rng, pairs = random.Random(11), []
+    for signs in ("ab", "abcdefgh ", "".join(map(chr, range(0x4E00, 0x5200)))):
+        for _ in range(700):
+            a = "".join(rng.choice(signs) for _ in range(rng.randrange(20, 260)))
+            b = edited(rng, a, rng.randrange(16), signs + "q") if rng.random() < 0.9 else "".join(rng.choice(signs) for _ in range(len(a)))
+            pairs.append((a, b or "q", rng.randrange(1, 14)))
+    pairs.append(("x" * 9000, "x" * 4000 + "y" + "x" * 5001, 3))
+    assert L._near_pairs(pairs).tolist() == [L.bounded_distance(*p) is not None for p in pairs]
+    assert not len(L._near_pairs([]))
+
+
+def test_keys_are_few_small_and_equal_to_chunks():
+    """A line needs about two keys for an edit, each of them 24 bytes and once for equal lines."""
+    rng = random.Random(12)
+    words = prose(rng, 5000)
+    lines = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(300)]
+    text = "\n".join(lines)
+    made = list(L._keys(iter([pa.record_batch([pa.array([text, text])], ["text"])]), 8))
+    packed = [e for m in made for e in m.column(2).to_pylist()]
+    assert not any(w for m in made for w in m.column(1).to_pylist())
+    entries = sum(map(len, packed)) / L._SHORT_ENTRY.itemsize
+    assert L._SHORT_ENTRY.itemsize == 24 and entries < 2.3 * sum(L.threshold(len(x)) for x in lines)
+    assert entries == sum(len(found) for x in lines for _, _, found in L.chunks(x))
+    assert all((np.diff(np.frombuffer(e, L._SHORT_ENTRY)["key"].astype(np.int64)) >= 0).all() for e in packed)
+
+
+def test_entries_of_very_long_lines_and_cut_runs():
+    rng = random.Random(13)
+    words = prose(rng, 3000)
+    line = " ".join(rng.choice(words) for _ in range(15_000))  # places beyond 16 bits
+    copy = line.replace(words[7], words[7][::-1])
+    batches = [pa.record_batch([pa.array([x])], ["text"]) for x in (line, copy, "a line that nobody else has in here")]
+    made = [b for x in batches for b in L._keys(iter([x]), 4)]
+    rows = sorted(((b, w, e) for m in made for b, w, e in zip(*(c.to_pylist() for c in m.columns))), key=lambda r: r[0])
+    rows = pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())],
+                    ["bucket", "wide", "entries"])
+    runs = list(L._bucket_runs(iter(rows.to_batches(max_chunksize=1))))
+    groups = {tuple(sorted(g["id"])) for m in L._groups(iter(runs), L.BLOCK, 6) for g in [m.to_pydict()]}
+    assert any({L.line_id(line), L.line_id(copy)} <= set(g) for g in groups)
+    keys = np.array([1, 1, 1, 2, 3, 3, 5, 5, 5, 5], np.int64)
+    for size in range(1, 11):
+        parts = list(whole_runs(iter(pa.table([keys, keys], ["a", "b"]).to_batches(max_chunksize=size)), 2))
+        assert np.concatenate([p[0] for p in parts]).tolist() == keys.tolist()
+        assert all(x[0][-1] != y[0][0] for x, y in zip(parts, parts[1:])) and all(len(p[0]) == len(p[1]) > 0 for p in parts)
+
+
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    """Groups cut into blocks by length and id lose no pair, and what lines share by many keys is not many groups."""
+    monkeypatch.setattr(L, "BLOCK", 8)
+    rng = random.Random(14)
+    words = prose(rng, 400)
+    own = [rng.choice(words) for _ in range(40)]
+    rows = []
+    for k in range(70):
+        copy = list(own)
+        for _ in range(rng.randrange(4)):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        rows.append((k, " ".join(copy)))
+    got = {k: r["removed"] for k, r in by_id(L.dedup_lines(docs(spark, rows))).items()}
+    assert got == near_removed(rows) and 10 < sum(map(len, got.values())) < 70
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    with shuffles_removed(spark):
+        assert spark.conf.get(key) == "true"
+        assert spark.range(100).repartition(3).groupBy((F.col("id") % 7).alias("k")).count().count() == 7
+    assert spark.conf.get(key, None) == (before or "false")
