@@ -1,6 +1,7 @@
 """The pipeline against brute force, stage by stage, and the registered queries."""
 import hashlib
 import re
+import time
 
 import pytest
 import test_decontaminate
@@ -75,3 +76,18 @@ def test_queries(spark):
 def test_decoded_digests(spark):
     out = catalog.op10_piece_lattice(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id")
     assert all(r["decoded_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest() for r in out.collect())
+
+
+def test_line_dedup_leaves_no_shuffle_files(spark):
+    """What the steps of the second stage have shuffled is off the disk before the documents are."""
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        found = [files.apply(k) for k in range(files.size())]
+        return {f.getName(): f.length() for f in found if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+    before = shuffled()
+    corpus_pipeline.line_dedup(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    until = time.time() + 20
+    while (left := sum(size for name, size in shuffled().items() if name not in before)) > 10_000 and time.time() < until:
+        time.sleep(0.5)  # they go in the background
+    assert left <= 10_000  # a count of rows
